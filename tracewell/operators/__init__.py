@@ -1,0 +1 @@
+"""Operators of the evidence and reachability engine."""

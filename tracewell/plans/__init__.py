@@ -1,0 +1 @@
+"""Plans of the evidence and reachability engine."""

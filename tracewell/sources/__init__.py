@@ -1,0 +1 @@
+"""Sources of the evidence and reachability engine."""

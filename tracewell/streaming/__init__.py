@@ -1,0 +1 @@
+"""Streaming of the evidence and reachability engine."""
