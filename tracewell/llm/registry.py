@@ -8,12 +8,45 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import byte_bpe, chat, sharding, token_counts
+from tracewell.llm import byte_bpe, chat, decontaminate, near_duplicates, sharding, token_counts
 from tracewell.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of 13 words in all documents."""
+    out = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), size=13)
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
+        decontaminate.is_contaminated().alias("contaminated"),
+    )
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+i AS (SELECT DISTINCT item, least(13, len(w)) AS m, array_to_string(w[p:p + least(13, len(w)) - 1], ' ') AS s
+  FROM b, LATERAL (SELECT unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS p) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT m FROM i),
+x AS (SELECT doc_id, p, m, array_to_string(w[p:p + m - 1], ' ') AS s
+  FROM d, sizes, LATERAL (SELECT unnest(generate_series(1, len(w) - m + 1)) AS p)),
+hits AS (SELECT DISTINCT doc_id, p, m, item FROM x JOIN i USING (m, s)),
+covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit
+  FROM (SELECT DISTINCT doc_id, p, m FROM hits) h, LATERAL (SELECT unnest(generate_series(p, p + m - 1)) AS q) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards by key: doc_id and the shard count decide."""
     out = sharding.shard_rows(read(spark, sf_dir, "documents"), shards=24)
@@ -48,6 +81,11 @@ FROM s GROUP BY conv_id
 """
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes and links of all documents: shingles of five words, similarity 0.8 or more."""
+    return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the 50k multilingual ranks and decoded again."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -67,12 +105,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_sharding": op2_sharding,
         "op4_chat": op4_chat,
+        "op5_near_duplicates": op5_near_duplicates,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_token_counts": op7_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4_SQL}
+    return {"op1_decontamination": OP1_SQL, "op4_chat": OP4_SQL}
