@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import byte_bpe, chat, decontaminate, language_id, near_duplicates, quality, sharding, token_counts
+from tracewell.llm import byte_bpe, chat, decontaminate, html_text, language_id, near_duplicates, quality, sharding, token_counts
 from tracewell.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_text.extract_text(read(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document under the model of trusted text, and whether it is kept."""
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -123,6 +128,7 @@ def queries() -> dict[str, Query]:
         "op5_near_duplicates": op5_near_duplicates,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_token_counts": op7_token_counts,
+        "op8_html": op8_html,
         "op9_quality": op9_quality,
         "op10_language_id": op10_language_id,
     }
