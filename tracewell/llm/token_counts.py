@@ -15,6 +15,7 @@ from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -52,10 +53,10 @@ class PrefixCounter:
         self.vocab: dict[str, int] = model["vocab"]
         self.spelling = {i: t for t, i in self.vocab.items()}
         self.bpe = Tokenizer.from_file(path).model
-        self.ends: dict[str, list[int]] = {}  # token lengths by last letter, longest first
-        for t in self.vocab:
-            self.ends.setdefault(t[-1], []).append(len(t))
-        self.ends = {c: sorted(set(n), reverse=True) for c, n in self.ends.items()}
+        self.automaton = ahocorasick.Automaton()
+        for t, i in self.vocab.items():
+            self.automaton.add_word(t, (i, len(t)))
+        self.automaton.make_automaton()
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.cut_added = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))).split if self.added else None
         self.split = Splitter(PATTERN, _library_class)
@@ -74,17 +75,14 @@ class PrefixCounter:
     def piece_counts(self, piece: str) -> list[int]:
         """Counts at byte 0, 1, ... of one pre-token."""
         s = piece.encode().decode("latin-1").translate(self.spell)
-        find, ends, fits = self.vocab.get, self.ends, self.fits.get
-        counts, last = [0], [-1]
-        for i in range(1, len(s) + 1):
-            for n in ends[s[i - 1]]:
-                if n <= i and (token := find(s[i - n : i])) is not None:
-                    before = last[i - n]
-                    fit = fits(before << 20 | token)
-                    if fit or fit is None and self._fit(before, token):
-                        counts.append(counts[i - n] + 1)
-                        last.append(token)
-                        break
+        fits, counts, last = self.fits.get, [0], [-1]
+        for end, (token, n) in self.automaton.iter(s):  # all tokens that end here, for one end after the other
+            if end + 1 == len(last):
+                before = last[-n]
+                fit = fits(before << 20 | token)
+                if fit or fit is None and self._fit(before, token):
+                    counts.append(counts[-n] + 1)
+                    last.append(token)
         return counts
 
     def _piece(self, piece: str) -> int:
@@ -113,13 +111,18 @@ class PrefixCounter:
                 yield token, 1
                 at += len(token)
 
+    def counts(self, text: str) -> tuple[list[str], list[int]]:
+        """Pre-tokens and their counts; the sum is the count at the last prefix."""
+        if self.cut_added is not None and any(a in text for a in self.added):
+            pieces, counts = zip(*self.pieces(text), strict=True)
+            return list(pieces), list(counts)
+        pieces = self.split(text)
+        counts = list(map(self.whole.get, pieces))
+        return pieces, list(map(self._piece, pieces)) if None in counts else counts
+
     def count(self, text: str) -> int:
-        """Tokens of the whole text: the count at its last prefix."""
-        if self.cut_added is None or not any(a in text for a in self.added):
-            known, pieces = self.whole.get, self.split(text)
-            counts = [known(p) for p in pieces]
-            return sum(counts) if None not in counts else sum(map(self._piece, pieces))
-        return sum(n for _, n in self.pieces(text))
+        """Tokens of the whole text."""
+        return sum(self.counts(text)[1])
 
 
 class PrefixTable:
@@ -131,12 +134,11 @@ class PrefixTable:
     word, and inside a contraction such as 'll.
     """
 
-    def __init__(self, counter: PrefixCounter, text: str):
+    def __init__(self, counter: PrefixCounter, text: str, counted: tuple[list[str], list[int]] | None = None):
         self.counter, self.text = counter, text
-        found = list(counter.pieces(text))
-        self.starts = [0, *accumulate(len(p) for p, _ in found)]  # in characters
-        self.sums = [0, *accumulate(n for _, n in found)]
-        self.found = [p for p, _ in found]
+        self.found, counts = counted or counter.counts(text)
+        self.starts = [0, *accumulate(map(len, self.found))]  # in characters
+        self.sums = [0, *accumulate(counts)]
 
     def at(self, chars: int) -> int:
         """Tokens of the first ``chars`` characters."""
@@ -191,8 +193,12 @@ def count_tokens(df: DataFrame, path: str, limit: int = 1024, key: str = "doc_id
         own = counter(path)
         for batch in slices(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            counts = [own.count(t) for t in texts]
-            fit = [len(t) if n <= limit else PrefixTable(own, t).cut(limit) for t, n in zip(texts, counts, strict=True)]
+            counts, fit = [], []
+            for t in texts:
+                counted = own.counts(t)
+                counts.append(sum(counted[1]))
+                first = counted[0][: limit + 1], counted[1][: limit + 1]  # a pre-token is a token at least
+                fit.append(len(t) if counts[-1] <= limit else PrefixTable(own, t, first).cut(limit))
             out = [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts]), pa.array(fit, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *out], [key, "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
