@@ -142,10 +142,12 @@ def _for_thresholds(key: str) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
 
 
-#: The quantiles of trusted perplexity that fence a language's texts, and how far beyond the outer ones a text may lie,
-#: in distances from the middle to the outer one.
-LOW, MIDDLE, HIGH, REACH = 0.02, 0.5, 0.98, 2.0
-#: The perplexity of fewer bytes says little: shorter texts are let through.
+#: The quantiles of trusted perplexity that fence a language's texts.
+LOW, MIDDLE, HIGH = 0.05, 0.5, 0.95
+#: How far beyond the middle a text may lie, in distances from there to the outer quantile; and by how much more the
+#: shorter it is: at SHORT bytes twice as far, as the perplexity of few bytes varies with the root of their number.
+REACH, SHORT = 4.0, 400
+#: Shorter texts are let through.
 LEAST_BYTES = 40
 
 
@@ -155,7 +157,8 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     The model is trained on all trusted texts (``trusted_ids``) but a fifth, whose
     perplexities give each language's quantiles; a language, or null, with no such
     text takes those of all.  A text is kept if its perplexity lies between the
-    language's fences, or if it has under LEAST_BYTES bytes.  An empty text and, where
+    fences ``low`` and ``high``, set from its language's quantiles and its length, or
+    if it has under LEAST_BYTES bytes.  An empty text and, where
     there is no trusted text, every text is kept.  Repeated rows give repeated rows.
     """
     trusted = written(trusted_ids(labels, key), "trusted")
@@ -164,11 +167,10 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     scores = written(perplexity(df, KneserNey(learned, text), key, text, lang), "perplexity")
     seen = scores.where(_for_thresholds(key) & (F.col("n_bytes") >= LEAST_BYTES)).join(trusted, key, "left_semi")
     marks = [F.percentile_approx("perplexity", q, 10_000).alias(n) for n, q in (("a", LOW), ("b", MIDDLE), ("c", HIGH))]
-    fences = [F.expr(f"b - (b - a) * {REACH}").alias("low"), F.expr(f"b + (c - b) * {REACH}").alias("high")]
-    each = seen.where(F.col(lang).isNotNull()).groupBy(lang).agg(*marks).select(lang, *fences)
-    whole = seen.agg(*marks).select(*fences).first()
-    low, high = (F.coalesce(F.col(n), F.lit(whole[n]).cast("double")) for n in ("low", "high"))
-    inside = F.col("perplexity").between(low, high)
-    return scores.join(each, lang, "left").select(
-        key, lang, "n_bytes", "perplexity", low.alias("low"), high.alias("high"), (F.coalesce(inside, F.lit(True)) | (F.col("n_bytes") < LEAST_BYTES)).alias("keep")
-    )
+    each = seen.where(F.col(lang).isNotNull()).groupBy(lang).agg(*marks)
+    whole = seen.agg(*marks).first()
+    low, middle, high = (F.coalesce(F.col(n), F.lit(whole[n]).cast("double")) for n in "abc")
+    reach = REACH * (1 + F.sqrt(F.lit(float(SHORT)) / F.greatest("n_bytes", F.lit(1))))
+    fenced = scores.join(each, lang, "left").select(key, lang, "n_bytes", "perplexity", (middle - (middle - low) * reach).alias("low"), (middle + (high - middle) * reach).alias("high"))
+    inside = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
+    return fenced.withColumn("keep", inside | (F.col("n_bytes") < LEAST_BYTES))
