@@ -53,6 +53,11 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
+def ddl(df: DataFrame, names: list[str]) -> str:
+    """The named columns as a schema."""
+    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that column ``text`` has ``limit`` bytes at most in each (one row at least)."""
     for batch in batches:
@@ -100,8 +105,8 @@ def bloom_semi(df: DataFrame, key: str, wanted: DataFrame, log2_bits: int = 23,
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
     )
     table = np.zeros(bits // 64, np.int64)
-    for w, b in words.toPandas().itertuples(index=False):
-        table[w] = b
+    found = words.toArrow()
+    table[found.column("w").to_numpy()] = found.column("b").to_numpy()
     held = spark.sparkContext.broadcast(table.tobytes())
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

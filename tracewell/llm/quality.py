@@ -16,7 +16,7 @@ from tracewell.llm.grams import add_counts, count_keys, distinct_by_text, gram_k
 #: Grams of bytes: the last byte and four bytes of context.
 SIZE = 5
 #: Grams whose probabilities are sent to the workers at a time: 12 bytes each.
-SHARD_ROWS = 4_000_000
+SHARD_ROWS = 2_000_000
 #: Grams that a task gathers before it hands them on.
 HELD_ROWS = 2_000_000
 
@@ -110,8 +110,8 @@ def perplexity(df: DataFrame, model: KneserNey, key: str = "doc_id", text: str =
     shards = max(1, -(-answers.count() // SHARD_ROWS))
     held = []
     for i in range(shards):
-        part = (answers if shards == 1 else answers.where(F.pmod(F.xxhash64("gram"), F.lit(shards)) == i)).toPandas().sort_values("gram")
-        held.append(df.sparkSession.sparkContext.broadcast((part["gram"].to_numpy(np.int64).view(np.uint64), part["bits"].to_numpy(np.float32))))
+        part = (answers if shards == 1 else answers.where(F.pmod(F.xxhash64("gram"), F.lit(shards)) == i)).toArrow().sort_by("gram")
+        held.append(df.sparkSession.sparkContext.broadcast((part.column("gram").to_numpy().view(np.uint64), part.column("bits").to_numpy())))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
