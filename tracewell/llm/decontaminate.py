@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import map_batches, slices, splitmix64, text_bytes
+from tracewell.llm.common import ddl, map_batches, slices, splitmix64, text_bytes
 from tracewell.llm.words import Words, split_words
 
 #: Benchmark text that one block of test suffixes holds; more is worked through in blocks.
@@ -44,9 +43,9 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return splitmix64(a * np.uint64(0xD6E8FEB86659FD93) + b)
 
 
-def index_tests(items: pd.DataFrame, size: int) -> Tests:
+def index_tests(items: pa.Table, size: int) -> Tests:
     """Test suffixes of items (item_id as text, text): one for each word that begins a window."""
-    data, offsets = text_bytes(pa.array(items["text"].tolist(), pa.string()))
+    data, offsets = text_bytes(items.column("text").combine_chunks())
     words = split_words(data, offsets)
     text = words.text_of
     end_of = words.first[1:][text] if len(text) else text
@@ -62,7 +61,7 @@ def index_tests(items: pd.DataFrame, size: int) -> Tests:
         order = np.argsort(which, kind="stable")
         sizes[m] = distinct, own[order], np.searchsorted(which[order], np.arange(len(distinct) + 1))
     near = np.flatnonzero(text[1:] == text[:-1]) if len(text) else text
-    return Tests(items["item_id"].tolist(), words.hashes, end_of, text, words.first, sizes, np.unique(_pair(words.hashes[near], words.hashes[near + 1])), np.unique(words.hashes))
+    return Tests(items.column("item_id").to_pylist(), words.hashes, end_of, text, words.first, sizes, np.unique(_pair(words.hashes[near], words.hashes[near + 1])), np.unique(words.hashes))
 
 
 def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -168,10 +167,10 @@ def find(words: Words, tests: Tests, hit: np.ndarray) -> list[tuple[int, str, in
     return found
 
 
-def contamination(df: DataFrame, benchmark: DataFrame, size: int = 13, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def contamination(df: DataFrame, benchmark: DataFrame, size: int = 13, text: str = "text", item_key: str = "item_id", item_text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """For each document its words, the words inside a benchmark window, and the longest matches.
 
-    key, ``n_words``, ``n_hit``, ``item_ids`` (distinct, sorted as strings) and
+    The columns to carry, ``n_words``, ``n_hit``, ``item_ids`` (distinct, sorted as strings) and
     ``matches``: item, place in the item, place in the document and length in words of
     each verbatim match that reaches no further on either side.  A window is ``size``
     consecutive words of an item; an item of fewer words, but not none, is one window.
@@ -189,11 +188,11 @@ def contamination(df: DataFrame, benchmark: DataFrame, size: int = 13, key: str
     blocks = []
     for i in range(n_blocks):
         own = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == i)
-        blocks.append(spark.sparkContext.broadcast(index_tests(own.toPandas(), size)))
+        blocks.append(spark.sparkContext.broadcast(index_tests(own.toArrow(), size)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            words = split_words(*text_bytes(batch.column(1)))
+        for batch in slices(batches, 0):
+            words = split_words(*text_bytes(batch.column(0)))
             hit, found = np.zeros(len(words.hashes), np.int64), []
             for block in blocks:
                 found += find(words, block.value, hit)
@@ -205,16 +204,16 @@ def contamination(df: DataFrame, benchmark: DataFrame, size: int = 13, key: str
                 matches[doc].append({"item_id": item, "item_word": item_word, "doc_word": doc_word, "n_words": n})
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *batch.columns[1:],
                     pa.array(np.diff(words.first), pa.int64()),
                     pa.array(sums[words.first[1:]] - sums[words.first[:-1]], pa.int64()),
                     pa.array([sorted({m["item_id"] for m in own}) for own in matches], pa.list_(pa.string())),
                     pa.array(matches, _MATCHES),
                 ],
-                [key, "n_words", "n_hit", "item_ids", "matches"],
+                [*carry, "n_words", "n_hit", "item_ids", "matches"],
             )
 
-    return map_batches(df.select(F.col(key).cast("long").alias(key), text), run, f"{key} long, {SCHEMA}")
+    return map_batches(df.select(F.col(text).alias("__text"), *carry), run, f"{ddl(df, list(carry))}, {SCHEMA}")
 
 
 _MATCHES = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())]))

@@ -262,8 +262,8 @@ def extract_text(df: DataFrame, key: str = "page_id", url: str = "url", source:
     shards = max(1, -(-low.count() // SHARD_ROWS))
     held = []
     for i in range(shards):
-        part = (low if shards == 1 else low.where(F.pmod("branch", F.lit(shards)) == i)).toPandas()
-        held.append(df.sparkSession.sparkContext.broadcast(np.sort(part["branch"].to_numpy(np.int64))))
+        part = (low if shards == 1 else low.where(F.pmod("branch", F.lit(shards)) == i)).toArrow()
+        held.append(df.sparkSession.sparkContext.broadcast(np.sort(part.column("branch").to_numpy())))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):

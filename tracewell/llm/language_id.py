@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import map_batches, slices, text_bytes
+from tracewell.llm.common import ddl, map_batches, slices, text_bytes
 from tracewell.llm.grams import add_counts, count_keys, distinct_by_text, gram_keys, look_up
 
 #: Bytes of context at most.
@@ -144,16 +145,16 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             yield pa.RecordBatch.from_arrays([pa.array([own] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(times, pa.int64())], ["lang", "gram", "times"])
 
     grams = map_batches(sample(df, key, text, lang), run, "lang string, gram long, times long")
-    found = grams.groupBy("lang", "gram").agg(F.sum("times").alias("times")).toPandas()
+    found = grams.groupBy("lang", "gram").agg(F.sum("times").alias("times")).toArrow()
     counts = {}
-    for own, part in found.groupby("lang"):
-        part = part.sort_values("gram")
-        counts[own] = part["gram"].to_numpy(np.int64).view(np.uint64), part["times"].to_numpy(np.int64)
+    for own in pa.compute.unique(found.column("lang")).to_pylist():
+        part = found.filter(pa.compute.equal(found.column("lang"), own)).sort_by("gram")
+        counts[own] = part.column("gram").to_numpy().view(np.uint64), part.column("times").to_numpy()
     return Model(counts)
 
 
-def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ``lang_pred``, ``score`` and ``bits_per_byte`` of every whole text.
+def identify(df: DataFrame, model: Model, text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns to carry, ``lang_pred``, ``score`` and ``bits_per_byte`` of every whole text.
 
     The prediction is the language whose tree codes the text in the fewest bits, ties
     to the first by name; the score is its share of 2 to the minus bits over all
@@ -164,9 +165,9 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        for batch in slices(batches, 1):
-            data, offsets = text_bytes(batch.column(1))
-            letters = np.array([bool(t and _LETTER.search(t)) for t in batch.column(1).to_pylist()], bool)
+        for batch in slices(batches, 0):
+            data, offsets = text_bytes(batch.column(0))
+            letters = np.array([bool(t and _LETTER.search(t)) for t in batch.column(0).to_pylist()], bool)
             bits = own.score(data, offsets)
             if own.langs:
                 best = bits.argmin(axis=1)
@@ -178,8 +179,8 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
             langs = [own.langs[best[i]] if ok else UNDETERMINED for i, ok in enumerate(letters)]
             score = np.where(letters, share, 0.0) if own.langs else np.zeros(len(letters))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(each if own.langs else score, pa.float64(), mask=~letters)],
-                [key, "lang_pred", "score", "bits_per_byte"],
+                [*batch.columns[1:], pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(each if own.langs else score, pa.float64(), mask=~letters)],
+                [*carry, "lang_pred", "score", "bits_per_byte"],
             )
 
-    return map_batches(df.select(F.col(key).cast("long").alias(key), text), run, f"{key} long, lang_pred string, score double, bits_per_byte double")
+    return map_batches(df.select(F.col(text).alias("__text"), *carry), run, f"{ddl(df, list(carry))}, lang_pred string, score double, bits_per_byte double")

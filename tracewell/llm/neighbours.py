@@ -135,9 +135,9 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", v
     size, total = sizes["n"], sizes["c"]
     rows = rows.where(F.size("v") == size)
     hashed = rows.select(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)).alias("h"), "v").where(F.col("h") < int(min(1.0, 1.2 * SAMPLE_ROWS / total) * (1 << 30)))
-    sample = hashed.orderBy("h").limit(SAMPLE_ROWS).toPandas()
+    sample = hashed.orderBy("h").limit(SAMPLE_ROWS).toArrow()
     centroids = int(min(MOST_CENTROIDS, max(1, round((total / 12) ** 0.5))))
-    points = np.stack(sample["v"].to_list()).astype(np.float64)
+    points = _vectors(sample.column("v").combine_chunks(), size)
     fitted = Codebooks(points, centroids)
     share, width = calibrate(fitted, points, k), len(fitted.books[1])
     books = spark.sparkContext.broadcast(fitted)
