@@ -30,11 +30,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _load() -> None:
+    """The modules register their queries as they are imported."""
+    from tracewell.plans import edge_queries, graph_queries, pipeline_queries, report_queries, source_queries, text_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
 
 
