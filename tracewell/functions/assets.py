@@ -99,12 +99,16 @@ def completeness(resolved: Column, total: Column) -> Column:
     return F.when((F.coalesce(total, F.lit(0)) == 0) | (F.coalesce(resolved, F.lit(0)) == 0), "unavailable").when(resolved >= total, "complete").otherwise("partial")
 
 
+def _without(entries: Column, keys: tuple[str, ...]) -> Column:
+    return F.map_filter(entries, lambda k, _: ~k.isin(*keys))
+
+
 def asset_key(kind: str | Column, metadata: str | Column, lead: dict[str, tuple[str, ...]]) -> Column:
     """kind|leading values|remaining metadata as :k=v in key order; ``lead`` names the leading keys of each kind."""
     k, m = _c(kind), _c(metadata)
     key = F.lit(None).cast("string")
     for name, fields in lead.items():
         values = F.concat_ws("|", F.lit(name), *[F.coalesce(F.try_element_at(m, F.lit(f)), F.lit("")) for f in fields])
-        rest = F.array_sort(F.map_entries(F.map_filter(m, lambda a, _, own=fields: ~a.isin(*own))))
+        rest = F.array_sort(F.map_entries(_without(m, fields)))
         key = F.when(k == name, F.concat(values, F.array_join(F.transform(rest, lambda e: F.concat(F.lit(":"), e["key"], F.lit("="), e["value"])), ""))).otherwise(key)
     return key
