@@ -1 +1,330 @@
-"""Placeholder."""
+"""Queries over graphs: reach, roots, closures, routes, types, provenance."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tracewell.operators import graph, infer, provenance
+from tracewell.plans.registry import query, read
+
+# A layered call graph: customer → order → part → supplier → nation → region.
+EDGES_SQL = """e AS (SELECT DISTINCT 'c' || o_custkey AS caller, 'o' || o_orderkey AS callee FROM orders
+UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem
+UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"""
+
+
+def edges(spark, sf_dir):
+    def pair(table, a, x, b, y):
+        return read(spark, sf_dir, table).select(F.concat(F.lit(a), x).alias("caller"), F.concat(F.lit(b), y).alias("callee"))
+
+    out = pair("orders", "c", "o_custkey", "o", "o_orderkey").union(pair("lineitem", "o", "l_orderkey", "p", "l_partkey")).union(pair("lineitem", "p", "l_partkey", "s", "l_suppkey"))
+    return out.union(pair("supplier", "s", "s_suppkey", "n", "s_nationkey")).union(pair("nation", "n", "n_nationkey", "r", "n_regionkey")).distinct()
+
+
+def anchors(spark, sf_dir, table="region", letter="r", column="r_regionkey", where="true"):
+    return read(spark, sf_dir, table).where(where).select(F.concat(F.lit(letter), column).alias("anchor"))
+
+
+def _reach_sql(start: str, stop: str = "") -> str:
+    return f"""{EDGES_SQL}, w AS (SELECT a AS anchor, a AS node, 0 AS depth FROM ({start}) UNION SELECT anchor, caller, depth + 1 FROM w JOIN e ON e.callee = w.node {stop}),
+m AS (SELECT anchor, node, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY ALL)"""
+
+
+_REGIONS = "SELECT 'r' || r_regionkey AS a FROM region"
+
+
+@query("reach_depth", f"WITH RECURSIVE {_reach_sql(_REGIONS)} SELECT anchor, node, depth FROM m")
+def reach_depth(spark, sf_dir):
+    return graph.reach(edges(spark, sf_dir), anchors(spark, sf_dir))
+
+
+@query("reach_boundary", f"WITH RECURSIVE {_reach_sql(_REGIONS, 'WHERE substr(w.node, 1, 1) <> chr(112)')} SELECT anchor, node, depth FROM m")
+def reach_boundary(spark, sf_dir):
+    parts = read(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node"))
+    return graph.reach(edges(spark, sf_dir), anchors(spark, sf_dir), boundary=parts)
+
+
+@query("reach_frames", f"WITH RECURSIVE {_reach_sql(_REGIONS)} SELECT anchor, node, depth FROM m WHERE depth <= 3")
+def reach_frames(spark, sf_dir):
+    return graph.reach(edges(spark, sf_dir), anchors(spark, sf_dir), max_frames=4)
+
+
+@query("shortest_routes", "SELECT 'r' || n_regionkey AS anchor, 's' || s_suppkey AS node, 'r' || n_regionkey || '<n' || s_nationkey || '<s' || s_suppkey AS route FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def shortest_routes(spark, sf_dir):
+    found = graph.reach(edges(spark, sf_dir), anchors(spark, sf_dir), max_frames=3, routes=True)
+    return found.where("depth = 2").select("anchor", "node", F.array_join("route", "<").alias("route"))
+
+
+@query("reach_terminals", f"WITH RECURSIVE {_reach_sql(_REGIONS)} SELECT anchor, node, depth FROM m WHERE node NOT IN (SELECT callee FROM e)")
+def reach_terminals(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    return graph.terminals(graph.reach(e, anchors(spark, sf_dir)), e)
+
+
+@query("entry_roots", f"WITH {EDGES_SQL} SELECT DISTINCT caller AS node FROM e WHERE caller NOT IN (SELECT callee FROM e)")
+def entry_roots(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    return graph.roots(e.select(F.col("caller").alias("node")), e)
+
+
+@query("entry_point_index", f"WITH RECURSIVE {_reach_sql(_REGIONS)} SELECT node AS function, 'f-' || anchor AS finding_id, depth + 1 AS depth, node NOT IN (SELECT callee FROM e) AS is_root FROM m WHERE depth <= 3")
+def entry_point_index(spark, sf_dir):
+    e, a = edges(spark, sf_dir), anchors(spark, sf_dir)
+    root = graph.roots(e.select(F.col("caller").alias("node")), e)
+    return graph.entry_point_index(graph.reach(e, a, max_frames=4), a.select(F.concat(F.lit("f-"), "anchor").alias("finding_id"), "anchor"), root)
+
+
+@query("composed_depth", "SELECT 'o' || l_orderkey AS function, 'f' || l_suppkey % 3 AS finding_id, min(l_linenumber + l_suppkey % 5) AS depth, bool_or(l_returnflag = 'N' AND l_suppkey % 2 = 0) AS proven FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL")
+def composed_depth(spark, sf_dir):
+    own = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("function"), F.col("l_suppkey").alias("via"), F.col("l_linenumber").cast("long").alias("depth"), (F.col("l_returnflag") == "N").alias("proven"))
+    s = F.col("s_suppkey")
+    dep = read(spark, sf_dir, "supplier").select(s.alias("function"), F.concat(F.lit("f"), s % 3).alias("finding_id"), (s % 5).alias("depth"), (s % 2 == 0).alias("proven"))
+    return graph.composed_entry_points(own, dep)
+
+
+@query("append_entries", "SELECT l_partkey AS function, min(l_quantity) AS depth FROM lineitem WHERE l_tax > 0.07 GROUP BY 1 UNION ALL SELECT p_partkey, -1 FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_tax > 0.07)")
+def append_entries(spark, sf_dir):
+    base = read(spark, sf_dir, "lineitem").where("l_tax > 0.07").groupBy(F.col("l_partkey").alias("function")).agg(F.min("l_quantity").alias("depth"))
+    return graph.append_missing(base, read(spark, sf_dir, "part").select(F.col("p_partkey").alias("function"), F.lit(-1.0).alias("depth")), ["function"])
+
+
+@query("route_splice", "SELECT l_orderkey AS finding_id, 'a>o' || l_linenumber || '>z' AS route FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = o_custkey % 4")
+def route_splice(spark, sf_dir):
+    a = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("finding_id"), F.array(F.lit("a"), F.concat(F.lit("o"), "l_linenumber")).alias("stitched"))
+    b = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("finding_id"), F.array(F.concat(F.lit("o"), F.col("o_custkey") % 4), F.lit("z")).alias("recorded"))
+    return graph.splice_routes(a, b).select("finding_id", F.array_join("route", ">").alias("route"))
+
+
+# A cyclic dependency graph over parts: p needs 3p + 1 and 7p + 2, modulo their number.
+DEPS_SQL = "n AS (SELECT count(*) AS n FROM part), d AS (SELECT p_partkey AS parent, (p_partkey * 3 + 1) % n AS child FROM part, n UNION SELECT p_partkey, (p_partkey * 7 + 2) % n FROM part, n WHERE p_partkey % 3 = 0)"
+_CLOSURE_SQL = f"{DEPS_SQL}, w AS (SELECT CAST(5 AS BIGINT) AS node, 0 AS depth UNION SELECT child, depth + 1 FROM w JOIN d ON parent = node WHERE depth < 60), c AS (SELECT node AS component, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY 1)"
+
+
+def _deps(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    n = p.count()
+    a = p.select(F.col("p_partkey").alias("parent"), ((F.col("p_partkey") * 3 + 1) % n).alias("child"))
+    return a.union(p.where("p_partkey % 3 = 0").select("p_partkey", (F.col("p_partkey") * 7 + 2) % n)).distinct()
+
+
+@query("dependency_closure", f"WITH RECURSIVE {_CLOSURE_SQL} SELECT component, depth FROM c")
+def dependency_closure(spark, sf_dir):
+    return graph.dependency_closure(_deps(spark, sf_dir), spark.range(5, 6).select(F.col("id").alias("component")))
+
+
+@query("missing_fragments", f"WITH RECURSIVE {_CLOSURE_SQL} SELECT component FROM c WHERE component NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)")
+def missing_fragments(spark, sf_dir):
+    closure = graph.dependency_closure(_deps(spark, sf_dir), spark.range(5, 6).select(F.col("id").alias("component")))
+    return graph.missing_fragments(closure, read(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("component")))
+
+
+@query("keep_set", f"WITH RECURSIVE {_CLOSURE_SQL}, u AS (SELECT CAST(20 AS BIGINT) AS node UNION SELECT parent FROM u JOIN d ON child = node) SELECT component AS module FROM c WHERE component IN (SELECT node FROM u)")
+def keep_set(spark, sf_dir):
+    one = lambda i: spark.range(i, i + 1).select(F.col("id").alias("module"))
+    return graph.prune_modules(_deps(spark, sf_dir), one(5), one(20))
+
+
+@query(
+    "scc_members",
+    """WITH RECURSIVE d AS (SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation UNION SELECT n_nationkey, n_regionkey * 5 FROM nation WHERE n_nationkey % 4 = 0),
+r AS (SELECT DISTINCT x AS a, x AS b FROM (SELECT a AS x FROM d UNION SELECT b FROM d) UNION SELECT r.a, d.b FROM r JOIN d ON r.b = d.a)
+SELECT r.a AS node, min(r.b) AS component FROM r JOIN r q ON r.a = q.b AND r.b = q.a GROUP BY r.a""",
+)
+def scc_members(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    e = n.select(F.col("n_nationkey").alias("caller"), ((F.col("n_nationkey") * 3 + 1) % 25).alias("callee")).union(n.where("n_nationkey % 4 = 0").select("n_nationkey", F.col("n_regionkey") * 5))
+    return graph.strongly_connected(e)
+
+
+_SUPPLIERS = "SELECT 's' || s_suppkey AS a FROM supplier WHERE s_suppkey % 10 = 1"
+
+
+def _supplier_graph(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    r = graph.reach(e, anchors(spark, sf_dir, "supplier", "s", "s_suppkey", "s_suppkey % 10 = 1"))
+    return e, r, graph.terminals(r, e)
+
+
+@query(
+    "route_count",
+    f"WITH {EDGES_SQL} SELECT s.callee AS anchor, CAST(count(*) AS VARCHAR) AS n_routes FROM e s JOIN e p ON p.callee = s.caller JOIN e o ON o.callee = p.caller WHERE s.callee IN ({_SUPPLIERS}) GROUP BY 1",
+)
+def route_count(spark, sf_dir):
+    e, r, ends = _supplier_graph(spark, sf_dir)
+    return graph.route_counts(r, e, ends).select("anchor", "n_routes")
+
+
+@query("routes_budgeted")
+def routes_budgeted(spark, sf_dir):
+    e, r, ends = _supplier_graph(spark, sf_dir)
+    return graph.enumerate_routes(r, e, ends, budget=16)
+
+
+@query(
+    "forward_closure_capped",
+    f"""WITH {EDGES_SQL}, a AS (SELECT DISTINCT callee AS anchor FROM e WHERE substr(callee, 1, 1) = 'o'),
+l1 AS (SELECT anchor, caller, callee, 1 AS depth FROM a JOIN e ON caller = anchor), l2 AS (SELECT DISTINCT anchor, e.caller, e.callee, 2 AS depth FROM l1 JOIN e ON e.caller = l1.callee),
+l3 AS (SELECT DISTINCT anchor, e.caller, e.callee, 3 AS depth FROM l2 JOIN e ON e.caller = l2.callee), l4 AS (SELECT DISTINCT anchor, e.caller, e.callee, 4 AS depth FROM l3 JOIN e ON e.caller = l3.callee)
+SELECT anchor, caller, callee, CAST(depth AS BIGINT) AS depth FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3 UNION ALL SELECT * FROM l4)""",
+)
+def forward_closure_capped(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    a = e.where("caller like 'c%'").select(F.col("callee").alias("anchor")).distinct()
+    return graph.forward_closure(e.withColumn("line", F.lit(1).cast("long")), a, max_depth=4).select("anchor", "caller", "callee", "depth")
+
+
+@query("simple_paths", "SELECT 'n' || n_nationkey || '>r' || n_regionkey AS path FROM nation UNION ALL SELECT 'n' || n_nationkey FROM nation")
+def simple_paths(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    e = n.select(F.concat(F.lit("n"), "n_nationkey").alias("caller"), F.concat(F.lit("r"), "n_regionkey").alias("callee"))
+    return graph.simple_paths(e, e.select(F.col("caller").alias("node"))).select(F.array_join("path", ">").alias("path"))
+
+
+@query("edge_order_dedup", "SELECT l_orderkey, l_partkey, max({'n': l_linenumber, 's': l_suppkey}).s AS l_suppkey FROM lineitem GROUP BY ALL")
+def edge_order_dedup(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey")
+    return graph.dedup_edges(rows, ["l_orderkey", "l_partkey"], ["l_linenumber", "l_suppkey"]).select("l_orderkey", "l_partkey", "l_suppkey")
+
+
+# Types: suppliers below nations below regions below Object. -----------------
+
+_TYPES = "h AS (SELECT 's' || s_suppkey AS child, 'n' || s_nationkey AS parent FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'r' || r_regionkey, 'Object' FROM region), c AS (SELECT t AS type, t AS ancestor, 0 AS depth FROM (SELECT child AS t FROM h UNION SELECT parent FROM h) UNION SELECT c.type, h.parent, depth + 1 FROM c JOIN h ON h.child = c.ancestor)"
+
+
+def _hierarchy(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("child"), F.concat(F.lit("n"), "s_nationkey").alias("parent"))
+    n = read(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
+    r = read(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("child"), F.lit("Object").alias("parent"))
+    return infer.union_hierarchy(s, n, r, s)
+
+
+@query("ancestor_closure", f"WITH RECURSIVE {_TYPES} SELECT type, ancestor, CAST(depth AS BIGINT) AS depth FROM c")
+def ancestor_closure(spark, sf_dir):
+    return infer.ancestors(_hierarchy(spark, sf_dir))
+
+
+@query(
+    "type_lattice_join",
+    f"""WITH RECURSIVE {_TYPES}, x AS (SELECT DISTINCT 'o' || l_orderkey AS owner, 's' || l_suppkey AS type FROM lineitem WHERE l_quantity > 40),
+k AS (SELECT owner, count(*) AS n, min(type) AS type FROM x GROUP BY 1),
+u AS (SELECT owner, n, ancestor, sum(depth) AS far FROM x JOIN k USING (owner) JOIN c ON c.type = x.type WHERE n > 1 AND ancestor <> 'Object' GROUP BY ALL HAVING count(*) = n)
+SELECT owner, type, 'high' AS confidence FROM k WHERE n = 1 UNION ALL SELECT owner, arg_min(ancestor, {{'f': far, 'a': ancestor}}), 'medium' FROM u GROUP BY owner""",
+)
+def type_lattice_join(spark, sf_dir):
+    x = read(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.concat(F.lit("o"), "l_orderkey").alias("owner"), F.concat(F.lit("s"), "l_suppkey").alias("type"), F.lit("high").alias("confidence"))
+    return infer.lattice_join(x, infer.ancestors(_hierarchy(spark, sf_dir)))
+
+
+@query("return_inference", "SELECT 'o' || l_orderkey AS owner, 's' || min(l_suppkey) AS type, 'constructor' AS origin FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) = 1 UNION ALL SELECT 'c' || o_custkey, 's' || min(s), 'propagated' FROM orders JOIN (SELECT l_orderkey AS k, min(l_suppkey) AS s FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1) ON k = o_orderkey GROUP BY o_custkey HAVING count(DISTINCT s) = 1")
+def return_inference(spark, sf_dir):
+    """Orders return what their one supplier constructs; customers what their orders return.  Types have no ancestors here."""
+    x = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("owner"), F.concat(F.lit("s"), "l_suppkey").alias("type"), F.lit("high").alias("confidence"), F.lit("constructor").alias("origin"))
+    calls = read(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("owner"), F.concat(F.lit("o"), "o_orderkey").alias("callee"))
+    none = spark.createDataFrame([], "type string, ancestor string, depth long")
+    return infer.infer_return_types(x, calls, none).select("owner", "type", "origin")
+
+
+@query("inherited_methods", "SELECT 's' || s_suppkey AS type, m AS method, CASE WHEN m = s_suppkey % 4 THEN 's' || s_suppkey WHEN m = s_nationkey % 4 THEN 'n' || s_nationkey ELSE 'r' || n_regionkey END AS key, m <> s_suppkey % 4 AS inherited FROM supplier JOIN nation ON s_nationkey = n_nationkey, (SELECT unnest([0, 1, 2, 3]) AS m) WHERE m IN (s_suppkey % 4, s_nationkey % 4, n_regionkey % 4)")
+def inherited_methods(spark, sf_dir):
+    def own(table, letter, column):
+        return read(spark, sf_dir, table).select(F.concat(F.lit(letter), column).alias("owner"), (F.col(column) % 4).cast("long").alias("method"), F.lit(0).alias("arity"), F.concat(F.lit(letter), column).alias("key"))
+
+    m = own("supplier", "s", "s_suppkey").union(own("nation", "n", "n_nationkey")).union(own("region", "r", "r_regionkey"))
+    return infer.inherited_methods(m, infer.ancestors(_hierarchy(spark, sf_dir))).where("type like 's%'").select("type", "method", "key", "inherited")
+
+
+@query("base_resolution", "SELECT s_suppkey AS child, CASE WHEN n = 1 THEN one ELSE near END AS parent FROM (SELECT s_suppkey, count(n_nationkey) AS n, min(n_nationkey) AS one, min(n_nationkey) FILTER (n_nationkey % 3 = s_suppkey % 3) AS near FROM supplier JOIN nation ON s_suppkey % 6 = n_regionkey GROUP BY 1) WHERE CASE WHEN n = 1 THEN one ELSE near END IS NOT NULL")
+def base_resolution(spark, sf_dir):
+    b = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("child"), (F.col("s_suppkey") % 3).alias("package"), (F.col("s_suppkey") % 6).cast("int").alias("base"))
+    t = read(spark, sf_dir, "nation").select((F.col("n_nationkey") % 3).cast("long").alias("package"), F.col("n_regionkey").alias("name"), F.col("n_nationkey").alias("key"))
+    return infer.resolve_bases(b, t)
+
+
+@query("parent_set_merge", "SELECT l_orderkey % 50 AS type, string_agg(DISTINCT l_suppkey % 4, ',' ORDER BY l_suppkey % 4) AS parents FROM lineitem GROUP BY 1")
+def parent_set_merge(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 50).alias("type"), F.col("l_linenumber").alias("library"), (F.col("l_suppkey") % 4).alias("p"))
+    sets = rows.groupBy("type", "library").agg(F.collect_set("p").alias("parents"))
+    return infer.merge_parent_sets(sets).select("type", F.array_join("parents", ",").alias("parents"))
+
+
+@query("pass_through", "SELECT DISTINCT 'o' || l_orderkey AS caller, 'via' AS callee FROM lineitem UNION SELECT 'o' || l_orderkey, 't' || s_suppkey FROM lineitem JOIN supplier ON l_suppkey % 7 = s_nationkey WHERE s_nationkey IN (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING count(*) = 1)")
+def pass_through(spark, sf_dir):
+    a = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("caller"), F.lit("via").alias("callee"), (F.col("l_suppkey") % 7).cast("int").alias("arg_type")).distinct()
+    d = read(spark, sf_dir, "supplier").select(F.lit("via").alias("via"), F.col("s_nationkey").alias("owner"), F.concat(F.lit("t"), "s_suppkey").alias("target"))
+    return infer.pass_through(a.select("caller", "callee"), a, d)
+
+
+@query("inference_telemetry", "SELECT o_orderpriority AS origin, count(*) AS n FROM orders GROUP BY 1")
+def inference_telemetry(spark, sf_dir):
+    return infer.telemetry(read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("origin")))
+
+
+@query("value_unanimity", "SELECT l_orderkey, CASE WHEN count(*) = count(v) AND count(DISTINCT v) = 1 THEN min(v) ELSE '' END AS value, count(*) AS n_sources FROM (SELECT l_orderkey, CASE WHEN l_tax > 0.01 THEN l_linestatus END AS v FROM lineitem) GROUP BY 1")
+def value_unanimity(spark, sf_dir):
+    return provenance.unanimous_values(read(spark, sf_dir, "lineitem").select("l_orderkey", F.when(F.col("l_tax") > 0.01, F.col("l_linestatus")).alias("value")), ["l_orderkey"])
+
+
+@query(
+    "parameter_provenance",
+    """WITH RECURSIVE c AS (SELECT o_custkey AS callee, o_orderkey % 3 AS i, CASE WHEN o_orderstatus = 'P' THEN 'parameter' ELSE 'literal' END AS kind, o_orderpriority AS argument, (o_custkey * 7) % 150 AS caller, o_orderkey % 2 AS cp FROM orders),
+u AS (SELECT callee, i, min(kind) AS kind, min(argument) AS argument, min(caller) AS caller, min(cp) AS cp FROM c GROUP BY ALL HAVING count(*) = 1),
+w AS (SELECT c_custkey AS id, c_custkey AS f, 0 AS p, 0 AS hops, 'parameter' AS kind, CAST(NULL AS VARCHAR) AS v FROM customer
+  UNION ALL SELECT id, caller, cp, hops + 1, coalesce(u.kind, 'none'), CASE WHEN u.kind = 'literal' THEN argument END FROM w LEFT JOIN u ON w.f = u.callee AND w.p = u.i WHERE w.kind = 'parameter' AND hops < 8)
+SELECT id, v AS value, CAST(hops AS BIGINT) AS hops FROM w WHERE kind <> 'parameter' OR hops = 8""",
+)
+def parameter_provenance(spark, sf_dir):
+    args = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("parameter").alias("kind"), F.lit(None).cast("string").alias("value"), F.col("c_custkey").alias("function"), F.lit(0).cast("long").alias("param_index"))
+    o = F.col("o_orderkey")
+    calls = read(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("callee"), (o % 3).alias("arg_index"), F.when(F.col("o_orderstatus") == "P", "parameter").otherwise("literal").alias("kind"), F.col("o_orderpriority").alias("argument"),
+        ((F.col("o_custkey") * 7) % 150).alias("caller"), (o % 2).alias("caller_param"),
+    )
+    return provenance.follow_parameters(args, calls)
+
+
+@query("chain_values", "SELECT l_orderkey AS chain, l_linenumber AS pos, string_agg(l_suppkey, ',') OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey ROWS UNBOUNDED PRECEDING) AS sources FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL)")
+def chain_values(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("chain"), F.col("l_linenumber").alias("pos")).agg(F.min("l_suppkey").cast("string").alias("argument"))
+    return provenance.chain_values(rows).select("chain", "pos", F.array_join("sources", ",").alias("sources"))
+
+
+@query("producer_key_bits", "SELECT c_custkey AS id, CAST(CASE WHEN c_nationkey % 2 = 0 THEN 128 ELSE 256 END AS INTEGER) AS bits, CAST(CASE WHEN c_nationkey % 2 = 0 THEN 1 ELSE 2 END AS BIGINT) AS hops FROM customer")
+def producer_key_bits(spark, sf_dir):
+    args = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("c"), "c_nationkey").alias("node"))
+    n = read(spark, sf_dir, "nation")
+    first = n.select(F.concat(F.lit("c"), "n_nationkey").alias("node"), F.concat(F.lit("n"), "n_nationkey").alias("next"), F.lit(None).cast("int").alias("bits"))
+    second = n.select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("x"), "n_regionkey"), F.when(F.col("n_nationkey") % 2 == 0, 128))
+    third = n.select(F.concat(F.lit("x"), "n_regionkey"), F.concat(F.lit("c"), "n_nationkey"), F.lit(256)).distinct()
+    return provenance.key_bits_of_producer(args, first.union(second).union(third))
+
+
+@query("conditioned_findings", "SELECT DISTINCT o_orderkey AS finding_id, 'r' || o_custkey % 3 AS rule_id, l_linenumber AS chain, 'alg-' || l_returnflag AS name FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linestatus = 'O' WHERE o_custkey % 4 < 3 AND o_custkey % 4 = o_custkey % 3")
+def conditioned_findings(spark, sf_dir):
+    f = read(spark, sf_dir, "orders").where("o_custkey % 4 = o_custkey % 3").select(F.col("o_orderkey").alias("finding_id"), F.concat(F.lit("lib.api"), F.col("o_custkey") % 4).alias("api"))
+    r = spark.range(3).select(F.concat(F.lit("r"), "id").alias("rule_id"), F.concat(F.lit("api"), "id").alias("api"), F.lit("alg-$X").alias("template"))
+    c = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("finding_id"), F.col("l_linenumber").alias("chain"), F.when(F.col("l_linestatus") == "O", "matched").otherwise("refuted").alias("verdict"), F.create_map(F.lit("X"), F.col("l_returnflag")).alias("captures"))
+    return provenance.materialise_conditioned(f, r, c)
+
+
+@query("edge_classification", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber > 4 THEN 'dispatch' ELSE 'exact' END AS kind, CASE WHEN l_partkey % 2 = 0 THEN 'internal' ELSE 'external' END AS scope FROM lineitem")
+def edge_classification(spark, sf_dir):
+    e = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.lit("c").alias("component"), F.concat(F.lit("p"), "l_partkey").alias("callee"), F.when(F.col("l_linenumber") > 4, "dispatch").alias("kind"))
+    f = read(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.lit("c").alias("component"), F.concat(F.lit("p"), "p_partkey").alias("key"))
+    return provenance.classify_edges(e, f).select("l_orderkey", "l_linenumber", "l_partkey", "kind", "scope")
+
+
+@query(
+    "lifecycle_calls",
+    """WITH c AS (SELECT user_id, event_id, event_type FROM events), t AS (SELECT * FROM c WHERE event_type = 'purchase'),
+b AS (SELECT t.user_id, t.event_id, max(c.event_id) FILTER (c.event_id < t.event_id) AS since, min(c.event_id) FILTER (c.event_id > t.event_id) AS again FROM t LEFT JOIN c ON c.user_id = t.user_id AND c.event_type = 'signup' GROUP BY ALL)
+SELECT CAST(b.event_id AS VARCHAR) AS finding_id, 'u' || b.user_id AS function, c.event_id AS call_idx FROM b JOIN c ON c.user_id = b.user_id AND c.event_id <> b.event_id
+WHERE (c.event_type <> 'signup' AND c.event_id > coalesce(since, -1) AND c.event_id <= coalesce(again, 1e15)) OR c.event_id = since""",
+)
+def lifecycle_calls(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    calls = e.select(
+        F.concat(F.lit("u"), "user_id").alias("function"), F.col("event_id").alias("call_idx"), F.when(F.col("event_type") != "signup", "v").alias("receiver"),
+        F.when(F.col("event_type") == "signup", "v").alias("assigned"), F.lit(None).cast("long").alias("chain_id"),
+    )
+    ends = e.where("event_type = 'purchase'").select(F.col("event_id").alias("finding_id"), F.concat(F.lit("u"), "user_id").alias("function"), F.col("event_id").alias("call_idx"))
+    return provenance.lifecycle_calls(calls, ends)
