@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass works on; longer batches are sliced, a longer text is a slice by itself.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def tune(spark: SparkSession) -> None:
@@ -70,6 +70,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_BYTE
             upto = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
             yield batch.slice(at, upto - at)
             at = upto
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

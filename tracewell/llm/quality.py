@@ -18,7 +18,7 @@ SIZE = 5
 #: Grams whose probabilities are sent to the workers at a time: 12 bytes each.
 SHARD_ROWS = 2_000_000
 #: Grams that a task gathers before it hands them on.
-HELD_ROWS = 2_000_000
+HELD_ROWS = 500_000
 
 
 def _grams(df: DataFrame, text: str) -> DataFrame:
