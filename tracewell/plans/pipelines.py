@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import skipped
+from tracewell.functions.text import relative_path, skipped
 from tracewell.operators import detect, graph, report, resolve, spans
 
 
@@ -15,7 +15,8 @@ def scan(files: DataFrame, rules: Sequence[detect.Rule], languages: Sequence[str
     """Files (path, text) to deduplicated assets: skip, choose rules, detect, shape, drop dead code, merge."""
     kept = files.where(~skipped("path", skip))
     assets = detect.to_assets(detect.detect_lines(kept, detect.rules_for(rules, languages)), root, prefixes)
-    dead = report.dead_regions(kept.where("text like '%#if%'"), "path", "text")
+    sources = kept.where("text like '%#if%'").select((relative_path("path", F.lit(root)) if root else F.col("path")).alias("path"), "text")
+    dead = report.dead_regions(sources, "path", "text")
     assets = report.drop_dead(assets, dead)
     rows = assets.select("file_path", F.concat_ws("|", "rule_id", "match").alias("asset_key"), "start_line", "end_line", F.struct("start_col", "rule_id").alias("ord"), "status", "match", F.lit("").alias("purl"), "rules", F.create_map(F.lit("severity"), F.col("severity")).alias("metadata"))
     return report.dedup_assets(rows)
