@@ -14,7 +14,7 @@ from tracewell.llm.common import bloom_semi, map_batches, slices, splitmix64, te
 from tracewell.llm.words import shingles, split_words
 
 #: Members of a bucket that meet in one task; larger buckets go block against block.
-BLOCK_ROWS, BLOCK_BYTES = 1024, 32 << 20
+BLOCK_ROWS, BLOCK_BYTES = 256, 8 << 20
 #: Up to so many members are compared pair by pair, more by one matrix product.
 FEW = 12
 #: Stands for a null document id.
@@ -111,8 +111,8 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verify(band: int, reps: np.ndarray, block: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int]]:
-    """(rep, links, least rep reached) of the members that are linked here.
+def _verify(band: int, one: bool, reps: np.ndarray, block: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int]]:
+    """(rep, links, least rep reached) of the members of one block (``one``) or of two that are linked here.
 
     A pair counts in the first band in which it meets and nowhere else, so sums over
     all buckets count each link once.
@@ -134,7 +134,7 @@ def _verify(band: int, reps: np.ndarray, block: np.ndarray, sets: list[np.ndarra
         common = _overlaps(sets)
         linked = common >= threshold * (sizes[:, None] + sizes[None, :] - common)
     np.fill_diagonal(linked, False)
-    if len(np.unique(block)) > 1:  # the pairs inside a block meet elsewhere
+    if not one:  # the pairs inside a block meet elsewhere
         linked &= block[:, None] != block[None, :]
     for i in np.flatnonzero(linked.any(axis=1)):
         others = np.flatnonzero(linked[i])
@@ -181,11 +181,11 @@ def _links(members: DataFrame, threshold: float) -> DataFrame:
                 yield own, held
 
         out = []
-        for (band, *_), held in groups():
+        for (band, _, i, j), held in groups():
             table = pa.Table.from_batches(held)
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
             bands = np.array(table.column("bands").to_pylist(), np.int64)
-            out += _verify(band, table.column("rep").to_numpy(), table.column("block").to_numpy(), sets, bands, threshold)
+            out += _verify(band, i == j, table.column("rep").to_numpy(), table.column("block").to_numpy(), sets, bands, threshold)
             if len(out) > 5000:
                 yield _found(out)
                 out = []
@@ -210,10 +210,10 @@ def connected(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")  # written, so that a hot node's join can be split
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = written(large.where("a != b").distinct(), "edges")  # larger neighbours hang from the least
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         moved = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(moved.union(small.select("a", F.col("m").alias("b"))).where("a != b").distinct(), "edges")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
