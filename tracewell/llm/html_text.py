@@ -11,7 +11,7 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import map_batches, slices, written
@@ -208,11 +208,6 @@ def _features(df: DataFrame, url: str, source: str) -> DataFrame:
     return found.groupBy(*names).agg(F.sum("pages").alias("pages"))
 
 
-def _entropy_gap(pages: str, of: str) -> Column:
-    """1 minus the entropy, to the base of all pages, of a feature that is even over its pages."""
-    return 1 - F.log(F.greatest(F.col(pages), F.lit(1))) / F.log(F.greatest(F.col(of), F.lit(2)))
-
-
 def branch_importance(df: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
     """branch, ``pages``, ``importance`` and ``around`` of each branch of each site's style tree.
 
@@ -223,20 +218,20 @@ def branch_importance(df: DataFrame, url: str = "url", source: str = "html") ->
     ``around`` is the content importance of the article, or page, it lies in.
     """
     found = written(_features(df, url, source), "features")
-    texts = found.where("kind = 0")
-    # Pages of a branch: a page may have several texts in a branch, so the most of any one count is taken of sites' page numbers.
-    site = found.where("kind = 1").groupBy("site", "branch").agg(F.sum("pages").alias("m")).groupBy("site").agg(F.max("m").alias("m"))
-    rated = texts.join(site, "site").withColumn("gap", _entropy_gap("pages", "m"))
-    mean = F.sum(F.col("gap") * F.col("pages")) / F.sum("pages")
-    content = rated.groupBy("site", "branch", "area").agg(mean.alias("content"), F.sum("pages").alias("uses"), F.max("m").alias("m"))
-    around = rated.groupBy("area").agg(mean.alias("around"))
-    p = F.col("pages") / F.col("all")
-    styles = found.where("kind = 1").join(found.where("kind = 1").groupBy("branch").agg(F.sum("pages").alias("all")), "branch")
-    shape = styles.groupBy("branch").agg((-F.sum(p * F.log(p)) / F.log(F.greatest(F.max("all"), F.lit(2)))).alias("shape"))
+    n, spread = F.sum("pages").alias("n"), F.sum(F.col("pages") * F.log("pages")).alias("spread")
+    texts = found.where("kind = 0").groupBy("site", "branch", "area").agg(n, spread)
+    styles = found.where("kind = 1").groupBy("site", "branch").agg(n, spread)
+    base = lambda pages: F.log(F.greatest(F.col(pages), F.lit(2)))
+    # Pages of a site: of any branch, html say, as each page has its styles once.
+    site = styles.groupBy("site").agg(F.max("n").alias("m"))
+    content = (1 - F.col("spread") / F.col("n") / base("m")).alias("content")
+    around = texts.groupBy("site", "area").agg(F.sum("n").alias("n"), F.sum("spread").alias("spread")).join(site, "site").select("area", content.alias("around"))
+    shape = styles.select("branch", ((F.log("n") - F.col("spread") / F.col("n")) / base("n")).alias("shape"))
+    rated = texts.join(site, "site").select("branch", "area", content, F.least("n", "m").alias("pages"))
     return (
-        content.join(around, "area")
+        rated.join(around, "area")
         .join(shape, "branch", "left")
-        .select("branch", F.least("uses", "m").alias("pages"), F.greatest("content", F.coalesce("shape", F.lit(0.0))).alias("importance"), "around")
+        .select("branch", "pages", F.greatest("content", F.coalesce("shape", F.lit(0.0))).alias("importance"), "around")
     )
 
 
