@@ -278,11 +278,15 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
 def forward_closure(edges: DataFrame, anchors: DataFrame, max_depth: int = 4, max_nodes: int = 256, max_edges: int = 512) -> DataFrame:
     """anchor, caller, callee, line, depth of what anchors call, breadth first in name order, with the caps of a view.
 
-    The depth-limited reach is distributed; the caps, which depend on order, are kept
-    within each anchor's edges.  ``truncated`` tells that a cap was met.
+    The depth-limited reach is distributed.  An anchor with few edges can meet no cap,
+    as each edge adds one node at most, and is done with it; only the others, whose
+    caps depend on order, are grouped.  ``truncated`` tells that a cap was met.
     """
     near = reach(edges, anchors, "caller", "callee", max_frames=max_depth)
     rows = near.select("anchor", F.col("node").alias("caller"), "depth").join(edges.select("caller", "callee", "line").distinct(), "caller")
+    rows = written(rows.select("anchor", "caller", "callee", "line", (F.col("depth") + 1).alias("depth")), "closure")
+    small = rows.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") <= min(max_edges, max_nodes - 1)).select("anchor")
+    plain = rows.join(small, "anchor", "left_semi").withColumn("truncated", F.lit(False))
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["depth", "caller", "callee", "line"])
@@ -294,12 +298,13 @@ def forward_closure(edges: DataFrame, anchors: DataFrame, max_depth: int = 4, ma
                 cut = True
                 continue
             nodes.add(row.callee)
-            out.append((row.anchor, row.caller, row.callee, row.line, row.depth + 1))
+            out.append((row.anchor, row.caller, row.callee, row.line, row.depth))
         made = pd.DataFrame(out, columns=["anchor", "caller", "callee", "line", "depth"])
         made["truncated"] = cut
         return made
 
-    return rows.groupBy("anchor").applyInPandas(one, "anchor string, caller string, callee string, line long, depth long, truncated boolean")
+    capped = rows.join(small, "anchor", "left_anti").groupBy("anchor").applyInPandas(one, "anchor string, caller string, callee string, line long, depth long, truncated boolean")
+    return plain.select(capped.columns).union(capped)
 
 
 def simple_paths(edges: DataFrame, root_nodes: DataFrame, max_frames: int = 8) -> DataFrame:

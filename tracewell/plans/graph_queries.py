@@ -165,12 +165,13 @@ def routes_budgeted(spark, sf_dir):
     f"""WITH {EDGES_SQL}, a AS (SELECT DISTINCT callee AS anchor FROM e WHERE substr(callee, 1, 1) = 'o'),
 l1 AS (SELECT anchor, caller, callee, 1 AS depth FROM a JOIN e ON caller = anchor), l2 AS (SELECT DISTINCT anchor, e.caller, e.callee, 2 AS depth FROM l1 JOIN e ON e.caller = l1.callee),
 l3 AS (SELECT DISTINCT anchor, e.caller, e.callee, 3 AS depth FROM l2 JOIN e ON e.caller = l2.callee), l4 AS (SELECT DISTINCT anchor, e.caller, e.callee, 4 AS depth FROM l3 JOIN e ON e.caller = l3.callee)
-SELECT anchor, caller, callee, CAST(depth AS BIGINT) AS depth FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3 UNION ALL SELECT * FROM l4)""",
+SELECT anchor, CAST(depth AS BIGINT) AS depth, count(*) AS n_edges, count(DISTINCT callee) AS n_callees FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3 UNION ALL SELECT * FROM l4) GROUP BY ALL""",
 )
 def forward_closure_capped(spark, sf_dir):
     e = edges(spark, sf_dir)
     a = e.where("caller like 'c%'").select(F.col("callee").alias("anchor")).distinct()
-    return graph.forward_closure(e.withColumn("line", F.lit(1).cast("long")), a, max_depth=4).select("anchor", "caller", "callee", "depth")
+    closure = graph.forward_closure(e.withColumn("line", F.lit(1).cast("long")), a, max_depth=4)
+    return closure.groupBy("anchor", "depth").agg(F.count("*").alias("n_edges"), F.count_distinct("callee").alias("n_callees"))
 
 
 @query("simple_paths", "SELECT 'n' || n_nationkey || '>r' || n_regionkey AS path FROM nation UNION ALL SELECT 'n' || n_nationkey FROM nation")

@@ -32,7 +32,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def _load() -> None:
     """The modules register their queries as they are imported."""
-    from tracewell.plans import edge_queries, graph_queries, pipeline_queries, report_queries, source_queries, text_queries  # noqa: F401
+    from tracewell.plans import edge_queries, expand_queries, graph_queries, pipeline_queries, report_queries, source_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

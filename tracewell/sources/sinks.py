@@ -26,7 +26,14 @@ def report_json(assets: DataFrame, version: str = "1.6", tool: str = "tracewell"
     many tasks; ``write_report`` joins the parts.
     """
     item = F.struct(*[c for c in assets.columns if c != "file_path"])
-    rows = assets.groupBy("file_path").agg(F.array_sort(F.collect_list(item)).alias("cryptographic_assets"))
+    plain = [n for n, kind in assets.dtypes if n != "file_path" and not kind.startswith(("map", "array", "struct"))]
+    plain.sort(key=lambda n: (n != "start_line", n != "end_line", n))
+
+    def order(a: Column, b: Column) -> Column:
+        x, y = (F.struct(*[v[n] for n in plain]) for v in (a, b))
+        return F.when(x < y, -1).when(x > y, 1).otherwise(0)
+
+    rows = assets.groupBy("file_path").agg(F.array_sort(F.collect_list(item), order).alias("cryptographic_assets"))
     return rows.orderBy("file_path").select(F.to_json(F.struct("file_path", "cryptographic_assets")).alias("value"))
 
 
