@@ -134,7 +134,7 @@ def fluent_fallback(calls: DataFrame, methods: DataFrame, top: int = 6) -> DataF
     met = calls.join(methods.select("root", "method", F.col("key").alias("target"), F.col("arity").alias("_a"), "fluent"), ["root", "method"])
     score = F.when(F.col("arity") == F.col("_a"), 2).otherwise(0) + F.when(F.col("fluent"), 1).otherwise(0)
     order = Window.partitionBy("call_id").orderBy(F.desc("score"), "target")
-    return met.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("call_id", "target", "score", "rank", F.lit("name_only").alias("kind"))
+    return met.withColumn("score", score).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top).select("call_id", "target", "score", "rank", F.lit("name_only").alias("kind"))
 
 
 def rewrite_calls(calls: DataFrame, index: DataFrame) -> DataFrame:

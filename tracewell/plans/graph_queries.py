@@ -225,7 +225,7 @@ def return_inference(spark, sf_dir):
     return infer.infer_return_types(x, calls, none).select("owner", "type", "origin")
 
 
-@query("inherited_methods", "SELECT 's' || s_suppkey AS type, m AS method, CASE WHEN m = s_suppkey % 4 THEN 's' || s_suppkey WHEN m = s_nationkey % 4 THEN 'n' || s_nationkey ELSE 'r' || n_regionkey END AS key, m <> s_suppkey % 4 AS inherited FROM supplier JOIN nation ON s_nationkey = n_nationkey, (SELECT unnest([0, 1, 2, 3]) AS m) WHERE m IN (s_suppkey % 4, s_nationkey % 4, n_regionkey % 4)")
+@query("inherited_methods", "SELECT 's' || s_suppkey AS type, CAST(m AS BIGINT) AS method, CASE WHEN m = s_suppkey % 4 THEN 's' || s_suppkey WHEN m = s_nationkey % 4 THEN 'n' || s_nationkey ELSE 'r' || n_regionkey END AS key, m <> s_suppkey % 4 AS inherited FROM supplier JOIN nation ON s_nationkey = n_nationkey, (SELECT unnest([0, 1, 2, 3]) AS m) WHERE m IN (s_suppkey % 4, s_nationkey % 4, n_regionkey % 4)")
 def inherited_methods(spark, sf_dir):
     def own(table, letter, column):
         return read(spark, sf_dir, table).select(F.concat(F.lit(letter), column).alias("owner"), (F.col(column) % 4).cast("long").alias("method"), F.lit(0).alias("arity"), F.concat(F.lit(letter), column).alias("key"))

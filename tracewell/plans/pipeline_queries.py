@@ -34,7 +34,7 @@ def annotate_pipeline(spark, sf_dir):
     "stitch_pipeline",
     f"""WITH {EDGES_SQL}, a AS (SELECT 's' || s_suppkey AS f FROM supplier WHERE s_suppkey % 10 = 1),
 p AS (SELECT a.f, e.caller FROM a JOIN e ON e.callee = a.f), o AS (SELECT DISTINCT p.f, e.caller FROM p JOIN e ON e.callee = p.caller), c AS (SELECT DISTINCT o.f, e.caller FROM o JOIN e ON e.callee = o.caller)
-SELECT 'x-' || f AS finding_id, caller AS function, 2 AS depth, false AS is_root FROM p UNION SELECT 'x-' || f, caller, 3, false FROM o UNION SELECT 'x-' || f, caller, 4, true FROM c UNION SELECT 'x-' || f, f, 1, false FROM a""",
+SELECT 'x-' || f AS finding_id, caller AS function, 2::BIGINT AS depth, false AS is_root FROM p UNION SELECT 'x-' || f, caller, 3, false FROM o UNION SELECT 'x-' || f, caller, 4, true FROM c UNION SELECT 'x-' || f, f, 1, false FROM a""",
 )
 def stitch_pipeline(spark, sf_dir):
     e = edges(spark, sf_dir).withColumn("component", F.substring("caller", 1, 1))
