@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
-import hashlib
+import re
 import struct
 from collections.abc import Callable, Iterable, Iterator
 
@@ -118,6 +118,21 @@ class Splitter:
         return self.fast(text) if text.isascii() or self.differ.isdisjoint(text) else self.exact(text)
 
 
+_CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+
+
+def chunks(text: str, size: int = 1 << 18) -> Iterator[str]:
+    """A text in parts of about ``size`` characters, cut where pre-tokens end in any case: before a lone space between letters.
+
+    A text without such a place stays whole.
+    """
+    at = 0
+    while len(text) - at > 2 * size and (found := _CUT.search(text, at + size)):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:] if at else text
+
+
 def _tiktoken_class(name: str, every: str) -> set[str]:
     own = tiktoken.Encoding("bytes", pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
     return set(bytes(own.encode_ordinary(every)).decode())
@@ -149,6 +164,9 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self._encode, chunks(text)))
+
+    def _encode(self, text: str) -> bytes:
         pieces = self.split(text)
         kept = self.kept
         missing = {p for p in pieces if p not in kept}
@@ -162,7 +180,8 @@ class Codec:
         return b"".join([new[p] if p in new else kept[p] for p in pieces])
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        numbers, step = np.frombuffer(ids, "<u4"), 1 << 18
+        return b"".join([b"".join(map(self.tokens.__getitem__, numbers[i : i + step].tolist())) for i in range(0, len(numbers), step)])
 
 
 @functools.cache
@@ -197,7 +216,3 @@ def decode_ids(df: DataFrame, path: str, pattern: str, key: str = "doc_id") -> D
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [key, "ids", "decoded"])
 
     return map_batches(df.select(key, "ids"), run, f"{key} long, ids binary, decoded binary")
-
-
-def digest(ids: bytes) -> str:
-    return hashlib.sha256(ids).hexdigest()

@@ -34,6 +34,25 @@ def distinct_by_text(keys: np.ndarray, offsets: np.ndarray, size: int) -> tuple[
     return (found >> bits).astype(np.int64), found & ((np.uint64(1) << bits) - np.uint64(1)), times
 
 
+def text_grams(data: np.ndarray, offsets: np.ndarray, size: int, limit: int = 4 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``distinct_by_text`` of the grams of all texts; one long text by itself is worked through in parts."""
+    if len(data) <= limit or len(offsets) != 2:
+        return distinct_by_text(gram_keys(data, offsets, size), offsets, size)
+    keys, times = long_text_grams(data, size, limit)
+    return np.zeros(len(keys), np.int64), keys, times
+
+
+def long_text_grams(data: np.ndarray, size: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of one text and how often each comes, with memory for a part and the distinct grams."""
+    held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for at in range(0, len(data), limit):
+        before = min(at, size - 1)
+        part = data[at - before : at + limit]
+        keys = gram_keys(part, np.array([0, len(part)]), size)[before:]  # the first have their true context
+        held = add_counts(held, count_keys(keys))
+    return held
+
+
 def count_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and how often each comes."""
     keys = np.sort(keys)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import ddl, map_batches, slices, text_bytes
-from tracewell.llm.grams import add_counts, count_keys, distinct_by_text, gram_keys, look_up
+from tracewell.llm.grams import add_counts, count_keys, gram_keys, look_up, text_grams
 
 #: Bytes of context at most.
 ORDER = 4
@@ -98,7 +98,7 @@ class Model:
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """(texts, languages) bits of each whole text."""
         size = self.order + 1
-        text, keys, times = distinct_by_text(gram_keys(data, offsets, size), offsets, size)
+        text, keys, times = text_grams(data, offsets, size)
         at, known = look_up(self.known, keys)
         new, which = np.unique(keys[~known], return_inverse=True)
         fresh = self._work_out(new)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import bloom_semi, map_batches, slices, text_bytes, written
-from tracewell.llm.grams import add_counts, count_keys, distinct_by_text, gram_keys, look_up
+from tracewell.llm.grams import add_counts, count_keys, gram_keys, long_text_grams, look_up, text_grams
 
 #: Grams of bytes: the last byte and four bytes of context.
 SIZE = 5
@@ -27,7 +27,7 @@ def _grams(df: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in slices(batches, 0):
-            held = add_counts(held, count_keys(gram_keys(*text_bytes(batch.column(0)), SIZE)))
+            held = add_counts(held, text_grams_of(batch.column(0)))
             if len(held[0]) > HELD_ROWS:
                 yield _counted(*held)
                 held = held[0][:0], held[1][:0]
@@ -36,6 +36,14 @@ def _grams(df: DataFrame, text: str) -> DataFrame:
     return map_batches(df.select(text), run, "gram long, times long")
 
 
+def text_grams_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of a slice of texts and how often each comes."""
+    data, offsets = text_bytes(column)
+    if len(offsets) == 2:
+        return long_text_grams(data, SIZE, 4 << 20)
+    return count_keys(gram_keys(data, offsets, SIZE))
+
+
 def _counted(keys: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times, pa.int64())], ["gram", "times"])
 
@@ -116,7 +124,7 @@ def perplexity(df: DataFrame, model: KneserNey, key: str = "doc_id", text: str =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             data, offsets = text_bytes(batch.column(1))
-            own, keys, times = distinct_by_text(gram_keys(data, offsets, SIZE), offsets, SIZE)
+            own, keys, times = text_grams(data, offsets, SIZE)
             total = np.zeros(batch.num_rows)
             for shard in held:
                 grams, bits = shard.value

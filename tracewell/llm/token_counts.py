@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from tracewell.llm.byte_bpe import Splitter, byte_letters
+from tracewell.llm.byte_bpe import Splitter, byte_letters, chunks
 from tracewell.llm.common import map_batches, slices
 
 #: The pattern of the library's byte-level pre-tokenizer.
@@ -122,7 +122,18 @@ class PrefixCounter:
 
     def count(self, text: str) -> int:
         """Tokens of the whole text."""
-        return sum(self.counts(text)[1])
+        return sum(sum(self.counts(part)[1]) for part in chunks(text))
+
+    def count_and_start(self, text: str, limit: int) -> tuple[int, tuple[list[str], list[int]]]:
+        """Tokens of the whole text, and its first pre-tokens with their counts, enough for ``limit`` tokens."""
+        total, pieces, counts = 0, [], []
+        for part in chunks(text):
+            p, c = self.counts(part)
+            total += sum(c)
+            if len(pieces) <= limit:  # a pre-token is a token at least
+                pieces += p[: limit + 1]
+                counts += c[: limit + 1]
+        return total, (pieces[: limit + 1], counts[: limit + 1])
 
 
 class PrefixTable:
@@ -195,9 +206,8 @@ def count_tokens(df: DataFrame, path: str, limit: int = 1024, key: str = "doc_id
             texts = [t or "" for t in batch.column(1).to_pylist()]
             counts, fit = [], []
             for t in texts:
-                counted = own.counts(t)
-                counts.append(sum(counted[1]))
-                first = counted[0][: limit + 1], counted[1][: limit + 1]  # a pre-token is a token at least
+                n, first = own.count_and_start(t, limit)
+                counts.append(n)
                 fit.append(len(t) if counts[-1] <= limit else PrefixTable(own, t, first).cut(limit))
             out = [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts]), pa.array(fit, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *out], [key, "n_bytes", "n_tokens", "over_limit", "fit_chars"])

@@ -38,31 +38,47 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:
+def split_words(data: np.ndarray, offsets: np.ndarray, limit: int = 4 << 20) -> Words:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of lower-cased texts, hashed.
 
     Two words have equal hashes if they are equal, and else with a chance of about
-    2**-64.
+    2**-64.  More than ``limit`` bytes are worked through in parts that end where no
+    word goes on.
     """
+    starts, hashes, at = [], [], 0
+    while at < len(data):
+        end = min(len(data), at + limit)
+        while end < len(data) and _IN_WORD[_LOWER[data[end]]]:
+            ahead = np.flatnonzero(~_IN_WORD[_LOWER[data[end : end + 4096]]])
+            end = end + int(ahead[0]) if len(ahead) else min(len(data), end + 4096)
+        cuts = offsets[np.searchsorted(offsets, at, "right") : np.searchsorted(offsets, end)] - at
+        own, found = _split_part(data[at:end], cuts)
+        starts.append(own + at)
+        hashes.append(found)
+        at = end
+    if not starts:
+        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
+    return Words(np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets))
+
+
+def _split_part(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin, and their hashes; a word ends at a cut in any case."""
     low = _LOWER[data]
     inside = np.zeros(len(low) + 1, bool)
     inside[:-1] = _IN_WORD[low]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
-    cuts = offsets[1:-1]
-    cuts = cuts[cuts < len(low)]
-    begins[cuts] = inside[cuts]  # a text begins with a word of its own
+    begins[cuts] = inside[cuts]
     starts = np.flatnonzero(begins)
-    first = np.searchsorted(starts, offsets)
     if not len(starts):
-        return Words(np.zeros(0, np.uint64), first)
+        return starts, np.zeros(0, np.uint64)
     letters = low[inside[:-1]]
     at = np.cumsum(inside[:-1])[starts] - 1  # of each word's first letter among the letters
     lengths = np.diff(np.append(at, len(letters)))
     place = np.arange(len(letters)) - np.repeat(at, lengths)
     with np.errstate(over="ignore"):
         sums = np.add.reduceat(_VALUE[letters] * _power_table(int(lengths.max()))[place], at)
-    return Words(splitmix64(sums ^ lengths.astype(np.uint64)), first)
+    return starts, splitmix64(sums ^ lengths.astype(np.uint64))
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
