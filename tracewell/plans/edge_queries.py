@@ -61,7 +61,7 @@ def edge_trust_dedup(spark, sf_dir):
 @query(
     "edge_tiers",
     """WITH e AS (SELECT DISTINCT l_orderkey || '/' || l_linenumber || '/' || l_partkey AS id, l_partkey AS p, 'P' || l_partkey || CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN '$x' ELSE '$zz' END AS callee FROM lineitem),
-f AS (SELECT p_partkey AS p, 'P' || p_partkey || CASE WHEN p_size % 2 = 0 THEN '' ELSE '$x' END AS key FROM part UNION SELECT p_partkey, 'P' || p_partkey || '$y' FROM part WHERE p_size % 5 = 0),
+f AS (SELECT p_partkey AS p, 'P' || p_partkey || CASE WHEN p_size % 2 = 0 THEN '' ELSE '$x' END AS key FROM part UNION SELECT p_partkey, 'P' || p_partkey || '$y' FROM part WHERE p_size > 40),
 x AS (SELECT id, key AS target, 'exact' AS tier FROM e JOIN f ON e.callee = f.key),
 a AS (SELECT id, key AS target, 'alias' AS tier FROM e JOIN f ON split_part(e.callee, '$', 1) = split_part(f.key, '$', 1) WHERE id NOT IN (SELECT id FROM x))
 SELECT id AS edge_id, target, tier FROM x UNION SELECT id, target, tier FROM a""",
@@ -74,7 +74,7 @@ def edge_tiers(spark, sf_dir):
     ).distinct()
     p = read(spark, sf_dir, "part")
     key = F.concat(F.lit("P"), "p_partkey")
-    f = p.select(F.concat(key, F.when(F.col("p_size") % 2 == 0, "").otherwise("$x")).alias("key")).union(p.where("p_size % 5 = 0").select(F.concat(key, F.lit("$y"))))
+    f = p.select(F.concat(key, F.when(F.col("p_size") % 2 == 0, "").otherwise("$x")).alias("key")).union(p.where("p_size > 40").select(F.concat(key, F.lit("$y"))))
     return resolve.internal_targets(e, f.withColumn("component", F.lit("c"))).select("edge_id", "target", "tier")
 
 
@@ -109,10 +109,10 @@ def overload_narrowing(spark, sf_dir):
     return resolve.narrow_overloads(rows, ["l_orderkey"]).select("l_orderkey", "l_suppkey", "score")
 
 
-@query("interface_dispatch", "SELECT DISTINCT 'o' || o_orderkey AS caller, 'p' || p_partkey AS target FROM orders JOIN part ON o_custkey % 11 = p_size AND o_orderkey % 5 = p_partkey % 5 WHERE o_orderkey % 10 = 1 AND p_partkey % 4 <> 0")
+@query("interface_dispatch", "SELECT DISTINCT 'o' || o_orderkey AS caller, 'p' || p_partkey AS target FROM orders JOIN part ON o_custkey % 11 = p_size AND o_orderkey % 5 = p_partkey % 5 WHERE o_orderstatus = 'P' AND p_size <> 1")
 def interface_dispatch(spark, sf_dir):
-    c = read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("caller"), (F.col("o_custkey") % 11).cast("int").alias("arity"), (F.col("o_orderkey") % 5).alias("method"), F.lit("r").alias("root"), (F.col("o_orderkey") % 10 == 1).alias("is_interface"))
-    m = read(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("key"), F.col("p_size").alias("arity"), (F.col("p_partkey") % 5).alias("method"), F.lit("r").alias("root"), (F.col("p_partkey") % 4 == 0).alias("is_interface"))
+    c = read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("caller"), (F.col("o_custkey") % 11).cast("int").alias("arity"), (F.col("o_orderkey") % 5).alias("method"), F.lit("r").alias("root"), (F.col("o_orderstatus") == "P").alias("is_interface"))
+    m = read(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("key"), F.col("p_size").alias("arity"), (F.col("p_partkey") % 5).alias("method"), F.lit("r").alias("root"), (F.col("p_size") == 1).alias("is_interface"))
     return resolve.expand_interface(c, m).distinct()
 
 
@@ -147,11 +147,11 @@ def overload_expansion(spark, sf_dir):
     """SELECT o_orderkey AS call_id, target, score, rank, 'name_only' AS kind FROM (
 SELECT o_orderkey, 'p' || p_partkey AS target, CASE WHEN o_custkey % 20 = p_size THEN 2 ELSE 0 END + CASE WHEN p_size > 30 THEN 1 ELSE 0 END AS score,
   row_number() OVER (PARTITION BY o_orderkey ORDER BY CASE WHEN o_custkey % 20 = p_size THEN 2 ELSE 0 END + CASE WHEN p_size > 30 THEN 1 ELSE 0 END DESC, 'p' || p_partkey) AS rank
-FROM orders JOIN part ON o_orderkey % 23 = p_partkey % 23 WHERE o_orderkey % 7 = 0) WHERE rank <= 6""",
+FROM orders JOIN part ON o_orderkey % 97 = p_partkey % 97) WHERE rank <= 6""",
 )
 def fluent_fallback(spark, sf_dir):
-    calls = read(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("call_id"), (F.col("o_orderkey") % 23).alias("method"), F.lit("r").alias("root"), (F.col("o_custkey") % 20).cast("int").alias("arity"))
-    methods = read(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("key"), (F.col("p_partkey") % 23).alias("method"), F.lit("r").alias("root"), F.col("p_size").alias("arity"), (F.col("p_size") > 30).alias("fluent"))
+    calls = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call_id"), (F.col("o_orderkey") % 97).alias("method"), F.lit("r").alias("root"), (F.col("o_custkey") % 20).cast("int").alias("arity"))
+    methods = read(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("key"), (F.col("p_partkey") % 97).alias("method"), F.lit("r").alias("root"), F.col("p_size").alias("arity"), (F.col("p_size") > 30).alias("fluent"))
     return resolve.fluent_fallback(calls, methods)
 
 
@@ -211,11 +211,11 @@ def annotate_carry_forward(spark, sf_dir):
     return resolve.carry_forward(fresh, prior, ["purl"])
 
 
-@query("supporting_attach", "SELECT DISTINCT s_suppkey AS id FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_linenumber > 6) AND s_suppkey % 4 <> 0")
+@query("supporting_attach", "SELECT DISTINCT s_suppkey AS id FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_linenumber > 6) AND s_acctbal >= 0")
 def supporting_attach(spark, sf_dir):
-    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), "s_acctbal")
     ops = read(spark, sf_dir, "lineitem").where("l_linenumber > 6").select(F.array("l_suppkey").alias("supporting_ids"))
-    return resolve.attach_supporting(ops, s, s.where("id % 4 = 0"))
+    return resolve.attach_supporting(ops, s, s.where("s_acctbal < 0")).select("id")
 
 
 @query("fk_integrity", "SELECT o_orderkey, o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)")
@@ -233,13 +233,13 @@ def incoming_sources(spark, sf_dir):
 
 @query(
     "export_diff",
-    """WITH e AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p FROM orders WHERE o_orderkey % 5 <> 0),
-a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'Z' ELSE o_orderstatus END AS s, o_orderpriority AS p FROM orders WHERE o_orderkey % 7 <> 0)
+    """WITH e AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p FROM orders WHERE o_orderpriority <> '5-LOW'),
+a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'Z' ELSE o_orderstatus END AS s, o_orderpriority AS p FROM orders WHERE o_orderstatus <> 'P')
 SELECT e.k AS finding_id, 'missing' AS kind, '' AS field, NULL AS expected, NULL AS actual FROM e LEFT JOIN a USING (k) WHERE a.k IS NULL
 UNION ALL SELECT a.k, 'extra', '', NULL, NULL FROM a LEFT JOIN e USING (k) WHERE e.k IS NULL
 UNION ALL SELECT e.k, 'differs', 'status', e.s, a.s FROM e JOIN a USING (k) WHERE e.s <> a.s""",
 )
 def export_diff(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("finding_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
-    actual = o.where("finding_id % 7 != 0").withColumn("status", F.when(F.col("finding_id") % 3 == 0, "Z").otherwise(F.col("status")))
-    return resolve.export_diff(o.where("finding_id % 5 != 0"), actual, ["finding_id"], ["status", "priority"])
+    actual = o.where("status != 'P'").withColumn("status", F.when(F.col("finding_id") % 3 == 0, "Z").otherwise(F.col("status")))
+    return resolve.export_diff(o.where("priority != '5-LOW'"), actual, ["finding_id"], ["status", "priority"])

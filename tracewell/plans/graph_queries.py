@@ -96,7 +96,7 @@ def route_splice(spark, sf_dir):
 
 
 # A cyclic dependency graph over parts: p needs 3p + 1 and 7p + 2, modulo their number.
-DEPS_SQL = "n AS (SELECT count(*) AS n FROM part), d AS (SELECT p_partkey AS parent, (p_partkey * 3 + 1) % n AS child FROM part, n UNION SELECT p_partkey, (p_partkey * 7 + 2) % n FROM part, n WHERE p_partkey % 3 = 0)"
+DEPS_SQL = "n AS (SELECT count(*) AS n FROM part), d AS (SELECT p_partkey AS parent, (p_partkey * 3 + 1) % n AS child FROM part, n UNION SELECT p_partkey, (p_partkey * 7 + 2) % n FROM part, n WHERE p_size < 17)"
 _CLOSURE_SQL = f"{DEPS_SQL}, w AS (SELECT CAST(5 AS BIGINT) AS node, 0 AS depth UNION SELECT child, depth + 1 FROM w JOIN d ON parent = node WHERE depth < 60), c AS (SELECT node AS component, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY 1)"
 
 
@@ -104,7 +104,7 @@ def _deps(spark, sf_dir):
     p = read(spark, sf_dir, "part")
     n = p.count()
     a = p.select(F.col("p_partkey").alias("parent"), ((F.col("p_partkey") * 3 + 1) % n).alias("child"))
-    return a.union(p.where("p_partkey % 3 = 0").select("p_partkey", (F.col("p_partkey") * 7 + 2) % n)).distinct()
+    return a.union(p.where("p_size < 17").select("p_partkey", (F.col("p_partkey") * 7 + 2) % n)).distinct()
 
 
 @query("dependency_closure", f"WITH RECURSIVE {_CLOSURE_SQL} SELECT component, depth FROM c")
@@ -126,50 +126,47 @@ def keep_set(spark, sf_dir):
 
 @query(
     "scc_members",
-    """WITH RECURSIVE d AS (SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation UNION SELECT n_nationkey, n_regionkey * 5 FROM nation WHERE n_nationkey % 4 = 0),
+    """WITH RECURSIVE d AS (SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation UNION SELECT n_nationkey, n_regionkey * 5 FROM nation WHERE n_regionkey = 2),
 r AS (SELECT DISTINCT x AS a, x AS b FROM (SELECT a AS x FROM d UNION SELECT b FROM d) UNION SELECT r.a, d.b FROM r JOIN d ON r.b = d.a)
 SELECT r.a AS node, min(r.b) AS component FROM r JOIN r q ON r.a = q.b AND r.b = q.a GROUP BY r.a""",
 )
 def scc_members(spark, sf_dir):
     n = read(spark, sf_dir, "nation")
-    e = n.select(F.col("n_nationkey").alias("caller"), ((F.col("n_nationkey") * 3 + 1) % 25).alias("callee")).union(n.where("n_nationkey % 4 = 0").select("n_nationkey", F.col("n_regionkey") * 5))
+    e = n.select(F.col("n_nationkey").alias("caller"), ((F.col("n_nationkey") * 3 + 1) % 25).alias("callee")).union(n.where("n_regionkey = 2").select("n_nationkey", F.col("n_regionkey") * 5))
     return graph.strongly_connected(e)
 
 
-_SUPPLIERS = "SELECT 's' || s_suppkey AS a FROM supplier WHERE s_suppkey % 10 = 1"
-
-
-def _supplier_graph(spark, sf_dir):
+def _part_graph(spark, sf_dir):
     e = edges(spark, sf_dir)
-    r = graph.reach(e, anchors(spark, sf_dir, "supplier", "s", "s_suppkey", "s_suppkey % 10 = 1"))
+    r = graph.reach(e, anchors(spark, sf_dir, "part", "p", "p_partkey"))
     return e, r, graph.terminals(r, e)
 
 
 @query(
     "route_count",
-    f"WITH {EDGES_SQL} SELECT s.callee AS anchor, CAST(count(*) AS VARCHAR) AS n_routes FROM e s JOIN e p ON p.callee = s.caller JOIN e o ON o.callee = p.caller WHERE s.callee IN ({_SUPPLIERS}) GROUP BY 1",
+    "SELECT 'p' || p_partkey AS anchor, CAST(CASE WHEN count(l_orderkey) = 0 THEN 1 ELSE count(DISTINCT l_orderkey) END AS VARCHAR) AS n_routes FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey",
 )
 def route_count(spark, sf_dir):
-    e, r, ends = _supplier_graph(spark, sf_dir)
+    e, r, ends = _part_graph(spark, sf_dir)
     return graph.route_counts(r, e, ends).select("anchor", "n_routes")
 
 
 @query("routes_budgeted")
 def routes_budgeted(spark, sf_dir):
-    e, r, ends = _supplier_graph(spark, sf_dir)
+    e, r, ends = _part_graph(spark, sf_dir)
     return graph.enumerate_routes(r, e, ends, budget=16)
 
 
 @query(
     "forward_closure_capped",
-    f"""WITH {EDGES_SQL}, a AS (SELECT DISTINCT callee AS anchor FROM e WHERE substr(callee, 1, 1) = 'o'),
+    f"""WITH {EDGES_SQL}, a AS (SELECT DISTINCT callee AS anchor FROM e WHERE substr(callee, 1, 1) = 'p'),
 l1 AS (SELECT anchor, caller, callee, 1 AS depth FROM a JOIN e ON caller = anchor), l2 AS (SELECT DISTINCT anchor, e.caller, e.callee, 2 AS depth FROM l1 JOIN e ON e.caller = l1.callee),
 l3 AS (SELECT DISTINCT anchor, e.caller, e.callee, 3 AS depth FROM l2 JOIN e ON e.caller = l2.callee), l4 AS (SELECT DISTINCT anchor, e.caller, e.callee, 4 AS depth FROM l3 JOIN e ON e.caller = l3.callee)
 SELECT anchor, CAST(depth AS BIGINT) AS depth, count(*) AS n_edges, count(DISTINCT callee) AS n_callees FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3 UNION ALL SELECT * FROM l4) GROUP BY ALL""",
 )
 def forward_closure_capped(spark, sf_dir):
     e = edges(spark, sf_dir)
-    a = e.where("caller like 'c%'").select(F.col("callee").alias("anchor")).distinct()
+    a = e.where("callee like 'p%'").select(F.col("callee").alias("anchor")).distinct()
     closure = graph.forward_closure(e.withColumn("line", F.lit(1).cast("long")), a, max_depth=4)
     return closure.groupBy("anchor", "depth").agg(F.count("*").alias("n_edges"), F.count_distinct("callee").alias("n_callees"))
 
@@ -307,10 +304,10 @@ def conditioned_findings(spark, sf_dir):
     return provenance.materialise_conditioned(f, r, c)
 
 
-@query("edge_classification", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber > 4 THEN 'dispatch' ELSE 'exact' END AS kind, CASE WHEN l_partkey % 2 = 0 THEN 'internal' ELSE 'external' END AS scope FROM lineitem")
+@query("edge_classification", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber > 4 THEN 'dispatch' ELSE 'exact' END AS kind, CASE WHEN p_size > 25 THEN 'internal' ELSE 'external' END AS scope FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
 def edge_classification(spark, sf_dir):
     e = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.lit("c").alias("component"), F.concat(F.lit("p"), "l_partkey").alias("callee"), F.when(F.col("l_linenumber") > 4, "dispatch").alias("kind"))
-    f = read(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.lit("c").alias("component"), F.concat(F.lit("p"), "p_partkey").alias("key"))
+    f = read(spark, sf_dir, "part").where("p_size > 25").select(F.lit("c").alias("component"), F.concat(F.lit("p"), "p_partkey").alias("key"))
     return provenance.classify_edges(e, f).select("l_orderkey", "l_linenumber", "l_partkey", "kind", "scope")
 
 

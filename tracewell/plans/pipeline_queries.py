@@ -20,30 +20,33 @@ def scan_pipeline(spark, sf_dir):
 @query(
     "annotate_pipeline",
     f"""WITH {HITS_SQL}, f AS (SELECT *, substr(sha256(concat_ws(':', path, line, rule_id)), 1, 8) AS finding_id FROM hits)
-SELECT path AS file_path, line AS start_line, finding_id, CASE WHEN line % 2 = 0 THEN 'pkg:old' END AS purl, line % 2 = 0 AS carried, path || '#' || floor((line - 1) / 10)::BIGINT AS function FROM f""",
+SELECT path AS file_path, line AS start_line, finding_id, CASE WHEN line > 1 THEN 'pkg:old' END AS purl, line > 1 AS carried, path || '#' || floor((line - 1) / 10)::BIGINT AS function FROM f""",
 )
 def annotate_pipeline(spark, sf_dir):
     fresh = detect.to_assets(hits(spark, sf_dir)).select("file_path", "start_line", "finding_id", F.lit(None).cast("string").alias("purl"))
-    prior = fresh.where("start_line % 2 = 0").select("finding_id", F.lit("pkg:old").alias("purl"))
+    prior = fresh.where("start_line > 1").select("finding_id", F.lit("pkg:old").alias("purl"))
     block = F.floor((F.col("start_line") - 1) / 10)
     functions = fresh.select("file_path", (block * 10 + 1).alias("start_line"), (block * 10 + 10).alias("end_line"), F.concat("file_path", F.lit("#"), block).alias("key")).distinct()
     return pipelines.annotate(fresh, prior, functions).select("file_path", "start_line", "finding_id", "purl", "carried", "function")
 
 
+def _operations(spark, sf_dir):
+    """An operation in every part."""
+    part = F.concat(F.lit("p"), "p_partkey")
+    return read(spark, sf_dir, "part").select(F.concat(F.lit("x-"), part).alias("finding_id"), part.alias("function"), F.lit("p").alias("component"))
+
+
 @query(
     "stitch_pipeline",
-    f"""WITH {EDGES_SQL}, a AS (SELECT 's' || s_suppkey AS f FROM supplier WHERE s_suppkey % 10 = 1),
-p AS (SELECT a.f, e.caller FROM a JOIN e ON e.callee = a.f), o AS (SELECT DISTINCT p.f, e.caller FROM p JOIN e ON e.callee = p.caller), c AS (SELECT DISTINCT o.f, e.caller FROM o JOIN e ON e.callee = o.caller)
-SELECT 'x-' || f AS finding_id, caller AS function, 2::BIGINT AS depth, false AS is_root FROM p UNION SELECT 'x-' || f, caller, 3, false FROM o UNION SELECT 'x-' || f, caller, 4, true FROM c UNION SELECT 'x-' || f, f, 1, false FROM a""",
+    f"""WITH {EDGES_SQL}, o AS (SELECT callee AS f, caller FROM e WHERE substr(callee, 1, 1) = 'p'), c AS (SELECT DISTINCT o.f, e.caller FROM o JOIN e ON e.callee = o.caller)
+SELECT 'x-' || f AS finding_id, caller AS function, 2::BIGINT AS depth, false AS is_root FROM o UNION SELECT 'x-' || f, caller, 3, true FROM c UNION SELECT 'x-p' || p_partkey, 'p' || p_partkey, 1, false FROM part""",
 )
 def stitch_pipeline(spark, sf_dir):
     e = edges(spark, sf_dir).withColumn("component", F.substring("caller", 1, 1))
-    ops = read(spark, sf_dir, "supplier").where("s_suppkey % 10 = 1").select(F.concat(F.lit("x-s"), "s_suppkey").alias("finding_id"), F.concat(F.lit("s"), "s_suppkey").alias("function"), F.lit("s").alias("component"))
-    return pipelines.stitch(e, ops, "c")["entries"].select("finding_id", "function", "depth", "is_root")
+    return pipelines.stitch(e, _operations(spark, sf_dir), "c")["entries"].select("finding_id", "function", "depth", "is_root")
 
 
-@query("stitch_reachability", "SELECT 'x-s' || s_suppkey AS finding_id, CASE WHEN s_suppkey IN (SELECT l_suppkey FROM lineitem) THEN 'reachable' ELSE 'unreachable' END AS reachability FROM supplier WHERE s_suppkey % 10 = 1")
+@query("stitch_reachability", "SELECT 'x-p' || p_partkey AS finding_id, CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem) THEN 'reachable' ELSE 'unreachable' END AS reachability FROM part")
 def stitch_reachability(spark, sf_dir):
     e = edges(spark, sf_dir).withColumn("component", F.substring("caller", 1, 1))
-    ops = read(spark, sf_dir, "supplier").where("s_suppkey % 10 = 1").select(F.concat(F.lit("x-s"), "s_suppkey").alias("finding_id"), F.concat(F.lit("s"), "s_suppkey").alias("function"), F.lit("s").alias("component"))
-    return pipelines.stitch(e, ops, "c", budget=4)["operations"].select("finding_id", "reachability")
+    return pipelines.stitch(e, _operations(spark, sf_dir), "c", budget=4)["operations"].select("finding_id", "reachability")

@@ -9,9 +9,9 @@ from tracewell.sources import documents, sinks
 from tracewell.streaming import events as streams
 
 
-@query("maven_tree", "SELECT DISTINCT 'g:c' || o_custkey || ':1' AS parent, 'g:o' || o_orderkey || ':1' AS child FROM orders WHERE o_custkey % 10 = 1 UNION SELECT DISTINCT 'g:o' || o_orderkey || ':1', 'g:l' || l_partkey || ':1' FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 10 = 1")
+@query("maven_tree", "SELECT DISTINCT 'g:c' || o_custkey || ':1' AS parent, 'g:o' || o_orderkey || ':1' AS child FROM orders UNION SELECT DISTINCT 'g:o' || o_orderkey || ':1', 'g:l' || l_partkey || ':1' FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def maven_tree(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").where("o_custkey % 10 = 1")
+    o = read(spark, sf_dir, "orders")
     line = lambda prefix, letter, c: F.concat(F.lit(prefix + "g:" + letter), c, F.lit(":1"))
     top = o.select(F.col("o_custkey").alias("tree"), F.lit(0).cast("long").alias("n"), line("", "c", "o_custkey").alias("value")).distinct()
     mid = o.select("o_custkey", (F.col("o_orderkey") * 1000 + 1).alias("n"), line("[INFO] +- ", "o", "o_orderkey"))

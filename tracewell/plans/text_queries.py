@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import assets, conditions, ids, text
 from tracewell.operators import detect, report
 from tracewell.plans.registry import query, read
+from tracewell.session import spread
 
 RULES = (
     detect.Rule("rules/pii/email", r"[a-z0-9._]+@[a-z0-9.-]+\.[a-z]+", "warning"),
@@ -26,7 +27,8 @@ hits AS (SELECT path, lang, source, line, instr(content, match) AS col, match, r
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), "text", "lang", "source")
+    rows = read(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), "text", "lang", "source")
+    return spread(rows)
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
