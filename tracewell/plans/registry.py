@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -46,9 +45,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and their bytes by language and source."""
-    return (
-        read(spark, sf_dir, "documents")
-        .groupBy("lang", "source")
-        .agg(F.count("*").alias("n_docs"), F.sum(F.octet_length("text")).alias("n_bytes"))
-    )
+    """Rules over the lines of all documents: findings and files by language, source and rule."""
+    return queries()["detect_by_language"](spark, sf_dir)
