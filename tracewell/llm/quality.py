@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import bloom_semi, map_batches, slices, text_bytes, written
-from tracewell.llm.grams import add_counts, count_keys, gram_keys, long_text_grams, look_up, text_grams
+from tracewell.llm.grams import add_counts, count_keys, gram_keys, long_text_grams, look_up
 
 #: Grams of bytes: the last byte and four bytes of context.
 SIZE = 5
@@ -19,6 +19,8 @@ SIZE = 5
 SHARD_ROWS = 2_000_000
 #: Grams that a task gathers before it hands them on.
 HELD_ROWS = 500_000
+#: Bytes of a long text that are scored at a time.
+PART_BYTES = 4 << 20
 
 
 def _grams(df: DataFrame, text: str) -> DataFrame:
@@ -106,8 +108,25 @@ class KneserNey:
         return lower.select("gram", (-F.log2("p")).cast("float").alias("bits"))
 
 
+#: Runs of bytes whose worst mean is scored beside the whole text: a word, and a sentence or two.
+WINDOWS = {"peak": 8, "stretch": 128}
+
+
+def worst_runs(bits: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
+    """The most bits a byte that ``size`` neighbouring bytes of each text need; a shorter text counts as if filled up with bytes of none."""
+    counts = np.diff(offsets)
+    sums = np.concatenate([np.zeros(1), np.cumsum(bits, dtype=np.float64)])
+    out = sums[offsets[1:]] - sums[offsets[:-1]]
+    full = np.flatnonzero(counts >= size)
+    if len(full):
+        runs = sums[size:] - sums[:-size]
+        runs[np.arange(size, len(sums)) > np.repeat(offsets[1:], counts)[: len(runs)]] = -np.inf  # these run into the next text
+        out[full] = np.maximum.reduceat(runs, offsets[:-1][full])
+    return out / size
+
+
 def perplexity(df: DataFrame, model: KneserNey, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """key, lang, ``n_bytes`` and ``perplexity`` (a byte; null for an empty text) of every whole text.
+    """key, lang, ``n_bytes``, ``perplexity`` (a byte; null for an empty text) and the worst run of each of WINDOWS, in bits a byte, of every whole text.
 
     The distinct grams of all texts are looked up once, by joins; the answers come
     back to the texts in shards of SHARD_ROWS grams, so that texts are never shuffled
@@ -121,22 +140,46 @@ def perplexity(df: DataFrame, model: KneserNey, key: str = "doc_id", text: str =
         part = (answers if shards == 1 else answers.where(F.pmod(F.xxhash64("gram"), F.lit(shards)) == i)).toArrow().sort_by("gram")
         held.append(df.sparkSession.sparkContext.broadcast((part.column("gram").to_numpy().view(np.uint64), part.column("bits").to_numpy())))
 
+    def bits_of(keys: np.ndarray) -> np.ndarray:
+        own, place = np.unique(keys, return_inverse=True)
+        found = np.zeros(len(own))
+        for shard in held:
+            grams, bits = shard.value
+            at, known = look_up(grams, own)
+            found[known] = bits[at[known]]
+            if len(held) > 1:
+                del shard._value
+        return found[place]
+
+    def score(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Total bits and worst runs; a text by itself is worked through in parts, each after the last bytes of the one before."""
+        if len(offsets) > 2:
+            bits = bits_of(gram_keys(data, offsets, SIZE))
+            sums = np.concatenate([np.zeros(1), np.cumsum(bits)])
+            return [sums[offsets[1:]] - sums[offsets[:-1]], *(worst_runs(bits, offsets, size) for size in WINDOWS.values())]
+        out, tail = np.zeros((1 + len(WINDOWS), 1)), np.zeros(0)
+        for at in range(0, len(data), PART_BYTES):
+            before = min(at, SIZE - 1)
+            part = data[at - before : at + PART_BYTES]
+            bits = bits_of(gram_keys(part, np.array([0, len(part)]), SIZE)[before:])
+            out[0] += bits.sum()
+            run_on = np.concatenate([tail, bits])
+            for i, size in enumerate(WINDOWS.values(), 1):
+                out[i] = np.maximum(out[i], worst_runs(run_on, np.array([0, len(run_on)]), size))
+            tail = run_on[-max(WINDOWS.values()) + 1 :]
+        return list(out)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             data, offsets = text_bytes(batch.column(1))
-            own, keys, times = text_grams(data, offsets, SIZE)
-            total = np.zeros(batch.num_rows)
-            for shard in held:
-                grams, bits = shard.value
-                at, known = look_up(grams, keys)
-                total += np.bincount(own[known], bits[at[known]] * times[known], batch.num_rows)
-                if len(held) > 1:
-                    del shard._value
+            total, *worst = score(data, offsets)
             n = np.diff(offsets)
             each = np.exp2(total / np.maximum(n, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(each, pa.float64(), mask=n == 0)], [key, lang, "n_bytes", "perplexity"])
+            measured = [pa.array(x, pa.float64(), mask=n == 0) for x in (each, *worst)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), *measured], [key, lang, "n_bytes", "perplexity", *WINDOWS])
 
-    return map_batches(df.select(F.col(key).cast("long").alias(key), text, lang), run, f"{key} long, {lang} string, n_bytes long, perplexity double")
+    schema = f"{key} long, {lang} string, n_bytes long, perplexity double, {', '.join(f'{w} double' for w in WINDOWS)}"
+    return map_batches(df.select(F.col(key).cast("long").alias(key), text, lang), run, schema)
 
 
 def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -150,35 +193,57 @@ def _for_thresholds(key: str) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
 
 
-#: The quantiles of trusted perplexity that fence a language's texts.
-LOW, MIDDLE, HIGH = 0.05, 0.5, 0.95
-#: How far beyond the middle a text may lie, in distances from there to the outer quantile; and by how much more the
-#: shorter it is: at SHORT bytes twice as far, as the perplexity of few bytes varies with the root of their number.
-REACH, SHORT = 4.0, 400
-#: Shorter texts are let through.
-LEAST_BYTES = 40
+#: The quantiles of trusted texts that fence a language's texts.  The low one is of all trusted texts, as those that the
+#: model has learned lie lower than others; the high ones are of those left out.
+LOW, HIGH = 0.005, 0.995
+#: The mean of few bytes strays further from the middle: with the root of 1 + SHORT / n_bytes.
+SHORT = 2500
 
 
 def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """key, lang, n_bytes, perplexity, ``low``, ``high`` and ``keep`` for every row.
+    """key, lang, n_bytes, perplexity, the worst runs of WINDOWS, ``low``, ``high``, the runs' fences (``peak_high``) and ``keep`` for every row.
 
     The model is trained on all trusted texts (``trusted_ids``) but a fifth, whose
-    perplexities give each language's quantiles; a language, or null, with no such
-    text takes those of all.  A text is kept if its perplexity lies between the
-    fences ``low`` and ``high``, set from its language's quantiles and its length, or
-    if it has under LEAST_BYTES bytes.  An empty text and, where
-    there is no trusted text, every text is kept.  Repeated rows give repeated rows.
+    quantiles set each language's fences; a language, or null, with no such text takes
+    the overall ones.  A text is kept if its perplexity lies between ``low`` and ``high``, which part for
+    shorter texts, and none of its worst runs lies above its fence.  An empty text
+    and, where no trusted text was left out, every text is kept.  Repeated rows give
+    repeated rows.
     """
     trusted = written(trusted_ids(labels, key), "trusted")
     rows = df.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).where(~_for_thresholds(key) & F.col(text).isNotNull())
     learned = bloom_semi(rows, key, trusted).join(trusted, key, "left_semi")
     scores = written(perplexity(df, KneserNey(learned, text), key, text, lang), "perplexity")
-    seen = scores.where(_for_thresholds(key) & (F.col("n_bytes") >= LEAST_BYTES)).join(trusted, key, "left_semi")
-    marks = [F.percentile_approx("perplexity", q, 10_000).alias(n) for n, q in (("a", LOW), ("b", MIDDLE), ("c", HIGH))]
-    each = seen.where(F.col(lang).isNotNull()).groupBy(lang).agg(*marks)
-    whole = seen.agg(*marks).first()
-    low, middle, high = (F.coalesce(F.col(n), F.lit(whole[n]).cast("double")) for n in "abc")
-    reach = REACH * (1 + F.sqrt(F.lit(float(SHORT)) / F.greatest("n_bytes", F.lit(1))))
-    fenced = scores.join(each, lang, "left").select(key, lang, "n_bytes", "perplexity", (middle - (middle - low) * reach).alias("low"), (middle + (high - middle) * reach).alias("high"))
-    inside = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
-    return fenced.withColumn("keep", inside | (F.col("n_bytes") < LEAST_BYTES))
+    known = scores.where("n_bytes > 0").join(trusted, key, "left_semi")
+    known = known.select(lang, _for_thresholds(key).alias("left_out"), F.log2("perplexity").alias("mean"), *WINDOWS, F.sqrt(1 + SHORT / F.col("n_bytes")).alias("wide"))
+    known = written(known, "known")
+    measures = ["mean", *WINDOWS]
+    middles = [F.count("*").alias("n"), *(F.percentile_approx(m, 0.5, 10_000).alias(f"{m}_mid") for m in measures)]
+    whole = known.where("left_out").agg(*middles).first()
+    if not whole["n"]:
+        none = F.lit(None).cast("double")
+        return scores.select("*", none.alias("low"), none.alias("high"), *(none.alias(f"{w}_high") for w in WINDOWS), F.lit(True).alias("keep"))
+
+    def distances(middle: dict[str, Column]) -> list[Column]:
+        away = {m: F.col(m) - middle[m] for m in measures} | {"mean": (F.col("mean") - middle["mean"]) / F.col("wide")}
+        ends = {"low": (away["mean"], LOW)} | {"high" if m == "mean" else m: (F.when(F.col("left_out"), away[m]), HIGH) for m in measures}
+        return [F.percentile_approx(x, q, 10_000).alias(f"{end}_own") for end, (x, q) in ends.items()]
+
+    overall = known.agg(*distances({m: F.lit(whole[f"{m}_mid"]) for m in measures})).first()
+    pooled = {end: overall[f"{end}_own"] for end in ("low", "high", *WINDOWS)}
+    each = known.where(F.col("left_out") & F.col(lang).isNotNull()).groupBy(lang).agg(*middles)
+    each = each.join(known.join(each, lang).groupBy(lang).agg(*distances({m: F.col(f"{m}_mid") for m in measures})), lang)
+    reach = {end: F.col(f"{end}_own") for end in pooled}
+    each = written(each.select(lang, *(f"{m}_mid" for m in measures), *(x.alias(f"{end}_reach") for end, x in reach.items())), "fences")
+    middle = {m: F.coalesce(f"{m}_mid", F.lit(whole[f"{m}_mid"])) for m in measures}
+    reach = {end: F.coalesce(f"{end}_reach", F.lit(far)) for end, far in pooled.items()}
+    wide = F.sqrt(1 + SHORT / F.greatest("n_bytes", F.lit(1)))
+    fenced = scores.join(F.broadcast(each), lang, "left").select(
+        *scores.columns,
+        *(F.pow(F.lit(2.0), middle["mean"] + reach[end] * wide).alias(end) for end in ("low", "high")),
+        *((middle[w] + reach[w]).alias(f"{w}_high") for w in WINDOWS),
+    )
+    inside = F.col("perplexity").between(F.col("low"), F.col("high"))
+    for w in WINDOWS:
+        inside = inside & (F.col(w) <= F.col(f"{w}_high"))
+    return fenced.withColumn("keep", F.coalesce(inside, F.lit(True)))
