@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell.llm import quality
 
@@ -52,3 +53,22 @@ def test_long_text_in_parts_is_the_same(spark, monkeypatch):
     one = quality.perplexity(df, model).select(measures).first()
     monkeypatch.setattr(quality, "PART_BYTES", 9973)
     assert quality.perplexity(df, model).select(measures).first() == pytest.approx(one)
+
+
+@pytest.mark.parametrize("which", [[1], [4], [2, 3]])
+def test_language_of_few_threshold_texts_keeps_its_clean_documents(spark, which):
+    docs, labels = tables(spark)
+    clean = docs.where("lang = 'es'").join(quality.trusted_ids(labels), "doc_id")
+    out = [r.doc_id for r in clean.where(quality._for_thresholds("doc_id")).select("doc_id").orderBy("doc_id").collect()]
+    hidden = [d for i, d in enumerate(out) if i not in which]
+    assert len(out) - len(hidden) == len(which)
+    got = quality.classify(docs, labels.where(~F.col("doc_id").isin(hidden))).join(clean.select("doc_id"), "doc_id").collect()
+    assert len(got) > 20 and np.mean([r.keep for r in got]) >= 0.9
+
+
+def test_table_of_one_threshold_text(spark):
+    docs, labels = tables(spark)
+    clean = docs.where("lang = 'en'").join(quality.trusted_ids(labels), "doc_id")
+    out = [r.doc_id for r in clean.where(quality._for_thresholds("doc_id")).select("doc_id").orderBy("doc_id").collect()]
+    got = quality.classify(clean, labels.where(~F.col("doc_id").isin(out[1:]))).collect()
+    assert np.mean([r.keep for r in got]) >= 0.9

@@ -198,14 +198,20 @@ def _for_thresholds(key: str) -> Column:
 LOW, HIGH = 0.005, 0.995
 #: The mean of few bytes strays further from the middle: with the root of 1 + SHORT / n_bytes.
 SHORT = 2500
+#: While a language has few texts, its quantiles are drawn out towards the overall ones, as if these came from so many texts,
+#: and the overall ones towards PRIOR: distances from the middle of the mean (low, high), of the peak and of the stretch, in
+#: bits.  They are never drawn in.  The middle that a distance is counted from is drawn towards the overall one likewise.
+POOL = 20
+PRIOR = {"low": -0.15, "high": 0.15, "peak": 3.0, "stretch": 0.8}
 
 
 def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """key, lang, n_bytes, perplexity, the worst runs of WINDOWS, ``low``, ``high``, the runs' fences (``peak_high``) and ``keep`` for every row.
 
     The model is trained on all trusted texts (``trusted_ids``) but a fifth, whose
-    quantiles set each language's fences; a language, or null, with no such text takes
-    the overall ones.  A text is kept if its perplexity lies between ``low`` and ``high``, which part for
+    quantiles set each language's fences; few texts of a language count little beside
+    the overall quantiles (POOL), and a language, or null, with none takes those.  A
+    text is kept if its perplexity lies between ``low`` and ``high``, which part for
     shorter texts, and none of its worst runs lies above its fence.  An empty text
     and, where no trusted text was left out, every text is kept.  Repeated rows give
     repeated rows.
@@ -224,24 +230,35 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
         none = F.lit(None).cast("double")
         return scores.select("*", none.alias("low"), none.alias("high"), *(none.alias(f"{w}_high") for w in WINDOWS), F.lit(True).alias("keep"))
 
+    def measure_of(end: str) -> str:
+        return end if end in WINDOWS else "mean"
+
     def distances(middle: dict[str, Column]) -> list[Column]:
         away = {m: F.col(m) - middle[m] for m in measures} | {"mean": (F.col("mean") - middle["mean"]) / F.col("wide")}
         ends = {"low": (away["mean"], LOW)} | {"high" if m == "mean" else m: (F.when(F.col("left_out"), away[m]), HIGH) for m in measures}
         return [F.percentile_approx(x, q, 10_000).alias(f"{end}_own") for end, (x, q) in ends.items()]
 
     overall = known.agg(*distances({m: F.lit(whole[f"{m}_mid"]) for m in measures})).first()
-    pooled = {end: overall[f"{end}_own"] for end in ("low", "high", *WINDOWS)}
+    outer = {end: (overall[f"{end}_own"], (whole["n"] * overall[f"{end}_own"] + POOL * far) / (whole["n"] + POOL)) for end, far in PRIOR.items()}
+    pooled = {end: min(pair) if end == "low" else max(pair) for end, pair in outer.items()}
     each = known.where(F.col("left_out") & F.col(lang).isNotNull()).groupBy(lang).agg(*middles)
     each = each.join(known.join(each, lang).groupBy(lang).agg(*distances({m: F.col(f"{m}_mid") for m in measures})), lang)
-    reach = {end: F.col(f"{end}_own") for end in pooled}
-    each = written(each.select(lang, *(f"{m}_mid" for m in measures), *(x.alias(f"{end}_reach") for end, x in reach.items())), "fences")
-    middle = {m: F.coalesce(f"{m}_mid", F.lit(whole[f"{m}_mid"])) for m in measures}
+    # one more text of a language strays from the middle of its n by the root of 1 + 1 / n
+    drawn = {end: (F.col(f"{end}_own"), (F.col("n") * F.col(f"{end}_own") + POOL * far) / (F.col("n") + POOL)) for end, far in pooled.items()}
+    reach = {end: F.sqrt(1 + 1 / F.col("n")) * (F.least(*pair) if end == "low" else F.greatest(*pair)) for end, pair in drawn.items()}
+    base = {}
+    for end in pooled:
+        own, total = F.col(f"{measure_of(end)}_mid"), F.lit(whole[f"{measure_of(end)}_mid"])
+        further = F.least(own, total) if end == "low" else F.greatest(own, total)
+        base[end] = (F.col("n") * own + POOL * further) / (F.col("n") + POOL)
+    each = written(each.select(lang, *(x.alias(f"{end}_base") for end, x in base.items()), *(x.alias(f"{end}_reach") for end, x in reach.items())), "fences")
+    base = {end: F.coalesce(f"{end}_base", F.lit(whole[f"{measure_of(end)}_mid"])) for end in pooled}
     reach = {end: F.coalesce(f"{end}_reach", F.lit(far)) for end, far in pooled.items()}
     wide = F.sqrt(1 + SHORT / F.greatest("n_bytes", F.lit(1)))
-    fenced = scores.join(F.broadcast(each), lang, "left").select(
+    fenced = scores.join(each, lang, "left").select(
         *scores.columns,
-        *(F.pow(F.lit(2.0), middle["mean"] + reach[end] * wide).alias(end) for end in ("low", "high")),
-        *((middle[w] + reach[w]).alias(f"{w}_high") for w in WINDOWS),
+        *(F.pow(F.lit(2.0), base[end] + reach[end] * wide).alias(end) for end in ("low", "high")),
+        *((base[w] + reach[w]).alias(f"{w}_high") for w in WINDOWS),
     )
     inside = F.col("perplexity").between(F.col("low"), F.col("high"))
     for w in WINDOWS:
