@@ -18,8 +18,6 @@ from tracewell.llm import byte_bpe, decontaminate, language_id, near_duplicates,
 from tracewell.llm.common import read, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text that its best language codes in more bits a byte is in no learned language; shorter texts are let through.
-MOST_BITS, LEAST_BYTES = 5.0, 64
 
 
 def _kept(docs: DataFrame, verdicts: DataFrame, keep: F.Column) -> DataFrame:
@@ -35,9 +33,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, null ones, and those in no learned language."""
-    found = language_id.identify(docs, language_id.train(docs), carry=COLUMNS)
-    known = (F.col("bits_per_byte") <= MOST_BITS) | (F.octet_length("text") < LEAST_BYTES)
-    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & known).select(COLUMNS)
+    return language_id.identify_known(docs, language_id.train(docs), carry=COLUMNS).where("known").select(COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

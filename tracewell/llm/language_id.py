@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import ddl, map_batches, slices, text_bytes
+from tracewell.llm.common import ddl, map_batches, slices, text_bytes, written
 from tracewell.llm.grams import add_counts, count_keys, gram_keys, look_up, text_grams
 
 #: Bytes of context at most.
@@ -19,6 +19,12 @@ ORDER = 4
 #: The sample that the trees are grown from: documents of a language, the longest of them in bytes, languages.
 SAMPLE_ROWS, SAMPLE_BYTES, MAX_LANGS = 1500, 1 << 16, 200
 UNDETERMINED = "und"
+#: A text is in its language if its bits a byte lie no further above the middle of the language's held-out texts than REACH
+#: times their HIGH quantile; the bits of few bytes stray further, with the root of 1 + SHORT / n_bytes.
+HIGH, REACH, SHORT = 0.99, 1.25, 100
+#: A language's held-out texts are weighed against the overall quantile as if this came from so many texts, and that one
+#: against PRIOR; where no text is held out, MOST_BITS is the limit.
+POOL, PRIOR, MOST_BITS = 20, 0.5, 5.0
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -184,3 +190,32 @@ def identify(df: DataFrame, model: Model, text: str = "text", carry: Sequence[st
             )
 
     return map_batches(df.select(F.col(text).alias("__text"), *carry), run, f"{ddl(df, list(carry))}, lang_pred string, score double, bits_per_byte double")
+
+
+def identify_known(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", lang: str = "lang", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``identify`` and ``known``: whether a text of any length codes as texts of its best language do that were held out.
+
+    The limit is set for each language by its held-out texts that were told right
+    (MAX_LANGS at most, so it fits a literal).  An undetermined text is not known.
+    """
+    rows = df.where(held_out(F.col(key)) & F.col(lang).isNotNull()).select(F.col(lang).alias("own"), F.col(text).alias("text"), F.octet_length(text).alias("n"))
+    right = identify(rows, model, "text", ("own", "n")).where("own = lang_pred").select("own", F.col("bits_per_byte").alias("bits"), F.sqrt(1 + SHORT / F.col("n")).alias("wide"))
+    right = written(right, "held-out")
+    middle = F.percentile_approx("bits", 0.5, 10_000).alias("mid")
+    total = right.agg(F.count("*").alias("n"), middle).first()
+    each = right.groupBy("own").agg(F.count("*").alias("n"), middle)
+    away = F.percentile_approx((F.col("bits") - F.col("mid")) / F.col("wide"), HIGH, 10_000).alias("far")
+    far = right.withColumn("mid", F.lit(total["mid"]).cast("double")).agg(away).first()["far"]
+    far = max(far, (total["n"] * far + POOL * PRIOR) / (total["n"] + POOL)) if total["n"] else None
+    limits = {}
+    for own, n, mid, own_far in each.join(right.join(each, "own").groupBy("own").agg(away), "own").collect():
+        drawn = max(own_far, (n * own_far + POOL * far) / (n + POOL)) * (1 + 1 / n) ** 0.5
+        limits[own] = (n * mid + POOL * max(mid, total["mid"])) / (n + POOL), REACH * drawn
+    found = identify(df, model, text, tuple(dict.fromkeys((*carry, text))))
+    limit = F.lit(MOST_BITS if far is None else total["mid"]), F.lit(0.0 if far is None else REACH * far)
+    if limits:
+        maps = (F.create_map(*[F.lit(x) for own, pair in limits.items() for x in (own, pair[i])]) for i in (0, 1))
+        limit = tuple(F.coalesce(F.element_at(m, F.col("lang_pred")), rest) for m, rest in zip(maps, limit, strict=True))
+    wide = F.sqrt(1 + SHORT / F.octet_length(text))
+    known = (F.col("lang_pred") != UNDETERMINED) & F.coalesce(F.col("bits_per_byte") <= limit[0] + limit[1] * wide, F.lit(False))
+    return found.select(*carry, "lang_pred", "score", "bits_per_byte", known.alias("known"))
