@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs.  All but the last return the columns
-of documents.  A stage works on all rows that the one before kept; rows of a null
-doc_id are judged like any other and never joined to another row's verdict.
+of documents.  A stage works on all rows that the one before kept; verdicts
+stay with their rows, so rows of a null or repeated doc_id are judged like any other.
 """
 
 from __future__ import annotations
@@ -20,15 +20,9 @@ from tracewell.llm.common import read, written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame, keep: F.Column) -> DataFrame:
-    """The documents without those whose verdict, one for each row by doc_id, is against them."""
-    gone = verdicts.where(~keep & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose perplexity lies beyond their language's fences."""
-    return _kept(docs, quality.classify(docs, read(spark, sf_dir, "labels")), F.col("keep"))
+    return quality.classify(docs, read(spark, sf_dir, "labels"), carry=COLUMNS).where("keep").select(COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +31,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each class of near duplicates."""
-    found = written(near_duplicates.near_duplicates(docs), "classes")
-    once = _kept(docs, found, F.col("doc_id") == F.col("class_id"))
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if repeated.isEmpty():
+    """Keeps one row of each class of near duplicates: that of least id, one of a null id only if all have none."""
+    rows = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    gone = written(near_duplicates.near_duplicates(rows, row="row").where(~F.col("first")).select("row"), "gone")
+    once = rows.join(gone, "row", "left_anti").select(COLUMNS)
+    if rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return once
     return once.dropDuplicates(["doc_id", "text"])
 

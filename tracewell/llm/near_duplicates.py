@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import bloom_semi, map_batches, slices, splitmix64, text_bytes, written
@@ -53,8 +53,8 @@ def _set_keys(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys[0], keys[1]
 
 
-def signatures(df: DataFrame, words: int, bands: int, rows: int, key: str, text: str) -> DataFrame:
-    """key, set_a, set_b, n_shingles and the band hashes (none for a text without words)."""
+def signatures(df: DataFrame, words: int, bands: int, rows: int, key: str, text: str, row: str | None = None) -> DataFrame:
+    """key, set_a, set_b, n_shingles, the band hashes (none for a text without words) and the row's number rid, ``row`` or a new one."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -67,15 +67,21 @@ def signatures(df: DataFrame, words: int, bands: int, rows: int, key: str, text:
             ends = np.concatenate([[0], np.cumsum((counts > 0) * bands)]).astype(np.int32)
             a, b = _set_keys(values, bounds)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(a), pa.array(b), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashed.view(np.int64).ravel()))],
-                ["key", "set_a", "set_b", "n_shingles", "bands"],
+                [batch.column(0), batch.column(2), pa.array(a), pa.array(b), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashed.view(np.int64).ravel()))],
+                ["key", "rid", "set_a", "set_b", "n_shingles", "bands"],
             )
 
-    return map_batches(_keyed(df, key, text), run, "key long, set_a long, set_b long, n_shingles long, bands array<long>")
+    number = F.monotonically_increasing_id() if row is None else F.col(row).cast("long")
+    numbered = df.select(_key(key), F.col(text).alias("text"), number.alias("rid"))
+    return map_batches(numbered, run, "key long, rid long, set_a long, set_b long, n_shingles long, bands array<long>")
+
+
+def _key(key: str) -> Column:
+    return F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("key")
 
 
 def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("key"), F.col(text).alias("text"))
+    return df.select(_key(key), F.col(text).alias("text"))
 
 
 def _shingle_sets(df: DataFrame, words: int) -> DataFrame:
@@ -222,12 +228,14 @@ def connected(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.999, rows: int = 4) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.999, rows: int = 4, row: str | None = None) -> DataFrame:
     """Classes of texts whose sets of ``words``-word shingles have a Jaccard similarity of ``threshold`` or more.
 
     Returns for each row its key, ``class_id`` (the least key of all rows that links
-    connect), ``n_links`` (other texts, by their shingle sets, that are as similar) and
-    ``n_copies`` (rows with the same shingle set, itself included).
+    connect), ``n_links`` (other texts, by their shingle sets, that are as similar),
+    ``n_copies`` (rows with the same shingle set, itself included), ``first`` (whether it
+    is the one row that stands for its class: of least key, null ones last, and of these
+    the least by number) and, if it is given, ``row``, a column that numbers the rows.
 
     1. Rows with equal shingle sets are one text; 128 bits stand for a set.
     2. Each text's MinHash values, ``rows`` to a band, with as many bands as give pairs
@@ -240,13 +248,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     4. Connected components over the local roots give the classes.
 
     A text without words has no links and a class of its own row; a text of fewer
-    words than a shingle has one shingle.  Null keys give class_id null or that of
-    their class's least key.
+    words than a shingle has one shingle.  A class's id is null only if all its keys are.
     """
     bands = choose_bands(threshold, recall, rows)
-    sig = written(signatures(df, words, bands, rows, key, text).select("*", F.monotonically_increasing_id().alias("rid")), "signatures")
+    sig = written(signatures(df, words, bands, rows, key, text, row), "signatures")
     texts = sig.where("n_shingles > 0").groupBy("set_a", "set_b").agg(
-        F.min("rid").alias("rep"), F.min("key").alias("key"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")
+        F.min("rid").alias("rep"), F.min("key").alias("key"), F.min(F.struct((F.col("key") == NO_ID).alias("odd"), "key", "rid")).alias("top"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")
     )
     texts = written(texts, "texts")
     placed = texts.select("rep", "n_shingles", F.posexplode("bands").alias("band", "hash"))
@@ -275,10 +282,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     links = written(_links(spread, threshold), "links")
     roots = connected(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    grouped = texts.select("rep", "key", "set_a", "set_b", "n_copies").join(counted, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    grouped = texts.select("rep", "top", "set_a", "set_b", "n_copies").join(counted, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     grouped = grouped.where("n_copies > 1 or n_links is not null").withColumn("root", F.coalesce("root", "rep"))
-    least = grouped.groupBy("root").agg(F.min("key").alias("class_id"))
-    classes = grouped.join(least, "root").select("set_a", "set_b", "class_id", "n_links", "n_copies")
+    least = grouped.groupBy("root").agg(F.min("top").alias("least"))
+    classes = grouped.join(least, "root").select("set_a", "set_b", F.col("least.key").alias("class_id"), F.col("least.rid").alias("first_rid"), "n_links", "n_copies")
     salts = 8  # rows with one set may be a large part of all
     salted = classes.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     out = sig.withColumn("salt", F.pmod("rid", F.lit(salts)).cast("int")).join(salted, ["set_a", "set_b", "salt"], "left")
@@ -288,4 +295,6 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
         F.nullif(F.when(plain, F.coalesce("class_id", "key")).otherwise(F.col("key")), F.lit(NO_ID)).alias("class_id"),
         F.when(plain, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
         F.when(plain, F.coalesce("n_copies", F.lit(1))).otherwise(F.lit(1)).cast("long").alias("n_copies"),
+        F.when(plain, F.coalesce(F.col("rid") == F.col("first_rid"), F.lit(True))).otherwise(F.lit(True)).alias("first"),
+        *([] if row is None else [F.col("rid").alias(row)]),
     )

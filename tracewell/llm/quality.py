@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bloom_semi, map_batches, slices, text_bytes, written
+from tracewell.llm.common import bloom_semi, ddl, map_batches, slices, text_bytes, written
 from tracewell.llm.grams import add_counts, count_keys, gram_keys, long_text_grams, look_up
 
 #: Grams of bytes: the last byte and four bytes of context.
@@ -125,8 +125,8 @@ def worst_runs(bits: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
     return out / size
 
 
-def perplexity(df: DataFrame, model: KneserNey, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """key, lang, ``n_bytes``, ``perplexity`` (a byte; null for an empty text) and the worst run of each of WINDOWS, in bits a byte, of every whole text.
+def perplexity(df: DataFrame, model: KneserNey, key: str = "doc_id", text: str = "text", lang: str = "lang", carry: Sequence[str] = ()) -> DataFrame:
+    """key, lang, the other columns to carry, ``n_bytes``, ``perplexity`` (a byte; null for an empty text) and the worst run of each of WINDOWS, in bits a byte, of every whole text.
 
     The distinct grams of all texts are looked up once, by joins; the answers come
     back to the texts in shards of SHARD_ROWS grams, so that texts are never shuffled
@@ -176,10 +176,12 @@ def perplexity(df: DataFrame, model: KneserNey, key: str = "doc_id", text: str =
             n = np.diff(offsets)
             each = np.exp2(total / np.maximum(n, 1))
             measured = [pa.array(x, pa.float64(), mask=n == 0) for x in (each, *worst)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), *measured], [key, lang, "n_bytes", "perplexity", *WINDOWS])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(n, pa.int64()), *measured], [*own, "n_bytes", "perplexity", *WINDOWS])
 
-    schema = f"{key} long, {lang} string, n_bytes long, perplexity double, {', '.join(f'{w} double' for w in WINDOWS)}"
-    return map_batches(df.select(F.col(key).cast("long").alias(key), text, lang), run, schema)
+    own = list(dict.fromkeys((key, lang, *carry)))
+    rows = df.select(F.col(key).cast("long").alias(key), text, lang, *(c for c in own if c not in (key, text, lang)))
+    schema = f"{ddl(rows, own)}, n_bytes long, perplexity double, {', '.join(f'{w} double' for w in WINDOWS)}"
+    return map_batches(rows, run, schema)
 
 
 def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -205,8 +207,8 @@ POOL = 20
 PRIOR = {"low": -0.15, "high": 0.15, "peak": 3.0, "stretch": 0.8}
 
 
-def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """key, lang, n_bytes, perplexity, the worst runs of WINDOWS, ``low``, ``high``, the runs' fences (``peak_high``) and ``keep`` for every row.
+def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", carry: Sequence[str] = ()) -> DataFrame:
+    """key, lang, the other columns to carry, n_bytes, perplexity, the worst runs of WINDOWS, ``low``, ``high``, the runs' fences (``peak_high``) and ``keep`` for every row.
 
     The model is trained on all trusted texts (``trusted_ids``) but a fifth, whose
     quantiles set each language's fences; few texts of a language count little beside
@@ -219,7 +221,7 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     trusted = written(trusted_ids(labels, key), "trusted")
     rows = df.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).where(~_for_thresholds(key) & F.col(text).isNotNull())
     learned = bloom_semi(rows, key, trusted).join(trusted, key, "left_semi")
-    scores = written(perplexity(df, KneserNey(learned, text), key, text, lang), "perplexity")
+    scores = written(perplexity(df, KneserNey(learned, text), key, text, lang, carry), "perplexity")
     known = scores.where("n_bytes > 0").join(trusted, key, "left_semi")
     known = known.select(lang, _for_thresholds(key).alias("left_out"), F.log2("perplexity").alias("mean"), *WINDOWS, F.sqrt(1 + SHORT / F.col("n_bytes")).alias("wide"))
     known = written(known, "known")
