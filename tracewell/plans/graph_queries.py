@@ -154,7 +154,7 @@ def route_count(spark, sf_dir):
 @query("routes_budgeted")
 def routes_budgeted(spark, sf_dir):
     e, r, ends = _part_graph(spark, sf_dir)
-    return graph.enumerate_routes(r, e, ends, budget=16)
+    return graph.enumerate_routes(r, e, ends)
 
 
 @query(

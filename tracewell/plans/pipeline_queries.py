@@ -49,4 +49,4 @@ def stitch_pipeline(spark, sf_dir):
 @query("stitch_reachability", "SELECT 'x-p' || p_partkey AS finding_id, CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem) THEN 'reachable' ELSE 'unreachable' END AS reachability FROM part")
 def stitch_reachability(spark, sf_dir):
     e = edges(spark, sf_dir).withColumn("component", F.substring("caller", 1, 1))
-    return pipelines.stitch(e, _operations(spark, sf_dir), "c", budget=4)["operations"].select("finding_id", "reachability")
+    return pipelines.stitch(e, _operations(spark, sf_dir), "c")["operations"].select("finding_id", "reachability")
