@@ -203,7 +203,7 @@ def identify_known(df: DataFrame, model: Model, key: str = "doc_id", text: str =
     right = written(right, "held-out")
     middle = F.percentile_approx("bits", 0.5, 10_000).alias("mid")
     total = right.agg(F.count("*").alias("n"), middle).first()
-    each = right.groupBy("own").agg(F.count("*").alias("n"), middle)
+    each = written(right.groupBy("own").agg(F.count("*").alias("n"), middle), "middles")  # written, so that it is broadcast
     away = F.percentile_approx((F.col("bits") - F.col("mid")) / F.col("wide"), HIGH, 10_000).alias("far")
     far = right.withColumn("mid", F.lit(total["mid"]).cast("double")).agg(away).first()["far"]
     far = max(far, (total["n"] * far + POOL * PRIOR) / (total["n"] + POOL)) if total["n"] else None

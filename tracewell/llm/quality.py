@@ -243,7 +243,7 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     overall = known.agg(*distances({m: F.lit(whole[f"{m}_mid"]) for m in measures})).first()
     outer = {end: (overall[f"{end}_own"], (whole["n"] * overall[f"{end}_own"] + POOL * far) / (whole["n"] + POOL)) for end, far in PRIOR.items()}
     pooled = {end: min(pair) if end == "low" else max(pair) for end, pair in outer.items()}
-    each = known.where(F.col("left_out") & F.col(lang).isNotNull()).groupBy(lang).agg(*middles)
+    each = written(known.where(F.col("left_out") & F.col(lang).isNotNull()).groupBy(lang).agg(*middles), "middles")  # written, so that it is broadcast
     each = each.join(known.join(each, lang).groupBy(lang).agg(*distances({m: F.col(f"{m}_mid") for m in measures})), lang)
     # one more text of a language strays from the middle of its n by the root of 1 + 1 / n
     drawn = {end: (F.col(f"{end}_own"), (F.col("n") * F.col(f"{end}_own") + POOL * far) / (F.col("n") + POOL)) for end, far in pooled.items()}
