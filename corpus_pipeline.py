@@ -41,9 +41,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents a twentieth of whose words lie in benchmark windows."""
+    """Drops every document that holds a benchmark window, however long the rest of it is."""
     found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"), carry=COLUMNS)
-    return found.where(~decontaminate.is_contaminated()).select(COLUMNS)
+    return found.where("n_hit = 0").select(COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
