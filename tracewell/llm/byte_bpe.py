@@ -14,11 +14,12 @@ import regex
 import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tracewell.llm.common import map_batches, slices
 
 #: Pre-tokens whose ids a worker keeps; beyond it the store starts anew.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 400_000
 #: Longer pre-tokens are not kept.
 CACHE_PIECE = 64
 
@@ -138,6 +139,19 @@ def _tiktoken_class(name: str, every: str) -> set[str]:
     return set(bytes(own.encode_ordinary(every)).decode())
 
 
+class _Kept(dict):
+    """Little-endian ids of pre-tokens, worked out when first asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece)
+        if len(piece) <= CACHE_PIECE:
+            self[piece] = ids
+        return ids
+
+
 class Codec:
     """Encodes whole texts to ids and decodes ids to bytes."""
 
@@ -147,37 +161,24 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.tokens))
         self.split = Splitter(pattern, _tiktoken_class)
         self.spell = {b: c for b, c in enumerate(byte_letters())}
-        self.kept: dict[str, bytes] = {}
-
-    def _encode_new(self, pieces: list[str]) -> dict[str, bytes]:
-        """Little-endian ids of each pre-token; a pre-token that is a token is that token."""
-        found, hard = {}, []
-        for p in pieces:
-            rank = self.ranks.get(raw := p.encode())
-            if rank is None:
-                hard.append((p, raw.decode("latin-1").translate(self.spell)))
-            else:
-                found[p] = struct.pack("<I", rank)
-        for (p, _), ids in zip(hard, self.model.encode([s for _, s in hard], num_threads=1) if hard else [], strict=True):
-            found[p] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
+        self.kept = _Kept(self._encode_piece)
+
+    def _encode_piece(self, piece: str) -> bytes:
+        """Little-endian ids of a pre-token; one that is a token is that token."""
+        rank = self.ranks.get(raw := piece.encode())
+        if rank is not None:
+            return struct.pack("<I", rank)
+        ids = self.model.encode(raw.decode("latin-1").translate(self.spell))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         return b"".join(map(self._encode, chunks(text)))
 
     def _encode(self, text: str) -> bytes:
-        pieces = self.split(text)
-        kept = self.kept
-        missing = {p for p in pieces if p not in kept}
-        if not missing:
-            return b"".join([kept[p] for p in pieces])
-        if len(kept) > CACHE_ENTRIES:
-            kept.clear()
-            missing = set(pieces)
-        new = self._encode_new(list(missing))
-        kept.update((p, v) for p, v in new.items() if len(p) <= CACHE_PIECE)
-        return b"".join([new[p] if p in new else kept[p] for p in pieces])
+        if len(self.kept) > CACHE_ENTRIES:
+            self.kept.clear()
+        return b"".join(map(self.kept.__getitem__, self.split(text)))
 
     def decode(self, ids: bytes) -> bytes:
         numbers, step = np.frombuffer(ids, "<u4"), 1 << 18
@@ -190,20 +191,26 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode_texts(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_texts(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", decode: bool = False) -> DataFrame:
     """Each row's key and ``ids``, the whole text's ids as little-endian unsigned 32-bit integers (null: none).
 
-    ``path`` is read on the executors: a vocabulary file that every machine has.
-    Repeated rows give repeated rows.  A long text is one row's work; memory is a few times its size.
+    With ``decode`` also ``decoded``, the bytes that the ids stand for, read from the
+    ids in the same pass.  ``path`` is read on the executors: a vocabulary file that
+    every machine has.  Repeated rows give repeated rows.  A long text is one row's
+    work; memory is a few times its size.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in slices(batches, 1):
             ids = [own.encode(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], [key, "ids"])
+            columns = {key: batch.column(0), "ids": pa.array(ids, pa.binary())}
+            if decode:
+                columns["decoded"] = pa.array(map(own.decode, ids), pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return map_batches(df.select(key, text), run, f"{key} long, ids binary")
+    schema = f"{key} long, ids binary" + (", decoded binary" if decode else "")
+    return map_batches(df.select(F.col(key).cast("long").alias(key), text), run, schema)
 
 
 def decode_ids(df: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
@@ -215,4 +222,4 @@ def decode_ids(df: DataFrame, path: str, pattern: str, key: str = "doc_id") -> D
             out = [own.decode(x or b"") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [key, "ids", "decoded"])
 
-    return map_batches(df.select(key, "ids"), run, f"{key} long, ids binary, decoded binary")
+    return map_batches(df.select(F.col(key).cast("long").alias(key), "ids"), run, f"{key} long, ids binary, decoded binary")

@@ -95,7 +95,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the 50k multilingual ranks and decoded again."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = byte_bpe.decode_ids(byte_bpe.encode_texts(read(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    coded = byte_bpe.encode_texts(read(spark, sf_dir, "documents"), path, pattern, decode=True)
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -19,6 +19,7 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from tracewell.llm.byte_bpe import Splitter, byte_letters, chunks
@@ -212,4 +213,4 @@ def count_tokens(df: DataFrame, path: str, limit: int = 1024, key: str = "doc_id
             out = [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts]), pa.array(fit, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *out], [key, "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
-    return map_batches(df.select(key, text), run, f"{key} long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    return map_batches(df.select(F.col(key).cast("long").alias(key), text), run, f"{key} long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
