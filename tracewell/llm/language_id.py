@@ -16,8 +16,8 @@ from tracewell.llm.grams import add_counts, count_keys, gram_keys, look_up, text
 
 #: Bytes of context at most.
 ORDER = 4
-#: The sample that the trees are grown from: documents of a language, the longest of them in bytes, languages.
-SAMPLE_ROWS, SAMPLE_BYTES, MAX_LANGS = 1500, 1 << 16, 200
+#: The sample that the trees are grown from: documents of a language at most.
+SAMPLE_ROWS = 1500
 UNDETERMINED = "und"
 #: A text is in its language if its bits a byte lie no further above the middle of the language's held-out texts than REACH
 #: times their HIGH quantile; the bits of few bytes stray further, with the root of 1 + SHORT / n_bytes.
@@ -119,24 +119,27 @@ class Model:
 
 
 def sample(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """(lang, text) of SAMPLE_ROWS documents of each language at most, those of least hash."""
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(key, text).alias("h"))
-    rows = rows.where(~held_out(F.col("key")) & F.col("lang").isNotNull() & F.octet_length("text").between(1, SAMPLE_BYTES))
-    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).select("lang")
-    least = Window.partitionBy("lang").orderBy("h")
-    ends = rows.select("lang", "h").distinct().withColumn("i", F.row_number().over(least)).where(F.col("i") <= SAMPLE_ROWS)
-    ends = ends.groupBy("lang").agg(F.max("h").alias("end")).join(most, "lang").collect()
-    wanted = F.lit(False)
-    for row in ends:
-        wanted = wanted | ((F.col("lang") == row["lang"]) & (F.col("h") <= row["end"]))
-    return rows.where(wanted).groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
+    """(lang, text) of about SAMPLE_ROWS documents of each language and never more, those of least hash.
+
+    A language's count gives the hash below which twice as many lie, so only these are
+    shuffled and ranked, however many rows the language has.  Repeated rows count once.
+    """
+    rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(key, text).alias("h"), F.pmod(F.xxhash64(text, key), F.lit(1 << 30)).alias("u"), F.col(key).alias("key"))
+    rows = rows.where(~held_out(F.col("key")) & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
+    if not counts:
+        return rows.where(F.lit(False)).select("lang", "text")
+    below = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, 2 * SAMPLE_ROWS / r["n"]) * (1 << 30)))])
+    near = rows.where(F.col("u") < F.element_at(below, F.col("lang"))).groupBy("lang", "u", "h").agg(F.first("text").alias("text"))
+    least = Window.partitionBy("lang").orderBy("u", "h")
+    return near.withColumn("i", F.row_number().over(least)).where(F.col("i") <= SAMPLE_ROWS).select("lang", "text")
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Count the sample's grams on the executors and grow the trees.
 
-    What reaches the driver is bounded by the sample: one gram a byte, SAMPLE_ROWS *
-    SAMPLE_BYTES * MAX_LANGS at the very most, and far fewer different ones.
+    What reaches the driver is bounded by the sample: the different grams of SAMPLE_ROWS
+    texts of each language, however many rows there are.
     """
     size = ORDER + 1
 
@@ -196,7 +199,7 @@ def identify_known(df: DataFrame, model: Model, key: str = "doc_id", text: str =
     """``identify`` and ``known``: whether a text of any length codes as texts of its best language do that were held out.
 
     The limit is set for each language by its held-out texts that were told right
-    (MAX_LANGS at most, so it fits a literal).  An undetermined text is not known.
+    (one pair of numbers for each language, a literal).  An undetermined text is not known.
     """
     rows = df.where(held_out(F.col(key)) & F.col(lang).isNotNull()).select(F.col(lang).alias("own"), F.col(text).alias("text"), F.octet_length(text).alias("n"))
     right = identify(rows, model, "text", ("own", "n")).where("own = lang_pred").select("own", F.col("bits_per_byte").alias("bits"), F.sqrt(1 + SHORT / F.col("n")).alias("wide"))
