@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -31,7 +32,8 @@ def brute_nearest(rows, queries, k):
     return out
 
 
-def test_nearest_is_exact_where_all_is_reranked(spark):
+def test_nearest_is_exact_where_all_is_reranked(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "calibrate", lambda *_: 1.0)
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(300)]
     rows += [(1000 + i, rows[3][1]) for i in range(40)]  # many copies of one vector
@@ -47,9 +49,11 @@ def test_nearest_of_few_or_none(spark):
     assert [(r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 2, 2.0), (2, 3, 2.0)]
 
 
-def test_recall_where_cells_are_pruned(spark, sf, monkeypatch):
-    monkeypatch.setattr(neighbours, "LEAST_ENTRIES", 20)
-    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+@pytest.mark.parametrize("sample", [20_000, 400])
+def test_recall_where_cells_are_pruned(spark, monkeypatch, sample):
+    """Measured against brute force, with a sample that is the table and with one a fifth of it."""
+    monkeypatch.setattr(neighbours, "SAMPLE_ROWS", sample)
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, list(r.embedding)) for r in df.collect()]
     queries = {i for i, _ in rows if i % 20 == 0}
     got = {(r.query_id, r.vec_id) for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=10).collect()}
@@ -57,6 +61,17 @@ def test_recall_where_cells_are_pruned(spark, sf, monkeypatch):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_clustered_vectors_need_few_entries(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16)) * 8
+    rows = [(i, (centres[i % 40] + rng.normal(size=16)).astype(np.float32).tolist()) for i in range(3000)]
+    books = neighbours.Codebooks(np.array([v for _, v in rows]), 16)
+    assert neighbours.calibrate(books, np.array([v for _, v in rows]), 10) <= 0.2
+    got = {(r.query_id, r.vec_id) for r in neighbours.nearest(vectors(spark, rows), F.col("vec_id") % 50 == 0, k=10).collect()}
+    want = {(q, i) for q, _, i in brute_nearest(rows, set(range(0, 3000, 50)), 10)}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_traversal_is_by_summed_distance():
     rng = np.random.default_rng(2)
     books = neighbours.Codebooks(rng.normal(size=(200, 4)), 6)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,8 +17,6 @@ from tracewell.llm.common import map_batches, written
 SAMPLE_ROWS = 20_000
 #: Centroids of a half at most.
 MOST_CENTROIDS = 256
-#: A query reranks so many entries at least, or the share of all entries that ``calibrate`` finds if that is more.
-LEAST_ENTRIES = 4000
 #: Shares that are tried, and the recall on the sample that is asked for.
 SHARES, RECALL = (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0), 0.95
 #: Entries, and queries, that meet in one step.
@@ -119,9 +118,9 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", v
 
     Codebooks of about (rows / 12)**0.5 centroids a half, MOST_CENTROIDS at most, are
     fitted on a sample of SAMPLE_ROWS; every row is put into its cell.  A query
-    goes through the cells by summed distance until they hold LEAST_ENTRIES or the
-    share of all entries that gives RECALL on the sample, and all entries of these
-    cells are reranked.  Of rows with equal vectors the k + 1 of least key in each
+    goes through the cells by summed distance until they hold the share
+    of all entries that gives RECALL on the sample (and k + 1 in any case), and all
+    entries of these cells are reranked.  Of rows with equal vectors the k + 1 of least key in each
     batch go on, which are all that can be in a result.  Entries and queries meet by
     the first half's centroid, in blocks of entries and of queries cut by their
     counts, so that a cell or vector of any size is many small steps.
@@ -165,7 +164,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", v
     entries = placed.where("entry").select("id", "v", "cell")
     counts = {r["cell"]: r["n"] for r in entries.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # MOST_CENTROIDS squared at most
     held = spark.sparkContext.broadcast(counts)
-    wanted = int(max(LEAST_ENTRIES, share * sum(counts.values())))
+    wanted = max(k + 1, math.ceil(share * sum(counts.values())))
 
     def visit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
