@@ -71,6 +71,35 @@ def test_contamination_matches_brute_force(spark, monkeypatch):
             for m in r.matches:
                 piece = texts[r.doc_id][m.doc_word : m.doc_word + m.n_words]
                 assert any(w[m.item_word : m.item_word + m.n_words] == piece for w in own[m.item_id])
+            assert [(m.doc_word, m.n_words) for m in r.matches] == longest_matches(texts[r.doc_id], [w for ws in own.values() for w in ws], 4)
+
+
+def longest_matches(doc, items, size):
+    """(place, words) of the matches of a window or more that lie in no other."""
+    out, reach = [], 0
+    for p in range(len(doc)):
+        best = 0
+        for w in items:
+            for q in range(len(w)):
+                n = 0
+                while p + n < len(doc) and q + n < len(w) and doc[p + n] == w[q + n]:
+                    n += 1
+                if n >= size or 0 < n == len(w):
+                    best = max(best, n)
+        if best and p + best > reach:
+            out.append((p, best))
+            reach = p + best
+    return out
+
+
+def test_windows_that_all_items_share(spark):
+    """A preamble of all items: each place has one match, each document all ids."""
+    head = " ".join(f"p{i}" for i in range(40))
+    bench = spark.createDataFrame([(i, f"{head} q{i} r{i}") for i in range(300)], "item_id long, text string")
+    got = decontaminate.contamination(documents(spark, [(1, f"x {head} q7 y " * 5), (2, f"{head} q299 r299")]), bench).collect()
+    assert all(len(r.item_ids) == 300 for r in got)
+    assert [[(m.item_id, m.doc_word, m.n_words) for m in r.matches] for r in got if r.doc_id == 2] == [[("299", 0, 42)]]
+    assert [[(m.item_id, m.doc_word % 43, m.n_words) for m in r.matches] for r in got if r.doc_id == 1] == [[("7", 1, 41)] * 5]
 
 
 def test_contamination_of_odd_rows(spark, odd):

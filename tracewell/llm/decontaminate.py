@@ -20,20 +20,31 @@ SCHEMA = "n_words long, n_hit long, item_ids array<string>, matches array<struct
 
 
 @dataclass
-class Tests:
-    """Benchmark words end to end, and the windows that start test suffixes.
+class Windows:
+    """The test windows of one size.
 
-    ``sizes`` maps a window size to the distinct windows of that size: ``rows`` (one
-    window each), ``starts`` (a test suffix for each) and the items of each window
-    (``items[bounds[i]:bounds[i + 1]]``, numbers into ``names``).
+    ``rows`` has each distinct window; the test suffixes that begin with window i are
+    ``starts[bounds[i]:bounds[i + 1]]``, sorted as suffixes; ``sets[i]`` numbers the set
+    of items that hold it.
     """
 
-    names: list[str]
-    hashes: np.ndarray
+    rows: np.ndarray
+    starts: np.ndarray
+    bounds: np.ndarray
+    sets: np.ndarray
+
+
+@dataclass
+class Tests:
+    """Benchmark words end to end, and the windows that start test suffixes."""
+
+    names: list[str]  # of the items
+    ranks: np.ndarray  # for each benchmark word its hash's place in ``singles``, from 1
     end_of: np.ndarray  # for each benchmark word, where its item ends
     item_of: np.ndarray
     first: np.ndarray
-    sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    sizes: dict[int, Windows]
+    item_sets: list[frozenset[str]]  # each different set of items that a window has
     pairs: np.ndarray  # hashes of two neighbouring words of an item, sorted
     singles: np.ndarray
 
@@ -43,25 +54,47 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return splitmix64(a * np.uint64(0xD6E8FEB86659FD93) + b)
 
 
+def _suffix_ranks(ranks: np.ndarray, end_of: np.ndarray) -> np.ndarray:
+    """Places of all suffixes in order, each read to its item's end; equal ones share a place.
+
+    Prefix doubling: what is sorted by k words is sorted by 2k from the places at k words' distance.
+    """
+    place, k, longest = ranks, 1, int((end_of - np.arange(len(ranks))).max(initial=0))
+    while k < longest:
+        later = np.arange(len(ranks)) + k
+        second = np.where(later < end_of, place[np.minimum(later, len(ranks) - 1)], 0)
+        order = np.lexsort((second, place))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (place[order][1:] != place[order][:-1]) | (second[order][1:] != second[order][:-1])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(fresh)
+        k *= 2
+    return place
+
+
 def index_tests(items: pa.Table, size: int) -> Tests:
     """Test suffixes of items (item_id as text, text): one for each word that begins a window."""
-    data, offsets = text_bytes(items.column("text").combine_chunks())
-    words = split_words(data, offsets)
+    items = items.sort_by([("item_id", "ascending"), ("text", "ascending")])
+    names = items.column("item_id").to_pylist()
+    words = split_words(*text_bytes(items.column("text").combine_chunks()))
     text = words.text_of
     end_of = words.first[1:][text] if len(text) else text
-    counts = np.diff(words.first)
-    need = np.minimum(size, counts)[text] if len(text) else text
+    need = np.minimum(size, np.diff(words.first))[text] if len(text) else text
     starts = np.flatnonzero(np.arange(len(text)) + need <= end_of)
-    sizes = {}
+    singles, ranks = np.unique(words.hashes, return_inverse=True)
+    ranks = ranks.ravel() + 1
+    place = _suffix_ranks(ranks, end_of)
+    sizes, numbers = {}, {}
     for m in np.unique(need[starts]).tolist() if len(starts) else []:
         own = starts[need[starts] == m]
+        own = own[np.lexsort((own, place[own]))]
         rows = words.hashes[own[:, None] + np.arange(m)]
-        distinct, which = np.unique(rows, axis=0, return_inverse=True)
-        which = which.ravel()
-        order = np.argsort(which, kind="stable")
-        sizes[m] = distinct, own[order], np.searchsorted(which[order], np.arange(len(distinct) + 1))
+        bounds = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
+        ends = np.append(bounds, len(own))
+        sets = [frozenset(names[i] for i in text[own[a:b]].tolist()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        sizes[m] = Windows(rows[bounds], own, ends, np.array([numbers.setdefault(x, len(numbers)) for x in sets], np.int64))
     near = np.flatnonzero(text[1:] == text[:-1]) if len(text) else text
-    return Tests(items.column("item_id").to_pylist(), words.hashes, end_of, text, words.first, sizes, np.unique(_pair(words.hashes[near], words.hashes[near + 1])), np.unique(words.hashes))
+    return Tests(names, ranks, end_of, text, words.first, sizes, list(numbers), np.unique(_pair(words.hashes[near], words.hashes[near + 1])), singles)
 
 
 def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -131,40 +164,89 @@ def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + low[which]
 
 
-def find(words: Words, tests: Tests, hit: np.ndarray) -> list[tuple[int, str, int, int, int]]:
-    """Longest matches (text, item id, item word, document word, words); ``hit`` counts up at window words."""
-    text, found = words.text_of, []
+def _longest(words: Words, tests: Tests, own: Windows, window: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a test suffix, words) of the longest match that begins at each place, where a window begins.
+
+    The test suffixes that begin with what has matched so far are a range; the next
+    word of the document narrows it by two binary searches.
+    """
+    low, high = own.bounds[window].copy(), own.bounds[window + 1].copy()
+    length, live = np.full(len(place), size), np.arange(len(place))
+    ends = words.first[1:][words.text_of[place]]
+
+    def bound(a: np.ndarray, b: np.ndarray, value: np.ndarray, after: bool, step: int) -> np.ndarray:
+        a, b = a.copy(), b.copy()
+        while (open_ := a < b).any():
+            mid = (a + b) // 2
+            start = own.starts[np.minimum(mid, len(own.starts) - 1)]
+            at = start + step
+            there = np.where(at < tests.end_of[start], tests.ranks[np.minimum(at, len(tests.ranks) - 1)], 0)
+            right = open_ & ((there <= value) if after else (there < value))
+            a = np.where(right, mid + 1, a)
+            b = np.where(open_ & ~right, mid, b)
+        return a
+
+    step = size
+    while len(live := live[place[live] + step < ends[live]]):
+        word = words.hashes[place[live] + step]
+        value = np.searchsorted(tests.singles, word)
+        known = tests.singles[np.minimum(value, len(tests.singles) - 1)] == word
+        live, value = live[known], value[known] + 1
+        a = bound(low[live], high[live], value, False, step)
+        b = bound(a, high[live], value, True, step)
+        some = a < b
+        live = live[some]
+        low[live], high[live] = a[some], b[some]
+        step += 1
+        length[live] = step
+    return own.starts[low], length
+
+
+@dataclass
+class Found:
+    """Matches in one slice of documents, as columns, and the item sets of each document."""
+
+    columns: list[list[np.ndarray]]  # text, place, words, item name, item word
+    items: set[tuple[int, frozenset[str]]]
+
+
+def find(words: Words, tests: Tests, hit: np.ndarray, found: Found) -> None:
+    """Adds to ``found`` the longest match of each word that begins a window; ``hit`` counts up at window words.
+
+    A place has one match and a document each item set once, however many items share a window.
+    """
+    text = words.text_of
     edge = np.zeros(len(hit) + 1, np.int64)
-    for size, (rows, starts, bounds) in tests.sizes.items():
+    for size, own in tests.sizes.items():
         suffixes, columns = suffix_array(words, text, size, tests)
         if not len(suffixes):
             continue
-        which, at = _spread(*search(columns, rows))
-        if not len(which):
+        window, at = _spread(*search(columns, own.rows))
+        if not len(window):
             continue
         place = suffixes[at]
         np.add.at(edge, place, 1)
         np.add.at(edge, place + size, -1)
-        pair, own = _spread(bounds[which], bounds[which + 1])
-        test, place = starts[own], place[pair]
-        a, b = test - 1, place - 1
-        inner = (test > tests.first[tests.item_of[test]]) & (place > words.first[text[place]])
-        longer = inner & (tests.hashes[a] == words.hashes[b])  # then the match began earlier
-        whole = np.minimum(tests.end_of[test] - tests.first[tests.item_of[test]], 1 << 30)
-        longer &= whole > size  # the windows of a short item are the item
-        test, place = test[~longer], place[~longer]
-        length, live = np.full(len(test), size), np.arange(len(test))
-        ends = words.first[1:][text[place]]
-        while len(live):
-            t, p = test[live] + length[live], place[live] + length[live]
-            live = live[(t < tests.end_of[test[live]]) & (p < ends[live])]
-            t, p = test[live] + length[live], place[live] + length[live]
-            live = live[tests.hashes[t] == words.hashes[p]]
-            length[live] += 1
-        item, doc = tests.item_of[test], text[place]
-        found += zip(doc.tolist(), [tests.names[i] for i in item], (test - tests.first[item]).tolist(), (place - words.first[doc]).tolist(), length.tolist(), strict=True)
+        for doc, number in np.unique(np.stack([text[place], own.sets[window]]), axis=1).T.tolist():
+            found.items.add((doc, tests.item_sets[number]))
+        test, length = _longest(words, tests, own, window, place, size)
+        item = tests.item_of[test]
+        found.columns.append([text[place], place, length, np.array(tests.names, object)[item], test - tests.first[item]])
     hit += np.cumsum(edge)[:-1]
-    return found
+
+
+def _outermost(found: Found, first: np.ndarray, rows: int) -> list[list[dict]]:
+    """For each document its matches that lie in no other."""
+    out: list[list[dict]] = [[] for _ in range(rows)]
+    if not found.columns:
+        return out
+    text, place, length, name, word = (np.concatenate(c) for c in zip(*found.columns, strict=True))
+    reach = -1
+    for i in np.lexsort((-length, place)).tolist():  # a match ends in its document, so places tell documents apart
+        if place[i] + length[i] > reach:
+            reach = int(place[i] + length[i])
+            out[text[i]].append({"item_id": name[i], "item_word": int(word[i]), "doc_word": int(place[i] - first[text[i]]), "n_words": int(length[i])})
+    return out
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, size: int = 13, text: str = "text", item_key: str = "item_id", item_text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -172,8 +254,9 @@ def contamination(df: DataFrame, benchmark: DataFrame, size: int = 13, text: str
 
     The columns to carry, ``n_words``, ``n_hit``, ``item_ids`` (distinct, sorted as strings) and
     ``matches``: item, place in the item, place in the document and length in words of
-    each verbatim match that reaches no further on either side.  A window is ``size``
-    consecutive words of an item; an item of fewer words, but not none, is one window.
+    the longest verbatim matches, those that lie in no other; of items that match as
+    far, one is named.  A window is ``size`` consecutive words of an item; an item of
+    fewer words, but not none, is one window.
 
     A shard is a slice of a partition: its suffix array is built in memory and every
     test suffix is searched in it.  Documents are not shuffled.  Test suffixes are sent
@@ -193,22 +276,22 @@ def contamination(df: DataFrame, benchmark: DataFrame, size: int = 13, text: str
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
             words = split_words(*text_bytes(batch.column(0)))
-            hit, found = np.zeros(len(words.hashes), np.int64), []
+            hit, found = np.zeros(len(words.hashes), np.int64), Found([], set())
             for block in blocks:
-                found += find(words, block.value, hit)
+                find(words, block.value, hit, found)
                 if len(blocks) > 1:
                     del block._value
             sums = np.concatenate([[0], np.cumsum(hit > 0)])
-            matches: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for doc, item, item_word, doc_word, n in sorted(set(found)):
-                matches[doc].append({"item_id": item, "item_word": item_word, "doc_word": doc_word, "n_words": n})
+            items: list[set[str]] = [set() for _ in range(batch.num_rows)]
+            for doc, names in found.items:
+                items[doc] |= names
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[1:],
                     pa.array(np.diff(words.first), pa.int64()),
                     pa.array(sums[words.first[1:]] - sums[words.first[:-1]], pa.int64()),
-                    pa.array([sorted({m["item_id"] for m in own}) for own in matches], pa.list_(pa.string())),
-                    pa.array(matches, _MATCHES),
+                    pa.array(map(sorted, items), pa.list_(pa.string())),
+                    pa.array(_outermost(found, words.first, batch.num_rows), _MATCHES),
                 ],
                 [*carry, "n_words", "n_hit", "item_ids", "matches"],
             )
