@@ -90,30 +90,109 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <div class="cookie-notice">c</div><footer>&copy; F</footer>"""
 
 
-def test_main_text():
-    blocks = [t for _, _, t in html_text.Page(PAGE).main_blocks()]
-    assert blocks == ["Ti & tle", "One two three é' x", "Four", "loose text", "a", "b"]
-    assert [t for _, _, t in html_text.Page("<p>a<p>b</div></p>c").main_blocks()] == ["a", "b", "c"]
-    assert html_text.Page("<main><p>m</p></main><p>o").main_blocks()[0][2] == "m"
-    assert html_text.Page("a < b & c <").main_blocks()[0][2] == "a < b & c <"
-    for odd in ("", "<", "<!--", "<p", "</", "<a href='x>y", "<script>never ends", "&#xD800;", "<" * 2000, "<p>" * 5000):
+def test_blocks_of_a_page():
+    blocks = [t for _, t, _ in html_text.Page(PAGE).blocks]
+    assert blocks == ["Head", "x", "y", "AD", "Ti & tle", "One two three é' x", "Four", "loose text", "a", "b", "s", "c", "© F"]
+    assert [(t, n) for _, t, n in html_text.Page("<p><a>one</a> two<p>three").blocks] == [("one two", 3), ("three", 0)]
+    assert [t for _, t, _ in html_text.Page("<p>a<p>b</div></p>c").blocks] == ["a", "b", "c"]
+    assert [t for _, t, _ in html_text.Page("<p class='comments-area'>a<p class=commentary>b<p id=Comments>c").blocks] == ["b"]
+    assert html_text.Page("a < b & c <").blocks[0][1] == "a < b & c <"
+    for odd in ("", "<", "<!--", "<p", "</", "<a href='x>y", "<script>never ends", "&#xD800;", "<" * 2000, "<p>" * 5000, "<div>x" * 2000):
         html_text.Page(odd)
 
 
-def test_site_branches_go_and_articles_stay(spark):
-    body = lambda i: f"<body><article><h1>t{i}</h1><p>own text {i}</p><section class='sub'><p>Read our letter</p></section></article><footer>f</footer>"
-    pages = [(i, f"http://a.example/{i}", body(i)) for i in range(30)]
-    pages += [(100 + i, f"http://copy.example/{i}", "<article><p>one and the same</p></article>") for i in range(30)]
-    pages += [(200, "http://one.example/", body(5)), (201, None, None), (202, "http://[bad", ""), (200, "http://one.example/", body(5))]
+def extracted(spark, pages):
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, text string")
     got = collections.defaultdict(list)
     for r in html_text.extract_text(df).collect():
         got[r.page_id].append(r.text)
         assert r.n_chars == len(r.text)
-    assert got[3] == ["t3\n\nown text 3"]
-    assert got[105] == ["one and the same"]
-    assert got[200] == ["t5\n\nown text 5\n\nRead our letter"] * 2 and got[201] == [""] and got[202] == [""]
-    assert html_text.extract_text(df.limit(0)).count() == 0
+    return got
+
+
+def prose(i, n=12):
+    return " ".join(f"word{i * 31 + k * k}" for k in range(n))
+
+
+def test_site_branches_go_and_articles_stay(spark):
+    body = lambda i: f"<body><article><h1>t{i}</h1><p>{prose(i)}</p><section class='sub'><p>Read our letter</p></section></article><footer>f</footer>"
+    pages = [(i, f"http://a.example/{i}", body(i)) for i in range(30)]
+    pages += [(100 + i, f"http://copy.example/{i}", f"<div class=ad>{i}</div><article><p>{prose(1, 40)}</p></article>") for i in range(30)]
+    pages += [(200, "http://one.example/", body(5)), (201, None, None), (202, "http://[bad", ""), (200, "http://one.example/", body(5)), (203, "http://tie.example/", "<p>a</p><p>b</p>"), (204, "http://links.example/", "<div><a href=x>only</a></div>")]
+    got = extracted(spark, pages)
+    assert got[3] == [f"t3\n\n{prose(3)}"]
+    assert got[105] == [prose(1, 40)]
+    assert got[200] == [f"t5\n\n{prose(5)}"] * 2 and got[201] == [""] and got[202] == [""] and got[203] == ["a\n\nb"] and len(got[204]) == 1
+    assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_menus_footers_and_sidebars_go_without_an_article(spark):
+    """On a host of plain divisions, whose notices, adverts and menus differ from page to page."""
+
+    def page(i):
+        menu = "".join(f"<li><a href='/{k}'>entry {k} {i % 3}</a>" for k in range(5))
+        text = "".join(f"<p>{prose(i * 7 + k, 30)}</p>" for k in range(4 + i % 3))
+        return f"<div id=top><ul class=menu>{menu}</ul></div><div class=x1><div class=x2><h1>Title {i}</h1><p>Intro {i}</p>{text}</div><div class=x3>advert {i}</div></div><div class=x4>news {i}</div><div class=x5>All rights &copy;</div>"
+
+    for n in (1, 2, 40):
+        got = extracted(spark, [(i, f"http://divs.example/{i}", page(i)) for i in range(n)])
+        for i in range(n):
+            want = [f"Title {i}", f"Intro {i}", *(prose(i * 7 + k, 30) for k in range(4 + i % 3))]
+            assert got[i] == ["\n\n".join(want)], (n, i)
+
+
+def test_titles_and_odd_classes_of_an_article_stay(spark):
+    page = lambda i: f"<article><header><h1>Title {i}</h1></header><p class='notice-board'>board {i}</p><p class='share-price'>price {i}</p><p>{prose(i, 40)}</p></article>"
+    got = extracted(spark, [(i, f"http://b.example/{i}", page(i)) for i in range(12)])
+    assert got[4] == [f"Title 4\n\nboard 4\n\nprice 4\n\n{prose(4, 40)}"]
+
+
+def test_two_layouts_of_one_host(spark):
+    a = lambda i: f"<div class=a><p>{prose(i, 40)}</p></div><div class=n>n{i}</div>"
+    b = lambda i: "".join(f"<div class=b{k}><p>{prose(i + k, 20)}</p></div>" for k in range(8))
+    got = extracted(spark, [(i, f"http://two.example/{i}", (a if i % 2 else b)(i)) for i in range(20)])
+    assert got[3] == [prose(3, 40)] and got[4] == ["\n\n".join(prose(4 + k, 20) for k in range(8))]
+
+
+def brute_trees(pages):
+    """Importance and share of each (host, path), before they are drawn towards other sites'."""
+    sites = collections.defaultdict(list)
+    for url, source in pages:
+        sites[html_text.host_of(url)].append(html_text.Page(source))
+    out = {}
+    for host, own in sites.items():
+        m = max(2, len(own))
+        per_page = [{(path, text): len(text) - links for path, text, links in page.blocks} for page in own]
+        spread = collections.Counter(k for page in per_page for k in page)
+        paths = {path[:i] for page in per_page for path, _ in page for i in range(len(path) + 1)} | {()}
+        weight = lambda k: 1 - math.log(spread[k]) / math.log(m)  # noqa: B023, E731
+        each = [sum(page.values()) for page in per_page]
+        mean_weight = sum(n * (weight(k) + html_text.REPEATED) for page in per_page for k, n in page.items()) / max(1, sum(each))
+        for path in paths:
+            inside = [(k, n) for page in per_page for k, n in page.items() if k[0][: len(path)] == path]
+            whole = mean_weight * sum(n for page, n in zip(per_page, each, strict=True) if any(k[0][: len(path)] == path for k in page))
+            chars = sum(len(k[1]) for k, _ in inside)
+            importance = sum(weight(k) for k, _ in inside) / len(inside) * sum(n for _, n in inside) / chars if inside else 0
+            styles = collections.Counter(s for page in own for p, s in page.styles if p == path)
+            if any(k[0] == path for k, _ in inside) and styles:
+                total = sum(styles.values())
+                entropy = sum(-c / total * math.log(c / total) for c in styles.values()) / math.log(max(2, total))
+                importance = max(importance, entropy)
+            share = sum(n * (weight(k) + html_text.REPEATED) for k, n in inside) / whole if whole else 0
+            out[host, path] = importance, share
+    return out
+
+
+def test_importance_matches_brute_force(spark, sf, monkeypatch):
+    monkeypatch.setattr(html_text, "POOL", 0)
+    rows = [(r.url, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    rows += [(f"http://mixed.example/{i}", f"<div>loose {i % 4}<p>{prose(i % 6)}</p>{'<p>same</p>' * (i % 3)}<a>link {i}</a></div>") for i in range(15)]
+    df = spark.createDataFrame(rows, "url string, html string")
+    got = {r.branch: (r.importance, r.share) for r in html_text.site_trees(df).collect()}
+    want = {html_text.key_of(host, *path): v for (host, path), v in brute_trees(rows).items()}
+    assert got.keys() == {k for k in want if k in got} and len(got) >= len(want) - sum(v == (0, 0) for v in want.values())
+    for branch, pair in got.items():
+        assert pair == pytest.approx(want[branch], abs=1e-9)
 
 
 def test_each_page_of_the_table_has_its_article(spark, sf):

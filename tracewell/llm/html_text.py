@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
@@ -17,12 +17,18 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import map_batches, slices, written
 from tracewell.llm.grams import look_up
 
-#: Low-importance branches sent to the workers at a time: 8 bytes each.
+#: Decisions on branches sent to the workers at a time: 9 bytes each.
 SHARD_ROWS = 4_000_000
-#: A branch is judged by its site where at least so many pages have it.
-LEAST_PAGES = 8
-#: It goes if its importance is below this, and below this share of the importance of all that its article holds.
+#: A text goes if its branch's importance is below LOW and below SHARE times that of the content it lies in.
 LOW, SHARE = 0.2, 0.5
+#: A branch with more than MAIN of a page's content leads to the article; a container beside it with less than SMALL goes.
+MAIN, SMALL = 0.5, 0.15
+#: What a site says of a branch counts by its pages, what all sites say of the same path as if from so many pages.
+POOL = 5
+#: Characters that every page of a site has count for so little, not for nothing: a site may be copies of one article.
+REPEATED = 0.1
+#: Elements nested deeper share the branch of the one at this depth.
+DEPTH = 200
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,17 +37,13 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that never hold text of the article.
+#: Elements that never hold text of an article, whatever a site's tree says.
 NOISE = frozenset(
-    "applet aside audio button canvas datalist dialog footer form frame frameset head header iframe input label math menu nav noembed noframes "
-    "noscript object script search select style svg template textarea title video".split()
-)
-#: Words in class, id or role that say the same of an element.
-NOISE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising aside banner breadcrumb breadcrumbs comment comments complementary consent contentinfo "
-    "cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination "
-    "popup promo promotion recommended related replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    "applet audio button canvas datalist dialog form frame frameset head iframe input label math noembed noframes "
+    "noscript object script select style svg template textarea title video".split()
 )
+#: Block elements that are text in themselves; the others are containers.
+TEXT = frozenset("address blockquote caption center dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr legend li p pre summary td th tr".split())
 #: What an opening tag closes: an open element of these names, but not beyond those.
 _P = "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 CLOSES = {name: (frozenset(["p"]), frozenset("body button td th li article section div blockquote".split())) for name in _P} | {
@@ -59,7 +61,13 @@ CLOSES = {name: (frozenset(["p"]), frozenset("body button td th li article secti
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_WORD = re.compile(r"[a-z0-9]+")
+#: Class or id of reader comments.  They are as much a page's own as the article, so no importance tells them apart.
+_COMMENTS = re.compile(r"(?:comments?|replies|disqus)(?:[-_].*)?", re.I)
+
+#: Kinds of features.
+TEXTS, STYLES, NODES, ABOVE = range(4)
+#: What is decided of a branch.
+REPEATS, LITTLE, LEADS = 1, 2, 4
 
 
 def key_of(*parts: object) -> int:
@@ -68,26 +76,27 @@ def key_of(*parts: object) -> int:
 
 
 class _Node:
-    __slots__ = ("name", "path", "noise", "area", "children")
+    """An element: its path of block elements with classes, equal siblings on one path."""
+
+    __slots__ = ("name", "path", "noise", "link", "children")
 
-    def __init__(self, name: str, path: str, noise: bool, area: str):
-        self.name, self.path, self.noise, self.area, self.children = name, path, noise, area, []
+    def __init__(self, name: str, path: tuple[str, ...], noise: bool, link: bool):
+        self.name, self.path, self.noise, self.link, self.children = name, path, noise, link, []
 
 
 class Page:
     """The blocks of a page in order, and the sequences of child elements of its branches.
 
-    ``blocks`` has (path, area, text): the element path from the root, with classes and
-    with equal siblings on one path as the style tree merges them; the path of the
-    innermost article, else main, around it, or "" ; and the text with white space
-    collapsed.  Text in noise is not there.
+    ``blocks`` has (path, text, link characters) with white space collapsed; ``styles``
+    (path, labels of the child elements).  Text in noise is not there.
     """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, str, str]] = []
-        self.styles: set[tuple[str, str]] = set()
+        self.blocks: list[tuple[tuple[str, ...], str, int]] = []
+        self.styles: set[tuple[tuple[str, ...], str]] = set()
         self.text: list[str] = []
-        self.stack = [_Node("", "", False, "")]
+        self.links = 0
+        self.stack = [_Node("", (), False, False)]
         at = 0
         while found := _MARKUP.search(source, at):
             self._text(source[at : found.start()])
@@ -112,13 +121,15 @@ class Page:
     def _text(self, raw: str) -> None:
         if raw and not self.stack[-1].noise:
             self.text.append(html.unescape(raw) if "&" in raw else raw)
+            if self.stack[-1].link:
+                self.links += len(self.text[-1])
 
     def _flush(self) -> None:
         text = " ".join("".join(self.text).split())
-        self.text = []
+        links, self.text, self.links = min(self.links, len(text)), [], 0
         if text:
             holder = next(n for n in reversed(self.stack) if n.name in BLOCK or not n.name)
-            self.blocks.append((holder.path, holder.area, text))
+            self.blocks.append((holder.path, text, links))
 
     def _open(self, name: str, attributes: str) -> None:
         if name in CLOSES:
@@ -137,23 +148,18 @@ class Page:
         if attributes and attributes.strip(" /"):
             own = {a.lower(): html.unescape(b or c or d) for a, b, c, d in _ATTRIBUTE.findall(attributes)}
             classes = own.get("class", "").lower().split()
-            words = set(_WORD.findall(" ".join([*classes, own.get("id", "").lower(), own.get("role", "").lower()])))
             if name not in ("html", "body"):
-                noise = noise or not words.isdisjoint(NOISE_WORDS) or "hidden" in own or own.get("aria-hidden") == "true"
+                noise = noise or any(_COMMENTS.fullmatch(x) for x in (*classes, own.get("id", ""))) or "hidden" in own or own.get("aria-hidden") == "true"
                 noise = noise or "display:none" in own.get("style", "").replace(" ", "").lower()
             if classes:
                 label = ".".join([name, *sorted(classes)])
-            main = own.get("role") == "main"
-        else:
-            main = False
         if name in BLOCK:
             self._flush()
             parent.children.append(label)
         if name in VOID:
             return
-        path = f"{parent.path}/{label}" if name in BLOCK else parent.path
-        area = path if name == "article" or (name == "main" or main) and not parent.area else parent.area
-        self.stack.append(_Node(name, path, noise or parent.noise, area))
+        path = (*parent.path, label) if name in BLOCK and len(parent.path) < DEPTH else parent.path
+        self.stack.append(_Node(name, path, noise or parent.noise, parent.link or name == "a"))
 
     def _close(self, name: str) -> None:
         for i in range(len(self.stack) - 1, 0, -1):
@@ -169,15 +175,9 @@ class Page:
         if node.name in BLOCK:
             self._flush()
             if node.children and not node.noise:
-                runs = [c for i, c in enumerate(node.children) if not i or c != node.children[i - 1]]
-                self.styles.add((node.path, " ".join(runs)))
+                self.styles.add((node.path, " ".join(node.children)))
         self.stack.pop()
 
-    def main_blocks(self) -> list[tuple[str, str, str]]:
-        """The blocks inside articles, else inside main, else all."""
-        articles = [b for b in self.blocks if "/article" in b[1]]
-        return articles or [b for b in self.blocks if b[1]] or self.blocks
-
 
 def host_of(url: str | None) -> str:
     """The host of a URL in lower case; "" if it has none."""
@@ -187,93 +187,175 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+@functools.lru_cache(1 << 14)
+def lineage(host: str, path: tuple[str, ...]) -> tuple[tuple[int, int, int], ...]:
+    """(branch of the site, path without the site, whether a container may go by its share) from the root to the path."""
+    out, inside = [(key_of(host), key_of("path"), 0)], False
+    for i, label in enumerate(path, 1):
+        name = label.split(".")[0]
+        out.append((key_of(host, *path[:i]), key_of("path", *path[:i]), int(not inside and name not in TEXT and name not in ("html", "body"))))
+        inside = inside or name in ("article", "main")
+    return tuple(out)
+
+
+_FEATURES = ["branch", "kind", "feature"]
+_SUMS = ["pages", "chars", "own_chars"]
+_MARKS = ["site", "path", "container"]
+
+
 def _features(df: DataFrame, url: str, source: str) -> DataFrame:
-    """(host, branch, area, kind, feature, pages): in how many pages a branch has a text (kind 0) or a style (1)."""
+    """What the branches of all pages have, and in how many pages.
+
+    A branch has texts (``feature`` is the text, with its characters and those outside
+    links), styles (the sequence of child elements), branches above it, itself
+    included, and for the tree's node the branch it hangs from, its site and path,
+    with the characters outside links of the pages that have it.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            counts: Counter = Counter()
+            counts: dict[tuple, list[int]] = {}
             for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 host, page = host_of(u), Page(h or "")
-                site = key_of(host)
-                own = {(site, key_of(host, p), key_of(host, "in", a), 0, key_of(t)) for p, a, t in page.main_blocks()}
-                own |= {(site, key_of(host, p), 0, 1, key_of(s)) for p, s in page.styles}
-                counts.update(own)
-            rows = [(*k, n) for k, n in counts.items()]
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["site", "branch", "area", "kind", "feature", "pages"])
-
-    names = ["site", "branch", "area", "kind", "feature"]
-    found = map_batches(df.select(url, source), run, ", ".join(f"{n} long" for n in [*names, "pages"]))
-    return found.groupBy(*names).agg(F.sum("pages").alias("pages"))
-
-
-def branch_importance(df: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
-    """branch, ``pages``, ``importance`` and ``around`` of each branch of each site's style tree.
-
-    A branch that m pages have weighs each of its texts by 1 - log_m of the number of
-    pages with that text: 1 for a text of one page, 0 for one of all.  Its content
-    importance is the mean over pages; its presentation importance the entropy to the
-    base m of its sequences of child elements; its importance the larger of both.
-    ``around`` is the content importance of the article, or page, it lies in.
+                own: dict[tuple, tuple[int, int]] = {}
+                root, whole = lineage(host, ())[0], sum(len(t) - n for (_, t), n in {(p, t): n for p, t, n in page.blocks}.items())
+                own[root[0], NODES, 0, root[0], root[1], 0] = 0, whole
+                for path, text, links in page.blocks:
+                    line = lineage(host, path)
+                    key = (line[-1][0], TEXTS, key_of(text), 0, 0, 0)
+                    if key in own:
+                        continue
+                    own[key] = len(text), len(text) - links
+                    for i, (branch, plain, container) in enumerate(line):
+                        own[line[-1][0], ABOVE, branch, 0, i, 0] = 0, 0
+                        if i:
+                            own[branch, NODES, line[i - 1][0], root[0], plain, container] = 0, whole
+                for path, style in page.styles:
+                    own[lineage(host, path)[-1][0], STYLES, key_of(style), 0, 0, 0] = 0, 0
+                for key, (chars, mine) in own.items():
+                    sums = counts.setdefault(key, [0, 0, 0])
+                    sums[0] += 1
+                    sums[1] += chars
+                    sums[2] += mine
+            rows = [(b, k, f, *sums, site, path, c) for (b, k, f, site, path, c), sums in counts.items()]
+            columns = list(zip(*rows, strict=True)) or [[]] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [*_FEATURES, *_SUMS, *_MARKS])
+
+    found = map_batches(df.select(url, source), run, ", ".join(f"{n} long" for n in [*_FEATURES, *_SUMS, *_MARKS]))
+    return found.groupBy(*_FEATURES).agg(*(F.sum(n).alias(n) for n in _SUMS), *(F.max(n).alias(n) for n in _MARKS))
+
+
+def site_trees(df: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
+    """The branches of each site's style tree: branch, parent, ``pages``, ``importance``, ``around``, ``share``, ``leaf``, ``container``, ``leads``.
+
+    * A text on p of a site's m pages has the weight 1 - log_m p: 1 on one page, 0 on
+      all.  A branch's content importance is the mean weight of all texts in it times
+      the share of its characters outside links; its presentation importance the
+      entropy to the base m of its sequences of child elements; ``importance`` is the
+      larger of both.
+    * ``share`` is what part of a page's content a branch holds on the pages that have
+      it: characters outside links, weighted as above but at least by REPEATED, against
+      all characters of these pages at the site's mean weight.
+    * A site's few pages say little, so both are drawn towards the means of the same
+      path on all sites, these counting as POOL pages.
+    * ``leads``: the branch holds other branches and more than MAIN of the content.
+      ``around`` is the importance of the deepest such branch above.
     """
     found = written(_features(df, url, source), "features")
-    n, spread = F.sum("pages").alias("n"), F.sum(F.col("pages") * F.log("pages")).alias("spread")
-    texts = found.where("kind = 0").groupBy("site", "branch", "area").agg(n, spread)
-    styles = found.where("kind = 1").groupBy("site", "branch").agg(n, spread)
-    base = lambda pages: F.log(F.greatest(F.col(pages), F.lit(2)))
-    # Pages of a site: of any branch, html say, as each page has its styles once.
-    site = styles.groupBy("site").agg(F.max("n").alias("m"))
-    content = (1 - F.col("spread") / F.col("n") / base("m")).alias("content")
-    around = texts.groupBy("site", "area").agg(F.sum("n").alias("n"), F.sum("spread").alias("spread")).join(site, "site").select("area", content.alias("around"))
-    shape = styles.select("branch", ((F.log("n") - F.col("spread") / F.col("n")) / base("n")).alias("shape"))
-    rated = texts.join(site, "site").select("branch", "area", content, F.least("n", "m").alias("pages"))
-    return (
-        rated.join(around, "area")
-        .join(shape, "branch", "left")
-        .select("branch", "pages", F.greatest("content", F.coalesce("shape", F.lit(0.0))).alias("importance"), "around")
-    )
+    nodes = found.where(F.col("kind") == NODES).select("branch", F.col("feature").alias("parent"), "site", "path", "container", "pages", F.col("own_chars").alias("around_it"))
+    texts = found.where(F.col("kind") == TEXTS).groupBy("branch").agg(
+        F.sum("pages").alias("n"), F.sum(F.col("pages") * F.log("pages")).alias("spread"), F.sum("chars").alias("chars"),
+        F.sum("own_chars").alias("own"), F.sum(F.col("own_chars") * F.log("pages")).alias("own_spread"),
+    )
+    styles = found.where(F.col("kind") == STYLES).groupBy("branch").agg(F.sum("pages").alias("s"), F.sum(F.col("pages") * F.log("pages")).alias("s_spread"))
+    above = found.where(F.col("kind") == ABOVE).select("branch", F.col("feature").alias("above"), F.col("path").alias("depth"))
+    held = above.join(texts, "branch").groupBy(F.col("above").alias("branch")).agg(
+        *(F.sum(c).alias(c) for c in ("n", "spread", "chars", "own", "own_spread")), F.max((F.col("branch") != F.col("above")).cast("int")).alias("inner"),
+        F.max((F.col("branch") == F.col("above")).cast("int")).alias("leaf"),
+    )
+    held = held.join(nodes, "branch").join(styles, "branch", "left")
+    log_m = F.log(F.greatest("m", F.lit(2)))
+    amount = ((F.col("own") * (1 + REPEATED) - F.col("own_spread") / log_m) / F.col("pages")).alias("amount")
+    each = (F.col("around_it") / F.col("pages")).alias("each")  # characters of a page that has the branch
+    sites = held.where("branch = site").withColumn("m", F.col("pages")).select("site", "m", F.try_divide(amount, each).alias("weight"))
+    content = F.greatest(1 - F.col("spread") / F.col("n") / log_m, F.lit(0.0)) * F.col("own") / F.col("chars")
+    shape = F.coalesce((F.log("s") - F.col("s_spread") / F.col("s")) / F.log(F.greatest("s", F.lit(2))), F.lit(0.0))
+    rated = held.join(sites, "site").select(
+        "branch", "parent", "site", "path", "container", "pages", "inner", "leaf",
+        F.when(F.col("leaf") == 1, F.greatest(content, shape)).otherwise(content).alias("own_importance"),
+        F.coalesce(F.try_divide(amount, each * F.col("weight")), F.lit(0.0)).alias("own_share"),
+    )
+    rated = written(rated, "rated")
+    mean = lambda c: (F.sum(F.col(c) * F.col("pages")) / F.sum("pages")).alias(f"all_{c}")
+    paths = rated.groupBy("path").agg(mean("own_importance"), mean("own_share"))
+    drawn = lambda c: (F.col("pages") * F.col(f"own_{c}") + POOL * F.col(f"all_own_{c}")) / (F.col("pages") + POOL)
+    pooled = rated.join(paths, "path").select("branch", "parent", "site", "container", "pages", "inner", "leaf", drawn("importance").alias("importance"), drawn("share").alias("share"))
+    leads = ((F.col("inner") == 1) & (F.col("share") > MAIN)) | (F.col("branch") == F.col("site"))
+    tree = written(pooled.withColumn("leads", leads), "trees")
+    deepest = above.join(tree.where("leads").select(F.col("branch").alias("above"), "importance"), "above")
+    deepest = deepest.groupBy("branch").agg(F.max_by("importance", "depth").alias("around"))
+    return tree.join(deepest, "branch", "left").select("branch", "parent", "pages", "importance", "around", "share", F.col("leaf") == 1, F.col("container") == 1, "leads").toDF(
+        "branch", "parent", "pages", "importance", "around", "share", "leaf", "container", "leads"
+    )
+
+
+def _decisions(tree: DataFrame) -> DataFrame:
+    """(branch, verdict) of the branches of which anything is decided, as bits."""
+    low = F.col("leaf") & (F.col("importance") < LOW) & (F.col("importance") < SHARE * F.col("around"))
+    small = F.col("container") & (F.col("share") < SMALL)
+    bits = F.when(low, REPEATS).otherwise(0) + F.when(small, LITTLE).otherwise(0) + F.when(F.col("leads"), LEADS).otherwise(0)
+    return tree.select("branch", F.coalesce(bits, F.lit(0)).cast("byte").alias("verdict")).where("verdict > 0")
+
+
+def _main_text(host: str, blocks: list[tuple[tuple[str, ...], str, int]], verdicts: dict[int, int]) -> str:
+    """The blocks that stay: see ``extract_text``."""
+    lines = [[branch for branch, _, _ in lineage(host, path)] for path, _, _ in blocks]
+    beside = {line[i - 1] for line in lines for i in range(1, len(line)) if verdicts.get(line[i], 0) & LEADS}
+
+    def stays(line: list[int]) -> bool:
+        return not verdicts.get(line[-1], 0) & REPEATS and not any(verdicts.get(b, 0) & LITTLE and line[i] in beside for i, b in enumerate(line[1:]))
+
+    return "\n\n".join(text for line, (_, text, _) in zip(lines, blocks, strict=True) if stays(line))
 
 
 def extract_text(df: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """key, url, ``text`` and ``n_chars``: the main text of every page from its whole html.
 
-    Blocks inside articles, else main elements, else anywhere, are candidates; text in
-    menus, headers, footers, asides, forms, scripts and styles, or in elements whose
-    class, id or role names a notice, advert, comment or the like, is not.  Of the
-    candidates the branches go that their site's style tree gives low importance
-    (``branch_importance``): below LOW and below SHARE times that of their article,
-    on LEAST_PAGES pages or more.  An article that all pages of a site share so stays.
-
-    Branches are counted over all pages of a host by keys of the branch and its text,
-    summed within tasks first, so a host of any number of pages is no task's burden.
-    The low branches come back to the pages in shards of SHARD_ROWS; pages are never
-    shuffled.  A null or empty page, or one without text, has text "".  Pages without
-    a host are one site.  Repeated rows give repeated rows.
+    The whole DOM of every page, but what holds no text of an article (scripts, forms,
+    hidden elements, reader comments by their class), is merged into its site's style
+    tree (``site_trees``).  From a page go
+
+    * the texts of branches of low importance: below LOW, and below SHARE times that of
+      the main content around them, so that an article that all pages share stays;
+    * containers (``div``, ``nav``, ``footer`` and the like, not paragraphs or headings)
+      with less than SMALL of the content, where the page has a branch beside them that
+      holds most of it.  Inside an ``article`` or ``main`` only the first rule holds.
+
+    Branches are counted over all pages of a host by keys, summed within tasks first,
+    so a host of any number of pages is no task's burden.  The decisions come back to
+    the pages in shards of SHARD_ROWS; pages are never shuffled.  A null or empty page,
+    or one without text, has text "".  Pages without a host are one site.  Repeated
+    rows give repeated rows.
     """
-    rated = branch_importance(df, url, source)
-    low = rated.where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LOW) & (F.col("importance") < SHARE * F.col("around")))
-    low = written(low.select("branch").distinct(), "low-branches")
-    shards = max(1, -(-low.count() // SHARD_ROWS))
+    decided = written(_decisions(site_trees(df, url, source)), "decisions")
+    shards = max(1, -(-decided.count() // SHARD_ROWS))
     held = []
     for i in range(shards):
-        part = (low if shards == 1 else low.where(F.pmod("branch", F.lit(shards)) == i)).toArrow()
-        held.append(df.sparkSession.sparkContext.broadcast(np.sort(part.column("branch").to_numpy())))
+        part = (decided if shards == 1 else decided.where(F.pmod("branch", F.lit(shards)) == i)).toArrow().sort_by("branch")
+        held.append(df.sparkSession.sparkContext.broadcast((part.column("branch").to_numpy(), part.column("verdict").to_numpy())))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
-            pages = []
-            for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                host = host_of(u)
-                pages.append([(key_of(host, p), t) for p, _, t in Page(h or "").main_blocks()])
-            branches = np.array([b for page in pages for b, _ in page], np.int64)
-            drop = np.zeros(len(branches), bool)
+            pages = [(host_of(u), Page(h or "").blocks) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            branches = np.array(sorted({b for host, blocks in pages for path, _, _ in blocks for b, _, _ in lineage(host, path)}), np.int64)
+            verdicts: dict[int, int] = {}
             for shard in held:
-                drop |= look_up(shard.value, branches)[1]
+                own, bits = shard.value
+                at, known = look_up(own, branches)
+                verdicts.update(zip(branches[known].tolist(), bits[at[known]].tolist(), strict=True))
                 if len(held) > 1:
-                    del shard._value
-            gone = iter(drop.tolist())
-            texts = ["\n\n".join([t for _, t in page if not next(gone)]) for page in pages]
+                    del own, bits, shard._value
+            texts = [_main_text(host, blocks, verdicts) for host, blocks in pages]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [key, url, "text", "n_chars"])
 
     return map_batches(df.select(F.col(key).cast("long").alias(key), url, source), run, f"{key} long, {url} string, text string, n_chars long")
