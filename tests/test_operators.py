@@ -4,6 +4,7 @@ import io
 import itertools
 import json
 import random
+import re
 import zipfile
 
 import pytest
@@ -85,6 +86,21 @@ def test_text_rules():
     assert text.strip_comments_text('a /* b\nc */ "// no" // d\ne') == 'a \n "// no" \ne'
 
 
+def test_all_matches_of_a_line(spark):
+    own = [detect.Rule("word", r"\bfoo\b"), detect.Rule("digits", r"[0-9]*"), detect.Rule("tail", r"o$")]
+    df = frame(spark, [("f", "xfoo foo foo\n\n12 \ufdd0 \ufdd1 345"), ("g", None), ("h", "")], "path string, text string")
+    got = sorted((r.path, r.line, r.col, r.match, r.rule_id) for r in detect.detect_lines(df, own).collect())
+    want = [("f", n, m.start() + 1, m[0], r.id) for r in own for n, line in enumerate(df.first().text.split("\n"), 1) for m in re.finditer(r.pattern, line) if m[0]]
+    assert got == sorted(want) and ("f", 1, 6, "foo", "word") in got and ("f", 1, 10, "foo", "word") in got
+
+
+def test_substitution_is_one_pass(spark):
+    values = {"T": '"v"', "A": "$T", "$name": "n", "1": "g"}
+    cases = {"[$TS] [$1] [$name] [$A]": "[] [g] [n] [$T]", "$T$T": "vv", "a$": "a$", "": "", "$12 $_x $T.": "  v."}
+    df = frame(spark, [(t,) for t in cases], "t string").withColumn("m", F.create_map(*[F.lit(x) for p in values.items() for x in p]))
+    assert {r.t: r.s for r in df.select("t", text.substitute("t", "m").alias("s")).collect()} == cases
+
+
 @pytest.mark.parametrize(
     ("path", "patterns", "want"),
     [("a/b.go", ["*.go"], True), ("a/b.go", ["/b.go"], False), ("x/test/y.py", ["**/test/**"], True), ("test/y.py", ["**/test/**"], True), ("a/keep.go", ["*.go", "!keep.go"], False), (".git/x", [], True), ("a/.hid/x", [], True), ("dir/f", ["dir/"], True), ("mydir/f", ["dir/"], False)],

@@ -14,16 +14,26 @@ from tracewell.functions.ids import _c
 _UNIT_S = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
 
 
+#: A metavariable in a template: a name, or the number of a captured group.
+METAVARIABLE = r"\$(?:[a-zA-Z_][a-zA-Z0-9_]*|\d+)"
+
+
 def substitute(template: str | Column, values: str | Column) -> Column:
-    """$NAME by its value, longest names first; names without a value become empty."""
-    entries = F.array_sort(F.map_entries(_c(values)), lambda a, b: F.length(b["key"]) - F.length(a["key"]))
-    filled = F.aggregate(entries, _c(template), lambda s, e: F.replace(s, F.concat(F.lit("$"), e["key"]), F.coalesce(e["value"], F.lit(""))))
-    return F.regexp_replace(filled, r"\$[A-Z_][A-Z0-9_]*", "")
+    """The template with each $name or $1 replaced by its value, in one pass: values are not looked through again.
+
+    Values are keyed with or without the dollar sign and lose the double quotes around
+    them; a name without a value becomes empty.
+    """
+    t, v = _c(template), _c(values)
+    names, between = F.regexp_extract_all(t, F.lit(METAVARIABLE), F.lit(0)), F.split(t, METAVARIABLE, -1)
+    value = lambda n: F.coalesce(F.try_element_at(v, n), F.try_element_at(v, F.substring(n, F.lit(2), F.length(n))))
+    filled = F.transform(names, lambda n: F.coalesce(F.regexp_replace(value(n), r'^"+|"+$', ""), F.lit("")))
+    return F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get(filled, i), F.lit("")))), "")
 
 
 def metavariable_values(metavars: str | Column) -> Column:
     """name → propagated value, else matched content, from map<name, struct<content, propagated>>."""
-    return F.transform_values(_c(metavars), lambda _, v: F.coalesce(F.nullif(v["propagated"], F.lit("")), v["content"]))
+    return F.transform_values(_c(metavars), lambda _, v: F.coalesce(v["propagated"], v["content"]))
 
 
 def relative_path(path: str | Column, root: str | Column) -> Column:

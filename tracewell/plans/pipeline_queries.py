@@ -11,7 +11,7 @@ from tracewell.plans.registry import query, read
 from tracewell.plans.text_queries import HITS_SQL, RULES, files, hits
 
 
-@query("scan_pipeline", f"WITH {HITS_SQL} SELECT path AS file_path, line AS start_line, trim(match) AS match, replace(rule_id, 'rules/', '') AS rule_id, 'severity=' || severity AS metadata, 1 AS merged FROM hits WHERE NOT path LIKE 'src1/%'")
+@query("scan_pipeline", f"WITH {HITS_SQL} SELECT path AS file_path, line AS start_line, trim(match) AS match, replace(rule_id, 'rules/', '') AS rule_id, 'severity=' || severity AS metadata, count(*) AS merged FROM hits WHERE NOT path LIKE 'src1/%' GROUP BY ALL")
 def scan_pipeline(spark, sf_dir):
     out = pipelines.scan(files(spark, sf_dir), RULES, ["text"], skip=("src1/**",), prefixes=("rules/",))
     return out.select("file_path", "start_line", "match", F.col("rules")[0]["id"].alias("rule_id"), F.array_join(F.transform(F.map_entries("metadata"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("metadata"), "merged")
@@ -50,3 +50,25 @@ def stitch_pipeline(spark, sf_dir):
 def stitch_reachability(spark, sf_dir):
     e = edges(spark, sf_dir).withColumn("component", F.substring("caller", 1, 1))
     return pipelines.stitch(e, _operations(spark, sf_dir), "c")["operations"].select("finding_id", "reachability")
+
+
+@query("stitch_suppressed", "SELECT 'x-p' || p_partkey AS finding_id, CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_linenumber > 1) THEN 'reachable' ELSE 'unknown' END AS reachability FROM part")
+def stitch_suppressed(spark, sf_dir):
+    """The edges of first lines are refused: what only they reach can't be told."""
+    rows = read(spark, sf_dir, "lineitem").select(F.lit("o").alias("component"), F.concat(F.lit("o"), "l_orderkey").alias("caller"), F.concat(F.lit("p"), "l_partkey").alias("callee"), "l_linenumber")
+    out = pipelines.stitch(rows.where("l_linenumber > 1"), _operations(spark, sf_dir), "o", suppressed=rows.where("l_linenumber = 1"))
+    return out["operations"].select("finding_id", "reachability")
+
+
+@query(
+    "stitch_long_chains",
+    """WITH p AS (SELECT p_partkey AS p, p_partkey % 40 AS pos, max(p_partkey) OVER () AS last FROM part)
+SELECT 'x-p' || (p - pos) AS finding_id, 'p' || p AS function, (pos + 1)::BIGINT AS depth, pos = 39 OR p = last AS is_root FROM p""",
+)
+def stitch_long_chains(spark, sf_dir):
+    """Chains of 40 parts, each calling the one before: the index has frames beyond the 32 of a listed route."""
+    part = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("p"), "p_partkey").alias("function"), (F.col("p_partkey") % 40).alias("pos"))
+    calls = part.where("pos > 0").select(F.lit("p").alias("component"), F.col("function").alias("caller"), F.concat(F.lit("p"), F.col("p_partkey") - 1).alias("callee"))
+    operations = part.where("pos = 0").select(F.concat(F.lit("x-"), "function").alias("finding_id"), "function", F.lit("p").alias("component"))
+    found = pipelines.stitch(calls, operations, "p")["entries"].select("finding_id", "function", "depth", "is_root")
+    return found

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions.assets import stitched_reachability
 from tracewell.functions.text import relative_path, skipped
 from tracewell.operators import detect, graph, report, resolve, spans
+from tracewell.storage import written
 
 
 def scan(files: DataFrame, rules: Sequence[detect.Rule], languages: Sequence[str], root: str = "", skip: Sequence[str] = (), prefixes: Sequence[str] = ()) -> DataFrame:
@@ -30,20 +32,28 @@ def annotate(fresh: DataFrame, prior: DataFrame, functions: DataFrame, columns:
     return placed.withColumnRenamed("path", "file_path").withColumnRenamed("span_key", "function").orderBy("function", "start_line", "finding_id")
 
 
-def stitch(edges: DataFrame, operations: DataFrame, root: str, max_frames: int = 32, budget: int = 128) -> dict[str, DataFrame]:
+def stitch(edges: DataFrame, operations: DataFrame, root: str, max_frames: int = 32, budget: int = 128, suppressed: DataFrame | None = None) -> dict[str, DataFrame]:
     """Transitive results of components: reach, entries, routes and reachability of each operation.
 
     edges: component, caller, callee (allowed edges over all components).  operations:
-    finding_id, function, component.  Entry points are functions of the root component
-    that nothing calls; where a component has none, its operation is its own chain.
+    finding_id, function, component.  suppressed: edges that were refused, if any.
+
+    The reach sets and the index of entry points made from them are complete; only the
+    listed routes are held to ``budget`` for an operation and to ``max_frames``.  Entry
+    points are functions of the root component that nothing calls; where a component
+    has none, its operation is its own chain.  An operation is reachable if a route of
+    two frames or more ends in it; if not, it is unknown where anything in the whole
+    stitch was refused, as then it can't be proven unreachable.
     """
     calls = edges.select("caller", "callee")
     anchors = operations.select(F.col("function").alias("anchor")).distinct()
-    reached = graph.reach(calls, anchors, max_frames=max_frames)
-    ends = graph.terminals(reached, calls)
+    reached = graph.reach(calls, anchors)
+    ends = written(graph.terminals(reached, calls), "ends")
     routes = graph.enumerate_routes(reached, calls, ends, budget, max_frames)
-    longest = routes.groupBy("anchor", "route_no").agg(F.count("*").alias("frames")).groupBy("anchor").agg(F.max("frames").alias("longest"))
+    traced = ends.where("node != anchor").select(F.col("anchor").alias("function"), F.lit(2).alias("longest")).distinct()
+    refused = int(suppressed is not None and not suppressed.isEmpty())
     own = edges.where(F.col("component") == root).select(F.col("caller").alias("node")).distinct()
     entries = graph.entry_point_index(reached, operations.select("finding_id", F.col("function").alias("anchor")), graph.roots(own, calls))
-    state = operations.join(longest, F.col("function") == F.col("anchor"), "left").select("finding_id", "component", "function", F.when(F.coalesce("longest", F.lit(1)) >= 2, "reachable").otherwise("unreachable").alias("reachability"))
-    return {"reach": reached, "routes": routes, "entries": entries, "operations": state}
+    state = stitched_reachability(F.coalesce("longest", F.lit(1)), F.lit(refused))
+    states = operations.join(traced, "function", "left").select("finding_id", "component", "function", state.alias("reachability"))
+    return {"reach": reached, "routes": routes, "entries": entries, "operations": states}

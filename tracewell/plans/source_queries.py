@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.plans.registry import query, read
+from tracewell.plans.text_queries import by_case, case_sql
 from tracewell.sources import documents, sinks
 from tracewell.streaming import events as streams
 
@@ -37,12 +38,23 @@ def gradle_dependencies(spark, sf_dir):
     return documents.gradle_dependencies(rows).select("group", "name", "path")
 
 
-@query("ecosystems", "SELECT c_custkey AS root, CASE WHEN c_nationkey % 3 = 0 THEN 'go' WHEN c_nationkey % 3 = 1 THEN 'maven' ELSE 'pip' END AS ecosystem FROM customer")
+_PACKAGE, _TOOLS = '[project]\nname = "x"', "[tool.black]\nline-length = 9"
+#: The manifests of a root, and its ecosystem.
+ROOTS = (
+    ({"go.mod": "", "Cargo.toml": "", "pyproject.toml": _PACKAGE}, "go"), ({"build.gradle.kts": "", "pyproject.toml": _PACKAGE}, "java"), ({"settings.gradle": "", "package.json": ""}, "java"), ({"Cargo.toml": "", "pyproject.toml": _PACKAGE}, "python"),
+    ({"Cargo.toml": "", "pyproject.toml": _TOOLS}, "rust"), ({"Cargo.toml": "", "pyproject.toml": '[build-system]\nrequires = ["Maturin>=1.0 ; x"]'}, "python"), ({"Cargo.toml": "", "pyproject.toml": '[build-system]\nbuild-backend = "poetry-core.masonry"'}, "python"),
+    ({"Cargo.toml": "", "pyproject.toml": "[tool.maturin]\nx = 1"}, "python"), ({"Cargo.toml": "", "pyproject.toml": "[broken"}, "rust"), ({"pyproject.toml": _TOOLS}, "python"), ({"Pipfile": ""}, "python"), ({"requirements.txt": "", "package.json": ""}, "python"),
+    ({"package.json": ""}, "node"), ({"README.md": ""}, None),
+)
+
+
+@query("ecosystems", f"SELECT * FROM (SELECT c_custkey AS root, {case_sql('c_custkey', [e for _, e in ROOTS])} AS ecosystem FROM customer) WHERE ecosystem IS NOT NULL")
 def ecosystems(spark, sf_dir):
-    c = read(spark, sf_dir, "customer")
-    k = F.col("c_nationkey") % 3
-    first = c.select(F.col("c_custkey").alias("root"), F.when(k == 0, "x/go.mod").when(k == 1, "x/pom.xml").otherwise("x/setup.py").alias("path"))
-    return documents.detect_ecosystem(first.union(c.select("c_custkey", F.lit("y/package.json"))))
+    names = sorted({n for files, _ in ROOTS for n in files})
+    contents = by_case(F.col("c_custkey"), [[files.get(n) for n in names] for files, _ in ROOTS])
+    each = F.array(*[F.struct(F.lit(f"x/{n}").alias("path"), c.cast("string").alias("content")) for n, c in zip(names, contents, strict=True)])
+    files = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("root"), F.inline(each)).where("content is not null")
+    return documents.detect_ecosystem(files, content="content")
 
 
 @query("contract_merge", "SELECT l_partkey AS method, l_linenumber AS arity, min(l_returnflag) AS return_type, count(DISTINCT l_returnflag) > 1 AS conflict FROM lineitem GROUP BY ALL")

@@ -18,12 +18,25 @@ RULES = (
     detect.Rule("rules/layout/shout", r"[A-Z]{3,}!!", "info"),
     detect.Rule("rules/pii/phone", r"\+1 \([0-9]{3}\) [0-9-]+", "warning"),
 )
-_HITS = "\n  UNION ALL ".join(f"SELECT path, lang, source, line, content, regexp_extract(content, '{r.pattern}') AS match, '{r.id}' AS rule_id, '{r.severity.upper()}' AS severity FROM lines WHERE regexp_matches(content, '{r.pattern}')" for r in RULES)
-#: DuckDB: ``hits`` has what ``hits`` below returns.
+_HITS = "\n  UNION ALL ".join(f"SELECT path, lang, source, line, content, regexp_extract_all(content, '{r.pattern}') AS m, string_split_regex(content, '{r.pattern}') AS s, '{r.id}' AS rule_id, '{r.severity.upper()}' AS severity FROM lines WHERE regexp_matches(content, '{r.pattern}')" for r in RULES)
+#: DuckDB: ``hits`` has what ``hits`` below returns.  A match begins behind the texts and matches before it.
 HITS_SQL = f"""files AS (SELECT source || '/' || doc_id || '.txt' AS path, lang, source, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 lines AS (SELECT path, lang, source, unnest(generate_series(1, len(l))) AS line, unnest(l) AS content FROM files),
 raw AS ({_HITS}),
-hits AS (SELECT path, lang, source, line, instr(content, match) AS col, match, rule_id, severity FROM raw WHERE match <> '')"""
+each AS (SELECT *, unnest(generate_series(1, len(m))) AS i FROM raw),
+hits AS (SELECT path, lang, source, line, len(array_to_string(s[1:i], '')) + len(array_to_string(m[1:i - 1], '')) + 1 AS col, m[i] AS match, rule_id, severity FROM each)"""
+
+
+def by_case(number, cases):
+    """The case that a row's number falls on, as a column of each of its values; nothing is left out, cases repeat."""
+    at = (F.pmod(number, F.lit(len(cases))) + 1).cast("int")
+    return [F.element_at(F.array(*[F.lit(x) for x in column]), at) for column in zip(*cases, strict=True)]
+
+
+def case_sql(number: str, values) -> str:
+    """DuckDB: the value of the case that a row's number falls on."""
+    said = ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in values)
+    return f"([{said}])[{number} % {len(values)} + 1]"
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,20 +112,29 @@ def relative_paths(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", text.relative_path("url", F.lit("https://")).alias("path"))
 
 
-@query("metavariables", "SELECT p_partkey, 'brand ' || p_brand || ' of ' || p_type || ' size ' || p_size || ' .' AS message FROM part")
+@query("metavariables", "SELECT p_partkey, 'brand ' || p_brand || ' [' || p_type || '] [' || p_size || '] [' || p_size % 7 || '] [' || p_name || '] [$T] [] [' || p_type || p_size || '$] 5$' AS message FROM part")
 def metavariables(spark, sf_dir):
-    none = F.lit("").cast("string")
-    value = lambda c, p: F.struct(F.col(c).cast("string").alias("content"), p.alias("propagated"))
-    found = F.create_map(F.lit("T"), value("p_type", none), F.lit("TS"), value("p_name", F.col("p_size").cast("string")), F.lit("BRAND"), value("p_brand", none))
-    return read(spark, sf_dir, "part").select("p_partkey", text.substitute(F.lit("brand $BRAND of $T size $TS $MISSING."), text.metavariable_values(found)).alias("message"))
+    none = F.lit(None).cast("string")
+    value = lambda c, p=none: F.struct(c.cast("string").alias("content"), p.alias("propagated"))
+    known = {
+        "T": value(F.concat(F.lit('"'), "p_type", F.lit('"'))), "$TS": value(F.col("p_name"), F.col("p_size").cast("string")), "BRAND": value(F.col("p_brand")),
+        "1": value(F.col("p_size") % 7), "$name": value(F.col("p_name")), "A": value(F.lit("$T")), "GONE": value(F.lit("matched"), F.lit("")),
+    }
+    found = F.create_map(*[x for k, v in known.items() for x in (F.lit(k), v)])
+    template = F.lit("brand $BRAND [$T] [$TS] [$1] [$name] [$A] [$MISSING$GONE$2] [$T$TS$] 5$")
+    return read(spark, sf_dir, "part").select("p_partkey", text.substitute(template, text.metavariable_values(found)).alias("message"))
 
 
-_NORMAL = "regexp_replace(upper(trim({0})), '[_ -]+', '-', 'g')"
+NAMES = (
+    (" triple_des ", "DES-EDE"), ("3des", "DES-EDE"), ("3_DES", "DES-EDE"), ("TripleDES", "DES-EDE"), ("sha2", "SHA"), ("SHA-3", "SHA"), ("sha 256", "SHA-256"), ("aes__128 -gcm", "AES-128-GCM"),
+    ("desede", "DESEDE"), ("Rijndael", "RIJNDAEL"), ("", ""), (None, None),
+)
 
 
-@query("name_normalise", f"SELECT p_partkey, {_NORMAL.format('p_name')} AS name FROM part")
+@query("name_normalise", f"SELECT p_partkey, regexp_replace(upper(trim(p_name)), '[_ -]+', '-', 'g') AS name, {case_sql('p_partkey', [n for _, n in NAMES])} AS known FROM part")
 def name_normalise(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", assets.normal_name("p_name").alias("name"))
+    given, _ = by_case(F.col("p_partkey"), NAMES)
+    return read(spark, sf_dir, "part").select("p_partkey", assets.normal_name("p_name").alias("name"), assets.normal_name(given).alias("known"))
 
 
 @query("algorithm_names", "SELECT p_partkey, p_brand || CASE WHEN p_size % 3 = 0 THEN '' ELSE '-' || p_size END || CASE WHEN p_size % 2 = 0 THEN '-' || upper(p_type) ELSE '' END AS name FROM part")
@@ -128,27 +150,52 @@ def operation_kind(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", assets.operation_kind(t).alias("kind"))
 
 
-@query("oid_lookup", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '2.16.840.1.101.3.4.2.1' WHEN 1 THEN '1.2.840.113549.1.1.1' WHEN 2 THEN '9.9' ELSE NULL END AS oid FROM customer")
+#: given, name, built name, family, and the identifier.
+OID_CASES = (
+    ("9.9", "rsa", "", "", "9.9"), ("", "sha_256", "", "", "2.16.840.1.101.3.4.2.1"), ("", "", "AES-256-GCM", "AES", "2.16.840.1.101.3.4.1.46"), ("", "none", "", "aes", "2.16.840.1.101.3.4.1"),
+    ("", "", "", "triple_des", "1.3.14.3.2.17"), ("", "ML-KEM-768", "", "", "2.16.840.1.101.3.4.4.2"), ("", "", "SLH-DSA-SHAKE-256f", "", "2.16.840.1.101.3.4.3.31"), ("", "hmac-sha512", "", "", "1.2.840.113549.2.11"),
+    ("", "ed25519", "", "", "1.3.101.112"), ("", "x", "y", "z", None), ("", "", "", "SHA3", "2.16.840.1.101.3.4.2"), ("", "ecdsa-sha384", "", "", "1.2.840.10045.4.3.3"), ("", "", "", "HMAC", "1.2.840.113549.2"),
+    ("", "des-cbc", "", "", "1.3.14.3.2.7"), ("", "sha1_with_rsa", "", "", "1.3.14.3.2.29"), ("", "PBKDF2", "", "", "1.2.840.113549.1.5.12"), ("", "aes-192-wrap-pad", "", "", "2.16.840.1.101.3.4.1.28"), ("", "sha-512/256", "", "sha2", "2.16.840.1.101.3.4.2"),
+    ("", "ML-DSA-87", "", "", "2.16.840.1.101.3.4.3.19"), ("", "rsa-sha224", "", "", "1.2.840.113549.1.1.14"),
+)
+
+
+@query("oid_lookup", f"SELECT c_custkey, {case_sql('c_custkey', [c[-1] for c in OID_CASES])} AS oid FROM customer")
 def oid_lookup(spark, sf_dir):
-    k = F.col("c_custkey") % 4
-    given = F.when(k == 2, "9.9").otherwise("")
-    name = F.when(k == 0, "sha_256").when(k == 2, "rsa").otherwise("")
-    return read(spark, sf_dir, "customer").select("c_custkey", assets.object_identifier(given, name, F.lit("none"), F.when(k == 1, "rsa").otherwise("x")).alias("oid"))
+    given, name, built, family, _ = by_case(F.col("c_custkey"), OID_CASES)
+    return read(spark, sf_dir, "customer").select("c_custkey", assets.object_identifier(given, name, built, family).alias("oid"))
 
 
-@query("crypto_functions", "SELECT event_id, CASE event_type WHEN 'view' THEN 'encrypt' WHEN 'click' THEN 'keyderive' WHEN 'purchase' THEN 'other' ELSE NULL END AS function, CASE WHEN event_type = 'view' THEN 'hash' ELSE NULL END AS primitive FROM events")
+FUNCTION_CASES = (
+    ("generate", "generate"), ("Key Generation", "keygen"), ("KEYGEN", "keygen"), ("encrypt", "encrypt"), ("decrypt", "decrypt"), ("digest", "digest"), (" Hash ", "digest"), ("tag", "tag"), ("key-derivation", "keyderive"),
+    ("derivekey", "keyderive"), ("key_derive", "keyderive"), ("derive", "keyderive"), ("sign", "sign"), ("Signature", "sign"), ("verify", "verify"), ("verification", "verify"), ("keyver", "verify"), ("encapsulate", "encapsulate"),
+    ("decapsulate", "decapsulate"), ("other", "other"), ("unknown", "unknown"), ("random", "other"), ("handshake", "other"), ("Encryption", "other"), ("mac", "other"), ("  ", None), ("", None), (None, None),
+)
+
+
+@query("crypto_functions", f"SELECT event_id, {case_sql('event_id', [f for _, f in FUNCTION_CASES])} AS function, CASE WHEN event_type = 'view' THEN 'hash' ELSE NULL END AS primitive FROM events")
 def crypto_functions(spark, sf_dir):
-    e = F.col("event_type")
-    raw = F.when(e == "view", " Encryption ").when(e == "click", "key-derive").when(e == "purchase", "buying").otherwise("")
-    return read(spark, sf_dir, "events").select("event_id", assets.crypto_function(raw).alias("function"), assets.primitive(F.when(e == "view", "HASH").otherwise("nothing")).alias("primitive"))
+    raw, _ = by_case(F.col("event_id"), FUNCTION_CASES)
+    return read(spark, sf_dir, "events").select("event_id", assets.crypto_function(raw).alias("function"), assets.primitive(F.when(F.col("event_type") == "view", "HASH").otherwise("nothing")).alias("primitive"))
+
 
+#: derivation, argument, bits.
+KEY_CASES = (
+    ("argument_value", "256", 256), ("argument_value", " 128 ", 128), ("argument_value", "cfg.keyLen2", None), ("argument_value", "0", None), ("argument_value", "-8", None), ("argument_value", "KEY_256", None),
+    ("argument_value", "99999999999", None), ("argument_bit_length", "new byte[16]", 128), ("argument_bit_length", "new  byte[ 32 ]", 256), ("argument_bit_length", "new byte[5000]", None), ("argument_bit_length", "new byte[n]", None),
+    ("argument_bit_length", "new byte[0]", None), ("argument_bit_length", '"0123456789abcdef"', 128), ("argument_bit_length", '""', None), ("argument_bit_length", "secret", None), ("argument_bit_length", '"\u00e9"', 16),
+    ("argument_curve_bits", '"secp224r1"', 224), ("argument_curve_bits", '" P-521 "', 521), ("argument_curve_bits", "secp256r1", None), ("argument_curve_bits", '"curve9"', None), ("argument_curve_bits", '"sect283k1"', 283),
+    ("argument_curve_bits", '"brainpoolP384r1"', 384), ("argument_type", "AES", None), (None, "128", None), ("argument_value", None, None),
+)
 
-@query("key_length_derive", "SELECT p_partkey, CAST(CASE p_size % 4 WHEN 0 THEN p_size WHEN 1 THEN 8 * p_size WHEN 2 THEN 8 * length(p_brand) ELSE 384 END AS INTEGER) AS bits FROM part")
+
+@query("key_length_derive", f"SELECT p_partkey, CAST({case_sql('p_partkey', [b for _, _, b in KEY_CASES])} AS INTEGER) AS bits, CAST(8 * length(p_name) AS INTEGER) AS name_bits, CAST(p_size AS INTEGER) AS size_bits FROM part")
 def key_length_derive(spark, sf_dir):
-    k = F.col("p_size") % 4
-    kind = F.when(k == 0, "bits").when(k == 1, "bytes").when(k == 2, "string").otherwise("curve")
-    value = F.when(k == 0, F.col("p_size").cast("string")).when(k == 1, F.concat(F.lit("new byte["), F.col("p_size"), F.lit("]"))).when(k == 2, F.concat(F.lit('"'), F.col("p_brand"), F.lit('"'))).otherwise("SECP384R1")
-    return read(spark, sf_dir, "part").select("p_partkey", assets.key_bits(kind, value).alias("bits"))
+    kind, value, _ = by_case(F.col("p_partkey"), KEY_CASES)
+    name = F.concat(F.lit('"'), "p_name", F.lit('"'))
+    return read(spark, sf_dir, "part").select(
+        "p_partkey", assets.key_bits(kind, value).alias("bits"), assets.key_bits(F.lit("argument_bit_length"), name).alias("name_bits"), assets.key_bits(F.lit("argument_value"), F.col("p_size").cast("string")).alias("size_bits")
+    )
 
 
 @query("key_length_conflict", "SELECT l_orderkey, l_linenumber, l_suppkey, coalesce(r, d) AS bits, CASE WHEN r <> d AND d > 0 THEN d END AS declared_bits, coalesce(r <> d AND d > 0, false) AS conflict FROM (SELECT *, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(l_quantity AS INTEGER) END AS r, CAST(l_suppkey % 5 * 10 AS INTEGER) AS d FROM lineitem)")

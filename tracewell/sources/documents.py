@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tomllib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -121,15 +125,51 @@ def resolver(name: str):
 
 
 # Manifests by ecosystem, first match wins.
-MANIFESTS = (("go.mod", "go"), ("pom.xml", "maven"), ("build.gradle", "gradle"), ("build.gradle.kts", "gradle"), ("Cargo.toml", "cargo"), ("pyproject.toml", "pip"), ("setup.py", "pip"), ("requirements.txt", "pip"), ("package.json", "npm"))
+MANIFESTS = (
+    ("go", "go.mod"), ("java", "pom.xml build.gradle build.gradle.kts settings.gradle settings.gradle.kts"), ("rust", "Cargo.toml"),
+    ("python", "pyproject.toml requirements.txt Pipfile setup.py"), ("node", "package.json"),
+)
+# Tools that build Python packages.
+PYTHON_BACKENDS = frozenset(
+    "setuptools setuptools-rust maturin hatchling hatch-vcs poetry-core flit-core flit_core pdm-backend pdm_backend scikit-build scikit_build meson-python meson_python cffi".split()
+)
+
+
+def declares_python_package(pyproject: str | None) -> bool:
+    """Whether a pyproject.toml is that of a package and not of tools only: a project table, a known build backend, or a Rust extension's tool table."""
+    try:
+        found = tomllib.loads(pyproject or "")
+    except tomllib.TOMLDecodeError:
+        return False
+    table = lambda x: x if isinstance(x, dict) else {}
+    build, tool = table(found.get("build-system")), table(found.get("tool"))
+    if table(found.get("project")) or "maturin" in tool or "setuptools-rust" in tool:
+        return True
+    requires = build.get("requires") if isinstance(build.get("requires"), list) else []
+    names = [str(build.get("build-backend") or "").split(".")[0], *(re.split(r"[;\[ =<>!~]", str(r).strip())[0] for r in requires)]
+    return any(n.lower() in PYTHON_BACKENDS for n in names)
+
 
+def detect_ecosystem(files: DataFrame, path: str = "path", root: str = "root", content: str | None = None) -> DataFrame:
+    """Each root's ecosystem by the manifest that comes first in MANIFESTS.
 
-def detect_ecosystem(files: DataFrame, path: str = "path", root: str = "root") -> DataFrame:
-    """Each root's ecosystem by the manifest that comes first in MANIFESTS."""
-    rank = F.create_map(*[F.lit(x) for i, (n, _) in enumerate(MANIFESTS) for x in (n, i)])
-    kind = F.create_map(*[F.lit(x) for n, k in MANIFESTS for x in (n, k)])
+    With the files' ``content`` a pyproject.toml that declares a package comes before
+    Cargo.toml: Python packages may hold Rust.
+    """
+    order = {name: (i, kind) for i, (kind, names) in enumerate(MANIFESTS) for name in names.split()}
+    rank = F.create_map(*[F.lit(x) for n, (i, _) in order.items() for x in (n, float(i))])
+    kind = F.create_map(*[F.lit(x) for n, (_, k) in order.items() for x in (n, k)])
     name = F.substring_index(path, "/", -1)
-    return files.where(name.isin(*[n for n, _ in MANIFESTS])).groupBy(root).agg(F.min_by(F.try_element_at(kind, name), F.try_element_at(rank, name)).alias("ecosystem"))
+    place = F.try_element_at(rank, name)
+    if content is not None:
+
+        @F.pandas_udf("boolean")
+        def declares(texts: pd.Series) -> pd.Series:
+            return texts.map(declares_python_package)
+
+        before_rust = order["Cargo.toml"][0] - 0.5
+        place = F.when(declares(F.when(name == "pyproject.toml", F.col(content))), before_rust).otherwise(place)
+    return files.where(name.isin(*order)).groupBy(root).agg(F.min_by(F.try_element_at(kind, name), place).alias("ecosystem"))
 
 
 # Contracts and caches --------------------------------------------------------
@@ -180,8 +220,6 @@ def extract_archives(archives: DataFrame, extensions: tuple[str, ...]) -> DataFr
     import zipfile
     from collections.abc import Iterator
 
-    import pandas as pd
-
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for path, content in zip(part["path"], part["content"], strict=True):
