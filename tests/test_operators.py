@@ -328,3 +328,11 @@ def test_keys_read_back(spark):
     df = frame(spark, rows, "p string, o string, n string, a int, t string").select("*", ids.parse_function_key(ids.function_key("p", "o", "n", "a", "t")).alias("k"))
     for r in df.collect():
         assert (r.k.package, r.k.owner, r.k.name, r.k.arity, r.k.types) == (r.p, r.o, r.n, r.a, r.t)
+
+
+def test_inference_follows_long_chains_and_ends_in_cycles(spark):
+    none = frame(spark, [], "type string, ancestor string, depth long")
+    sources = frame(spark, [("f0", "T", "high", "constructor"), ("a", "X", "high", "constructor"), ("b", "Y", "high", "constructor")], "owner string, type string, confidence string, origin string")
+    calls = frame(spark, [(f"f{i + 1}", f"f{i}") for i in range(14)] + [("a", "b"), ("b", "a"), ("g", "g")], "owner string, callee string")
+    got = {r.owner: r.type for r in infer.infer_return_types(sources, calls, none).collect()}
+    assert all(got[f"f{i}"] == "T" for i in range(15)) and "g" not in got

@@ -69,22 +69,33 @@ def lattice_join(sources: DataFrame, closure: DataFrame) -> DataFrame:
     return one.union(joined.select("owner", "type", F.get(names, F.greatest(F.col("rank") - 1, F.lit(0)).cast("int"))))
 
 
-def infer_return_types(sources: DataFrame, calls: DataFrame, closure: DataFrame, rounds: int = 10) -> DataFrame:
+def infer_return_types(sources: DataFrame, calls: DataFrame, closure: DataFrame, most_changes: int = 10) -> DataFrame:
     """Return types of functions to a fixpoint: owner, type, confidence, origin.
 
     sources: owner, type, confidence, origin (constructor, contract): what a function
     returns directly.  calls: owner, callee: what it returns from another function.
+
+    A round works out only the functions that return from one whose type has just
+    changed, so call chains of any length are followed to their end.  In a cycle types
+    can come and go without end; a function keeps its type after ``most_changes``.
     """
-    known = written(lattice_join(sources, closure), "types")
-    for _ in range(rounds):
-        passed = calls.join(known.select(F.col("owner").alias("callee"), "type", "confidence"), "callee").select("owner", "type", "confidence")
-        now = written(lattice_join(sources.select("owner", "type", "confidence").union(passed).distinct(), closure), "types")
-        same = now.exceptAll(known).isEmpty() and known.exceptAll(now).isEmpty()
-        known = now
-        if same:
+    direct = sources.select("owner", "type", "confidence").distinct()
+    moved = state = written(lattice_join(direct, closure).withColumn("changes", F.lit(0)), "types")
+    while True:
+        due = written(calls.join(moved.select(F.col("owner").alias("callee")), "callee").select("owner").distinct(), "due")
+        known = state.where("type is not null").select(F.col("owner").alias("callee"), "type", "confidence")
+        passed = calls.join(due, "owner", "left_semi").join(known, "callee").select("owner", "type", "confidence")
+        now = lattice_join(direct.join(due, "owner", "left_semi").union(passed).distinct(), closure)
+        before = state.select("owner", F.col("type").alias("_type"), F.col("confidence").alias("_confidence"), "changes")
+        met = due.join(now, "owner", "left").join(before, "owner", "left").withColumn("changes", F.coalesce("changes", F.lit(0)) + 1)
+        other = ~F.col("type").eqNullSafe(F.col("_type")) | ~F.col("confidence").eqNullSafe(F.col("_confidence"))
+        moved = written(met.where(other & (F.col("changes") <= most_changes)).select("owner", "type", "confidence", "changes"), "types")
+        if moved.isEmpty():
             break
-    direct = sources.groupBy("owner").agg(F.min("origin").alias("origin"))
-    return known.join(direct, "owner", "left").withColumn("origin", F.coalesce("origin", F.lit("propagated")))
+        state = written(state.join(moved.select("owner"), "owner", "left_anti").unionByName(moved), "types")
+    origin = sources.groupBy("owner").agg(F.min("origin").alias("origin"))
+    found = state.where("type is not null").drop("changes").join(origin, "owner", "left")
+    return found.withColumn("origin", F.coalesce("origin", F.lit("propagated")))
 
 
 def telemetry(types: DataFrame) -> DataFrame:
@@ -98,7 +109,7 @@ def inherited_methods(methods: DataFrame, closure: DataFrame) -> DataFrame:
     return best.select("type", "method", "arity", F.col("b.key").alias("key"), (F.col("b.depth") > 0).alias("inherited"))
 
 
-def pass_through(edges: DataFrame, arguments: DataFrame, dispatch: DataFrame, rounds: int = 10) -> DataFrame:
+def pass_through(edges: DataFrame, arguments: DataFrame, dispatch: DataFrame) -> DataFrame:
     """Edges past a function that only hands its parameter on, to a fixpoint.
 
     arguments: caller, callee, arg_type (the type a caller passes).  dispatch: via,
@@ -106,7 +117,7 @@ def pass_through(edges: DataFrame, arguments: DataFrame, dispatch: DataFrame, ro
     type picks exactly one candidate, caller → target is added.
     """
     out = written(edges.select("caller", "callee").distinct(), "edges")
-    for _ in range(rounds):
+    while True:  # each round adds edges between nodes that there are, so the rounds end
         met = arguments.join(out, ["caller", "callee"]).join(dispatch, (F.col("callee") == F.col("via")) & (F.col("arg_type") == F.col("owner")))
         one = met.groupBy("caller", "via", "arg_type").agg(F.count_distinct("target").alias("n"), F.min("target").alias("callee")).where("n = 1").select("caller", "callee")
         new = written(one.distinct().join(out, ["caller", "callee"], "left_anti"), "edges")

@@ -139,7 +139,7 @@ def fluent_fallback(calls: DataFrame, methods: DataFrame, top: int = 6) -> DataF
 
 def rewrite_calls(calls: DataFrame, index: DataFrame) -> DataFrame:
     """Callees by the type index: qualified type and arity, then simple type and arity, else as they are."""
-    full = index.select("type", "method", "arity", F.col("key").alias("_full"))
+    full = index.groupBy("type", "method", "arity").agg(F.min("key").alias("_full"))
     simple = index.groupBy(F.substring_index("type", ".", -1).alias("_s"), "method", "arity").agg(F.min("key").alias("_simple"), F.count_distinct("key").alias("_n")).where("_n = 1").drop("_n")
     out = calls.join(full, ["type", "method", "arity"], "left").withColumn("_s", F.substring_index("type", ".", -1)).join(simple, ["_s", "method", "arity"], "left")
     return out.select(*calls.columns, F.coalesce("_full", "_simple", "callee").alias("resolved"))

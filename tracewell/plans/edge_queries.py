@@ -157,15 +157,17 @@ def fluent_fallback(spark, sf_dir):
 
 @query(
     "call_rewrite",
-    """WITH i AS (SELECT 'a.T' || s_suppkey % 9 AS type, s_suppkey % 2 AS arity, 'k' || s_suppkey AS key FROM supplier WHERE s_suppkey <= 9),
-s AS (SELECT split_part(type, '.', 2) AS t, arity, min(key) AS key FROM i GROUP BY ALL HAVING count(DISTINCT key) = 1)
-SELECT o_orderkey, coalesce(i.key, s.key, 'x') AS resolved FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'a.T' ELSE 'z.T' END || o_custkey % 12 AS type, o_custkey % 2 AS arity FROM orders) c
-LEFT JOIN i ON c.type = i.type AND c.arity = i.arity LEFT JOIN s ON split_part(c.type, '.', 2) = s.t AND c.arity = s.arity""",
+    """WITH i AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'b.T' || s_suppkey % 4 ELSE 'a.T' || s_suppkey END AS type, s_suppkey % 2 AS arity, 'k' || s_suppkey AS key FROM supplier),
+f AS (SELECT type, arity, min(key) AS key FROM i GROUP BY ALL), s AS (SELECT split_part(type, '.', 2) AS t, arity, min(key) AS key FROM i GROUP BY ALL HAVING count(DISTINCT key) = 1)
+SELECT o_orderkey, coalesce(f.key, s.key, 'x') AS resolved FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'a.T' WHEN 1 THEN 'b.T' ELSE 'z.T' END || o_custkey % 12 AS type, o_orderkey % 2 AS arity FROM orders) c
+LEFT JOIN f ON c.type = f.type AND c.arity = f.arity LEFT JOIN s ON split_part(c.type, '.', 2) = s.t AND c.arity = s.arity""",
 )
 def call_rewrite(spark, sf_dir):
-    index = read(spark, sf_dir, "supplier").where("s_suppkey <= 9").select(F.concat(F.lit("a.T"), F.col("s_suppkey") % 9).alias("type"), F.lit("m").alias("method"), (F.col("s_suppkey") % 2).alias("arity"), F.concat(F.lit("k"), "s_suppkey").alias("key"))
-    kind = F.when(F.col("o_orderkey") % 2 == 0, "a.T").otherwise("z.T")
-    calls = read(spark, sf_dir, "orders").select("o_orderkey", F.concat(kind, F.col("o_custkey") % 12).alias("type"), F.lit("m").alias("method"), (F.col("o_custkey") % 2).alias("arity"), F.lit("x").alias("callee"))
+    s, o = F.col("s_suppkey"), F.col("o_orderkey")
+    kind = F.when(s % 3 == 0, F.concat(F.lit("b.T"), s % 4)).otherwise(F.concat(F.lit("a.T"), s))
+    index = read(spark, sf_dir, "supplier").select(kind.alias("type"), F.lit("m").alias("method"), (s % 2).alias("arity"), F.concat(F.lit("k"), s).alias("key"))
+    kind = F.when(o % 3 == 0, "a.T").when(o % 3 == 1, "b.T").otherwise("z.T")
+    calls = read(spark, sf_dir, "orders").select("o_orderkey", F.concat(kind, F.col("o_custkey") % 12).alias("type"), F.lit("m").alias("method"), (o % 2).alias("arity"), F.lit("x").alias("callee"))
     return resolve.rewrite_calls(calls, index).select("o_orderkey", "resolved")
 
 
@@ -183,10 +185,10 @@ def contract_lookup(spark, sf_dir):
     return resolve.contract_lookup(calls, n).select("c_custkey", "contract", "tier")
 
 
-@query("unique_versions", "SELECT p_partkey, CASE WHEN n = 1 THEN v END AS version FROM part LEFT JOIN (SELECT l_partkey, count(DISTINCT l_suppkey % 3) AS n, min(l_suppkey % 3) AS v FROM lineitem WHERE l_quantity > 47 GROUP BY 1) ON l_partkey = p_partkey")
+@query("unique_versions", "SELECT o_orderkey, CASE WHEN n = 1 THEN v END AS version FROM orders LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_suppkey % 3) AS n, min(l_suppkey % 3) AS v FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def unique_versions(spark, sf_dir):
-    deps = read(spark, sf_dir, "lineitem").where("l_quantity > 47").select(F.col("l_partkey").alias("identity"), (F.col("l_suppkey") % 3).alias("version"))
-    return resolve.unique_version(read(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("identity")), deps).select("p_partkey", "version")
+    deps = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("identity"), (F.col("l_suppkey") % 3).alias("version"))
+    return resolve.unique_version(read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("identity")), deps).select("o_orderkey", "version")
 
 
 @query(
@@ -204,18 +206,18 @@ def invocation_match(spark, sf_dir):
     return resolve.match_invocations(w, c).select("id", "callee", "line", "score")
 
 
-@query("annotate_carry_forward", "SELECT o_orderkey AS finding_id, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END, p) AS purl, k IS NOT NULL AS carried FROM orders LEFT JOIN (SELECT l_orderkey AS k, min(l_returnflag) AS p FROM lineitem WHERE l_quantity > 40 GROUP BY 1) ON k = o_orderkey")
+@query("annotate_carry_forward", "SELECT o_orderkey AS finding_id, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END, p) AS purl, k IS NOT NULL AS carried FROM orders LEFT JOIN (SELECT l_orderkey AS k, min(l_returnflag) AS p FROM lineitem GROUP BY 1) ON k = o_orderkey")
 def annotate_carry_forward(spark, sf_dir):
     fresh = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("finding_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("purl"))
-    prior = read(spark, sf_dir, "lineitem").where("l_quantity > 40").groupBy(F.col("l_orderkey").alias("finding_id")).agg(F.min("l_returnflag").alias("purl"))
+    prior = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("finding_id")).agg(F.min("l_returnflag").alias("purl"))
     return resolve.carry_forward(fresh, prior, ["purl"])
 
 
-@query("supporting_attach", "SELECT DISTINCT s_suppkey AS id FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_linenumber > 6) AND s_acctbal >= 0")
+@query("supporting_attach", "SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) AND c_acctbal >= 0")
 def supporting_attach(spark, sf_dir):
-    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), "s_acctbal")
-    ops = read(spark, sf_dir, "lineitem").where("l_linenumber > 6").select(F.array("l_suppkey").alias("supporting_ids"))
-    return resolve.attach_supporting(ops, s, s.where("s_acctbal < 0")).select("id")
+    pool = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
+    ops = read(spark, sf_dir, "orders").select(F.array("o_custkey").alias("supporting_ids"))
+    return resolve.attach_supporting(ops, pool, pool.where("c_acctbal < 0")).select("id")
 
 
 @query("fk_integrity", "SELECT o_orderkey, o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)")
@@ -224,10 +226,10 @@ def fk_integrity(spark, sf_dir):
     return resolve.dangling(read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("id")), pool).select("o_orderkey", "id")
 
 
-@query("incoming_sources", "SELECT p_partkey AS function, 0 AS param_index, CASE WHEN count(l_orderkey) = 1 THEN min(l_suppkey) END AS argument, count(l_orderkey) AS n_sites FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 49 AND l_linenumber = 1) ON l_partkey = p_partkey GROUP BY p_partkey")
+@query("incoming_sources", "SELECT f AS function, i AS param_index, CASE WHEN count(l_orderkey) = 1 THEN min(l_suppkey) END AS argument, count(l_orderkey) AS n_sites FROM (SELECT p_partkey AS f, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS i FROM part) LEFT JOIN lineitem ON l_partkey = f AND l_linenumber = i GROUP BY ALL")
 def incoming_sources(spark, sf_dir):
-    params = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("function"), F.lit(0).alias("param_index"))
-    calls = read(spark, sf_dir, "lineitem").where("l_quantity > 49 and l_linenumber = 1").select(F.col("l_partkey").alias("callee"), F.lit(0).alias("arg_index"), F.col("l_suppkey").alias("argument"))
+    params = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("function"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("param_index"))
+    calls = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("callee"), F.col("l_linenumber").alias("arg_index"), F.col("l_suppkey").alias("argument"))
     return resolve.incoming_sources(params, calls)
 
 

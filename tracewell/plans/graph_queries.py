@@ -82,10 +82,10 @@ def composed_depth(spark, sf_dir):
     return graph.composed_entry_points(own, dep)
 
 
-@query("append_entries", "SELECT l_partkey AS function, min(l_quantity) AS depth FROM lineitem WHERE l_tax > 0.07 GROUP BY 1 UNION ALL SELECT p_partkey, -1 FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_tax > 0.07)")
+@query("append_entries", "SELECT l_orderkey AS function, min(l_quantity) AS depth FROM lineitem GROUP BY 1 UNION ALL SELECT o_orderkey, -1 FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def append_entries(spark, sf_dir):
-    base = read(spark, sf_dir, "lineitem").where("l_tax > 0.07").groupBy(F.col("l_partkey").alias("function")).agg(F.min("l_quantity").alias("depth"))
-    return graph.append_missing(base, read(spark, sf_dir, "part").select(F.col("p_partkey").alias("function"), F.lit(-1.0).alias("depth")), ["function"])
+    base = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("function")).agg(F.min("l_quantity").alias("depth"))
+    return graph.append_missing(base, read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("function"), F.lit(-1.0).alias("depth")), ["function"])
 
 
 @query("route_splice", "SELECT l_orderkey AS finding_id, 'a>o' || l_linenumber || '>z' AS route FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = o_custkey % 4")
@@ -203,13 +203,13 @@ def ancestor_closure(spark, sf_dir):
 
 @query(
     "type_lattice_join",
-    f"""WITH RECURSIVE {_TYPES}, x AS (SELECT DISTINCT 'o' || l_orderkey AS owner, 's' || l_suppkey AS type FROM lineitem WHERE l_quantity > 40),
+    f"""WITH RECURSIVE {_TYPES}, x AS (SELECT DISTINCT 'o' || l_orderkey AS owner, 's' || l_suppkey AS type FROM lineitem),
 k AS (SELECT owner, count(*) AS n, min(type) AS type FROM x GROUP BY 1),
 u AS (SELECT owner, n, ancestor, sum(depth) AS far FROM x JOIN k USING (owner) JOIN c ON c.type = x.type WHERE n > 1 AND ancestor <> 'Object' GROUP BY ALL HAVING count(*) = n)
 SELECT owner, type, 'high' AS confidence FROM k WHERE n = 1 UNION ALL SELECT owner, arg_min(ancestor, {{'f': far, 'a': ancestor}}), 'medium' FROM u GROUP BY owner""",
 )
 def type_lattice_join(spark, sf_dir):
-    x = read(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.concat(F.lit("o"), "l_orderkey").alias("owner"), F.concat(F.lit("s"), "l_suppkey").alias("type"), F.lit("high").alias("confidence"))
+    x = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("owner"), F.concat(F.lit("s"), "l_suppkey").alias("type"), F.lit("high").alias("confidence"))
     return infer.lattice_join(x, infer.ancestors(_hierarchy(spark, sf_dir)))
 
 
@@ -296,9 +296,9 @@ def producer_key_bits(spark, sf_dir):
     return provenance.key_bits_of_producer(args, first.union(second).union(third))
 
 
-@query("conditioned_findings", "SELECT DISTINCT o_orderkey AS finding_id, 'r' || o_custkey % 3 AS rule_id, l_linenumber AS chain, 'alg-' || l_returnflag AS name FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linestatus = 'O' WHERE o_custkey % 4 < 3 AND o_custkey % 4 = o_custkey % 3")
+@query("conditioned_findings", "SELECT DISTINCT o_orderkey AS finding_id, 'r' || o_custkey % 4 AS rule_id, l_linenumber AS chain, 'alg-' || l_returnflag AS name FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linestatus = 'O' WHERE o_custkey % 4 < 3")
 def conditioned_findings(spark, sf_dir):
-    f = read(spark, sf_dir, "orders").where("o_custkey % 4 = o_custkey % 3").select(F.col("o_orderkey").alias("finding_id"), F.concat(F.lit("lib.api"), F.col("o_custkey") % 4).alias("api"))
+    f = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("finding_id"), F.concat(F.lit("lib.api"), F.col("o_custkey") % 4).alias("api"))
     r = spark.range(3).select(F.concat(F.lit("r"), "id").alias("rule_id"), F.concat(F.lit("api"), "id").alias("api"), F.lit("alg-$X").alias("template"))
     c = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("finding_id"), F.col("l_linenumber").alias("chain"), F.when(F.col("l_linestatus") == "O", "matched").otherwise("refuted").alias("verdict"), F.create_map(F.lit("X"), F.col("l_returnflag")).alias("captures"))
     return provenance.materialise_conditioned(f, r, c)

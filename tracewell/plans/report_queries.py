@@ -51,11 +51,10 @@ def asset_dedup_merge(spark, sf_dir):
     )
 
 
-@query("purl_conflict_merge", "SELECT l_suppkey, CASE WHEN count(DISTINCT p) FILTER (p <> '') = 1 THEN max(p) FILTER (p <> '') ELSE '' END AS purl FROM (SELECT l_suppkey, CASE WHEN l_quantity > 45 THEN 'pkg:' || l_returnflag ELSE '' END AS p FROM lineitem WHERE l_discount > 0.08) GROUP BY l_suppkey")
+@query("purl_conflict_merge", "SELECT l_orderkey, CASE WHEN count(DISTINCT p) FILTER (p <> '') = 1 THEN max(p) FILTER (p <> '') ELSE '' END AS purl FROM (SELECT l_orderkey, CASE WHEN l_quantity > 25 THEN 'pkg:' || l_returnflag ELSE '' END AS p FROM lineitem) GROUP BY l_orderkey")
 def purl_conflict_merge(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").where("l_discount > 0.08")
-    p = F.when(F.col("l_quantity") > 45, F.concat(F.lit("pkg:"), "l_returnflag")).otherwise("")
-    return rows.groupBy("l_suppkey").agg(report.merged_url(F.collect_set(p)).alias("purl"))
+    p = F.when(F.col("l_quantity") > 25, F.concat(F.lit("pkg:"), "l_returnflag")).otherwise("")
+    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(report.merged_url(F.collect_set(p)).alias("purl"))
 
 
 @query(

@@ -75,10 +75,10 @@ def cache_states(spark, sf_dir):
     return documents.cache_state(rows).select("event_id", "state")
 
 
-@query("cache_misses", "SELECT p_partkey AS cache_key, CAST(p_size % 2 AS BIGINT) AS schema_version FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48 AND l_suppkey % 2 = p_size % 2)")
+@query("cache_misses", "SELECT o_orderkey AS cache_key, o_custkey % 2 AS schema_version FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_suppkey % 2 = o_custkey % 2)")
 def cache_misses(spark, sf_dir):
-    wanted = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("cache_key"), (F.col("p_size") % 2).cast("long").alias("schema_version"))
-    cache = read(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("cache_key"), (F.col("l_suppkey") % 2).alias("schema_version")).distinct()
+    wanted = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cache_key"), (F.col("o_custkey") % 2).alias("schema_version"))
+    cache = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cache_key"), (F.col("l_suppkey") % 2).alias("schema_version")).distinct()
     return documents.cached_work(wanted, cache)[1]
 
 
