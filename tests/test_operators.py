@@ -336,3 +336,58 @@ def test_inference_follows_long_chains_and_ends_in_cycles(spark):
     calls = frame(spark, [(f"f{i + 1}", f"f{i}") for i in range(14)] + [("a", "b"), ("b", "a"), ("g", "g")], "owner string, callee string")
     got = {r.owner: r.type for r in infer.infer_return_types(sources, calls, none).collect()}
     assert all(got[f"f{i}"] == "T" for i in range(15)) and "g" not in got
+
+
+def random_graph(seed, nodes, edges):
+    rng = random.Random(seed)
+    return [(f"n{rng.randrange(nodes)}", f"n{rng.randrange(nodes)}") for _ in range(edges)]
+
+
+def brute_reach(pairs, anchor, stops=(), frames=None):
+    depth, front = {anchor: 0}, [anchor]
+    while front and (frames is None or depth[front[0]] + 2 <= frames):
+        step = {b for x in front if x == anchor or x not in stops for a, b in pairs if a == x and b not in depth}
+        depth |= dict.fromkeys(step, depth[front[0]] + 1)
+        front = list(step)
+    return depth
+
+
+@pytest.mark.parametrize("bound", [graph.MOST_EDGES, 0])
+def test_reach_on_both_sides_of_the_bound(spark, monkeypatch, bound):
+    monkeypatch.setattr(graph, "MOST_EDGES", bound)
+    pairs = [*random_graph(4, 30, 45), ("n1", "n1")]
+    e = frame(spark, pairs, "caller string, callee string")
+    anchors, stops = ["n1", "n2", "n3", "lonely", None], ["n4", "n5", "n6", "n2"]
+    a, b = frame(spark, [(x,) for x in anchors], "anchor string"), frame(spark, [(x,) for x in stops], "node string")
+    for boundary, frames in ((None, None), (b, None), (None, 3), (b, 1)):
+        got = {(r.anchor, r.node, r.depth) for r in graph.reach(e, a, "caller", "callee", boundary, frames).collect()}
+        want = {(x, n, d) for x in anchors if x for n, d in brute_reach(pairs, x, stops if boundary is not None else (), frames).items()}
+        assert got == want
+
+
+@pytest.mark.parametrize("bound", [graph.MOST_EDGES, 0])
+def test_route_counts_on_both_sides_of_the_bound(spark, monkeypatch, bound):
+    monkeypatch.setattr(graph, "MOST_EDGES", bound)
+    wide = [(f"l{i}_{j}", f"l{i - 1}_{k}") for i in range(1, 40) for j in range(4) for k in range(4)] + [(f"l0_{j}", "top") for j in range(4)]
+    pairs = wide + random_graph(8, 12, 20)
+    e, a = frame(spark, pairs, "caller string, callee string"), frame(spark, [("top",), ("n1",), ("n2",), ("alone",)], "anchor string")
+    reached = graph.reach(e, a)
+    ends = graph.terminals(reached, e)
+    got = {r.anchor: r for r in graph.route_counts(reached, e, ends).collect()}
+    assert got["top"].n_routes == str(4**40) and got["top"].n_nodes == 161 == got["top"].n_components
+    for name in ("n1", "n2"):
+        nodes = brute_reach([(b, a) for a, b in pairs], name)
+        inner = [(x, y) for x, y in set(pairs) if x in nodes and y in nodes]
+        own = graph.Condensed(name, inner, {n for n in nodes if n not in {y for _, y in pairs}})
+        assert (got[name].n_routes, got[name].n_components, got[name].n_nodes) == (str(own.count()), len(own.members), len(own.comp))
+    assert (got["alone"].n_routes, got["alone"].n_nodes) == ("1", 1)
+
+
+def test_components_of_random_graphs(spark):
+    for seed in range(2):
+        pairs = random_graph(seed, 25, 30 + 8 * seed)
+        names = sorted({n for p in pairs for n in p})
+        down = {n: set(brute_reach(pairs, n)) for n in names}
+        want = {n: min(m for m in names if m in down[n] and n in down[m]) for n in names}
+        assert {r.node: r.component for r in graph.strongly_connected(frame(spark, pairs, "caller string, callee string")).collect()} == want
+    assert graph.strongly_connected(frame(spark, [("a", "a"), ("b", None)], "caller string, callee string").limit(1)).collect()[0].component == "a"

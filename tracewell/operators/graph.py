@@ -1,20 +1,30 @@
 """Reachability over call and dependency edges, for all anchors at once.
 
-Traversals are driver loops over one join and one anti-join a round; each round is
-written to the shared folder.  Nodes, edges and reached pairs stay distributed; the
-driver sees only whether a round found something.
+Edges within MOST_EDGES and MOST_BYTES, a bound that is checked, go to all workers as
+arrays, and each anchor is traversed by one of them.  Beyond the bound traversals are
+driver loops over one join and one anti-join a round; each round is written to the
+shared folder.  Nodes, edges and reached pairs stay distributed then; the driver sees
+only how many rows a round found.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.storage import written
 
+#: Edges, and bytes of their names, that are sent to the workers at most.
+MOST_EDGES, MOST_BYTES = 4_000_000, 128 << 20
+#: Reached pairs that a worker hands on at a time.
+BATCH_PAIRS = 100_000
+
 
 def reach(edges: DataFrame, anchors: DataFrame, source: str = "callee", target: str = "caller", boundary: DataFrame | None = None, max_frames: int | None = None, routes: bool = False) -> DataFrame:
     """All nodes reached from each anchor along ``source`` → ``target``: anchor, node, depth.
@@ -25,16 +35,112 @@ def reach(edges: DataFrame, anchors: DataFrame, source: str = "callee", target:
     With ``routes`` the least shortest route from anchor to node, an array, comes along.
     """
     e = edges.select(F.col(source).alias("node"), F.col(target).alias("next")).where("node is not null and next is not null").distinct()
-    step = anchors.select(F.col("anchor"), F.col("anchor").alias("node"), F.lit(0).cast("long").alias("depth")).where("anchor is not null").distinct()
+    start = anchors.select("anchor").where("anchor is not null").distinct()
+    e = written(e, "edges")
+    graph = None if routes else Adjacency.of(e, "node", "next")
+    if graph is None:
+        return _reach_far(e, start, boundary, max_frames, routes)
+    return written(_reach_near(graph, e, start, boundary, max_frames), "reach")
+
+
+class Adjacency:
+    """Edges as numbers: the nodes after node i are ``next[first[i]:first[i + 1]]``."""
+
+    def __init__(self, edges: pa.Table):
+        both = pa.chunked_array([*edges.column("node").chunks, *edges.column("next").chunks], edges.schema.field("node").type)
+        coded = pa.concat_arrays(both.chunks).dictionary_encode() if both.num_chunks else pa.array([], both.type).dictionary_encode()
+        self.names, ids = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        node, after = ids[: edges.num_rows], ids[edges.num_rows :]
+        self.first = np.searchsorted(np.sort(node), np.arange(len(self.names) + 1))
+        self.next = after[np.argsort(node, kind="stable")]
+
+    @staticmethod
+    def of(edges: DataFrame, source: str, target: str) -> Adjacency | None:
+        """The distinct edges from ``source`` to ``target`` of a written table, or None if they are beyond the bound."""
+        e = edges.select(F.col(source).alias("node"), F.col(target).alias("next"))
+        size = F.sum(F.octet_length(F.col("node").cast("string")) + F.octet_length(F.col("next").cast("string")))
+        rows, held = e.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+        return Adjacency(e.toArrow()) if rows <= MOST_EDGES and held <= MOST_BYTES else None
+
+    def numbers(self, names: pa.Array) -> np.ndarray:
+        """Their numbers, -1 for a name that no edge has."""
+        return pc.fill_null(pc.index_in(names.cast(self.names.type), value_set=self.names), -1).to_numpy(zero_copy_only=False)
+
+    def after(self, front: np.ndarray) -> np.ndarray:
+        counts = self.first[front + 1] - self.first[front]
+        return self.next[np.repeat(self.first[front] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())]
+
+    def layers(self, anchor: int, seen: np.ndarray, mark: int, stops: np.ndarray | None, max_frames: int | None) -> Iterator[np.ndarray]:
+        """The nodes at each depth, breadth first; nodes met are marked in ``seen``."""
+        front = np.array([anchor])
+        seen[front] = mark
+        while len(front):
+            yield front
+            max_frames = None if max_frames is None else max_frames - 1
+            if max_frames is not None and max_frames < 1:
+                return
+            if stops is not None:
+                front = front[~stops[front] | (front == anchor)]
+            found = self.after(front)
+            front = np.unique(found[seen[found] != mark])
+            seen[front] = mark
+
+
+def _reach_near(graph: Adjacency, e: DataFrame, start: DataFrame, boundary: DataFrame | None, max_frames: int | None) -> DataFrame:
+    """``reach`` over edges that every worker holds; an anchor is one worker's traversal."""
+    spark, kind = e.sparkSession, e.schema["node"].dataType.simpleString()
+    stops = None
+    if boundary is not None:
+        stops = np.zeros(len(graph.names), bool)
+        inner = boundary.select("node").distinct().join(e.select("node").distinct(), "node", "left_semi").toArrow()
+        stops[graph.numbers(inner.column("node").combine_chunks())] = True
+    sent = spark.sparkContext.broadcast((graph, stops))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, ends = sent.value
+        seen, mark, out, held = np.zeros(len(own.names), np.int64), 0, [], 0
+
+        def batch(anchors: pa.Array, out: list) -> pa.RecordBatch:
+            which, nodes, depths = (np.concatenate(c) for c in zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([anchors.take(pa.array(which)), own.names.take(pa.array(nodes)), pa.array(depths, pa.int64())], ["anchor", "node", "depth"])
+
+        for given in batches:
+            alone = []
+            for i, anchor in enumerate(own.numbers(given.column(1)).tolist()):
+                if anchor < 0:
+                    alone.append(i)
+                    continue
+                mark += 1
+                for depth, nodes in enumerate(own.layers(anchor, seen, mark, ends, max_frames)):
+                    out.append((np.full(len(nodes), i), nodes, np.full(len(nodes), depth)))
+                    held += len(nodes)
+                    if held >= BATCH_PAIRS:
+                        yield batch(given.column(0), out)
+                        out, held = [], 0
+            if out:
+                yield batch(given.column(0), out)
+                out, held = [], 0
+            if alone:
+                few = given.take(pa.array(alone))
+                yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array([0] * len(alone), pa.int64())], ["anchor", "node", "depth"])
+
+    rows = start.select("anchor", F.col("anchor").cast(kind).alias("node")).repartition(spark.sparkContext.defaultParallelism)
+    return rows.mapInArrow(run, f"anchor {start.schema['anchor'].dataType.simpleString()}, node {kind}, depth long")
+
+
+def _reach_far(e: DataFrame, start: DataFrame, boundary: DataFrame | None, max_frames: int | None, routes: bool) -> DataFrame:
+    """``reach`` by joins, a round for each depth."""
+    step = start.select("anchor", F.col("anchor").alias("node"), F.lit(0).cast("long").alias("depth"))
     if routes:
         step = step.withColumn("route", F.array("anchor"))
-    e, step = written(e, "edges"), written(step, "reach")
+    stops = None if boundary is None else boundary.select(F.col("node").alias("_b")).distinct()
+    step = written(step, "reach")
     seen, depth = step, 0
     while max_frames is None or depth + 2 <= max_frames:
         depth += 1
         front = step
-        if boundary is not None:
-            front = front.join(boundary.select(F.col("node").alias("_b")).distinct(), F.col("node") == F.col("_b"), "left").where(F.col("_b").isNull() | (F.col("node") == F.col("anchor"))).drop("_b")
+        if stops is not None:
+            front = front.join(stops, F.col("node") == F.col("_b"), "left").where(F.col("_b").isNull() | (F.col("node") == F.col("anchor"))).drop("_b")
         found = front.join(e, "node")
         if routes:
             found = found.groupBy("anchor", "next").agg(F.min(F.concat("route", F.array("next"))).alias("route"))
@@ -236,17 +342,85 @@ def _induced(reached: DataFrame, edges: DataFrame) -> DataFrame:
 def route_counts(reached: DataFrame, edges: DataFrame, ends: DataFrame) -> DataFrame:
     """anchor, n_routes (exact, as text), n_components, n_nodes.
 
-    An anchor's induced graph goes to one task; reach it with a boundary or a frame
-    limit where single anchors could have more than fits there.
+    Routes run over strongly connected components.  Edges within the bound of the
+    module go to all workers, and only an anchor's nodes to its task; there the counts
+    are summed from the anchor outwards, and only a graph with a cycle is condensed.
+    Beyond the bound an anchor's induced graph goes to one task; reach it with a
+    boundary or a frame limit where single anchors could have more than fits there.
     """
-    rows = _induced(reached, edges).unionByName(ends.select("anchor", F.col("node").alias("caller"), F.lit(None).cast("string").alias("callee")))
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        real = part[part["callee"].notna()]
-        graph = Condensed(part["anchor"].iloc[0], list(zip(real["caller"], real["callee"], strict=True)), set(part[part["callee"].isna()]["caller"]))
-        return pd.DataFrame([(graph.anchor, str(graph.count()), len(graph.members), len(graph.comp))], columns=["anchor", "n_routes", "n_components", "n_nodes"])
-
-    return rows.groupBy("anchor").applyInPandas(one, "anchor string, n_routes string, n_components long, n_nodes long")
+    e = written(edges.select("caller", "callee").where("caller is not null and callee is not null").distinct(), "edges")
+    graph = Adjacency.of(e, "callee", "caller")
+    schema = "anchor string, n_routes string, n_components long, n_nodes long"
+    if graph is None:
+        rows = _induced(reached, e).unionByName(ends.select("anchor", F.col("node").alias("caller"), F.lit(None).cast("string").alias("callee")))
+
+        def one(part: pd.DataFrame) -> pd.DataFrame:
+            real = part[part["callee"].notna()]
+            found = Condensed(part["anchor"].iloc[0], list(zip(real["caller"], real["callee"], strict=True)), set(part[part["callee"].isna()]["caller"]))
+            return pd.DataFrame([(found.anchor, str(found.count()), len(found.members), len(found.comp))], columns=["anchor", "n_routes", "n_components", "n_nodes"])
+
+        return rows.groupBy("anchor").applyInPandas(one, schema)
+    sent = edges.sparkSession.sparkContext.broadcast(graph)
+    rows = reached.select("anchor", "node", F.lit(False).alias("end")).unionByName(ends.select("anchor", "node", F.lit(True).alias("end")))
+
+    def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, out, anchor, held = sent.value, [], None, []
+        inside, ways, open_ = np.zeros(len(own.names), bool), np.zeros(len(own.names), object), np.zeros(len(own.names), np.int64)
+
+        def close() -> None:
+            nodes, last = (np.concatenate(c) for c in zip(*held, strict=True))
+            known, last = np.unique(nodes[nodes >= 0]), np.unique(nodes[last & (nodes >= 0)])
+            lone = bool((nodes < 0).any())  # an anchor without edges: one node, and its own end if it is one
+            if lone:
+                out.append((anchor, str(int(any(e.any() for _, e in held))), 1, 1))
+                return
+            out.append((anchor, *_count_near(own, own.numbers(pa.array([anchor]))[0], known, last, inside, ways, open_)))
+
+        for batch in batches:
+            numbers, end = own.numbers(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            names = batch.column(0).to_pylist()
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b and names[a] != anchor:
+                    if held:
+                        close()
+                    anchor, held = names[a], []
+                held.append((numbers[a:b], end[a:b]))
+        if held:
+            close()
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["anchor", "n_routes", "n_components", "n_nodes"])
+
+    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(counts, schema)
+
+
+def _count_near(graph: Adjacency, anchor: int, nodes: np.ndarray, ends: np.ndarray, inside: np.ndarray, ways: np.ndarray, open_: np.ndarray) -> tuple[str, int, int]:
+    """Routes, components and nodes of one anchor's induced graph; the arrays are work space and left clean."""
+    inside[nodes] = True
+    sizes = graph.first[nodes + 1] - graph.first[nodes]
+    callees, callers = np.repeat(nodes, sizes), graph.after(nodes)
+    keep = inside[callers] & (callers != callees)
+    callees, callers = callees[keep], callers[keep]
+    np.add.at(open_, callers, 1)  # callees of a node that are not summed yet
+    ways[nodes], ways[anchor] = 0, 1
+    bounds = np.searchsorted(callees, nodes), np.searchsorted(callees, nodes, "right")
+    front, done = np.array([anchor])[: int(open_[anchor] == 0)], 0
+    while len(front):
+        done += len(front)
+        at = np.searchsorted(nodes, front)
+        low, counts = bounds[0][at], bounds[1][at] - bounds[0][at]
+        up = callers[np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())]
+        np.add.at(ways, up, ways[np.repeat(front, counts)])
+        np.subtract.at(open_, up, 1)
+        up = np.unique(up)
+        front = up[open_[up] == 0]
+    total = str(sum(ways[ends].tolist())) if done == len(nodes) else None
+    inside[nodes], open_[nodes], ways[nodes] = False, 0, 0
+    if total is not None:
+        return total, len(nodes), len(nodes)
+    names = lambda ids: graph.names.take(pa.array(ids)).to_pylist()
+    found = Condensed(names([anchor])[0], list(zip(names(callers), names(callees), strict=True)), set(names(ends)))
+    return str(found.count()), len(found.members), len(found.comp)
 
 
 def enumerate_routes(reached: DataFrame, edges: DataFrame, ends: DataFrame, budget: int = 128, max_frames: int = 32) -> DataFrame:
@@ -265,14 +439,46 @@ def enumerate_routes(reached: DataFrame, edges: DataFrame, ends: DataFrame, budg
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """(node, component) of a whole graph: component is the least node of the cycle class.
 
-    Forward and backward reach of every node that lies on a cycle meet; meant for
-    graphs whose cyclic part is small against the whole.  Nodes off cycles are their
-    own component.
+    Nodes that nothing enters or nothing leaves are trimmed, again and again.  On the
+    rest each node takes the least node that reaches it as its colour; a node of its
+    own colour and the nodes of that colour that reach it are a component.  What is
+    held is one row for a node, never pairs.  Nodes off cycles are their own component.
     """
-    nodes = edges.select(F.col("caller").alias("node")).union(edges.select("callee")).distinct()
-    down = reach(edges, nodes.select(F.col("node").alias("anchor")), "caller", "callee").select("anchor", "node")
-    both = down.join(down.select(F.col("anchor").alias("node"), F.col("node").alias("anchor")), ["anchor", "node"])
-    return both.groupBy(F.col("anchor").alias("node")).agg(F.min("node").alias("component"))
+    pairs = edges.select("caller", "callee").where("caller is not null and callee is not null").distinct()
+    nodes = written(pairs.select(F.col("caller").alias("node")).union(pairs.select("callee")).distinct(), "nodes")
+    left, found = written(pairs.where("caller != callee"), "left"), None
+    while True:
+        size = left.count()
+        while size:
+            left = written(left.join(left.select(F.col("callee").alias("caller")).distinct(), "caller", "left_semi").join(left.select(F.col("caller").alias("callee")).distinct(), "callee", "left_semi"), "left")
+            before, size = size, left.count()
+            if before == size:
+                break
+        if not size:
+            break
+        colours = written(left.select(F.col("caller").alias("node")).union(left.select("callee")).distinct().withColumn("colour", F.col("node")), "colours")
+        moved = colours
+        while True:  # a colour travels on only from where it is new
+            met = left.join(moved.select(F.col("node").alias("caller"), "colour"), "caller").groupBy(F.col("callee").alias("node")).agg(F.min("colour").alias("new"))
+            moved = written(met.join(colours, "node").where("new < colour").select("node", F.col("new").alias("colour")), "moved")
+            if moved.isEmpty():
+                break
+            colours = written(colours.join(moved.select("node"), "node", "left_anti").unionByName(moved), "colours")
+        same = left.join(colours.select(F.col("node").alias("caller"), "colour"), "caller").join(colours.select(F.col("node").alias("callee"), F.col("colour").alias("_c")), "callee").where("colour = _c")
+        same = written(same.select("caller", "callee"), "same")
+        step = done = written(colours.where("node = colour").select("node", "colour"), "done")
+        while True:
+            up = same.join(step.select(F.col("node").alias("callee"), "colour"), "callee").select(F.col("caller").alias("node"), "colour").distinct()
+            step = written(up.join(done.select("node"), "node", "left_anti"), "step")
+            if step.isEmpty():
+                break
+            done = written(done.unionByName(step), "done")
+        found = done if found is None else found.unionByName(done)
+        rest = left.join(done.select(F.col("node").alias("caller")), "caller", "left_anti").join(done.select(F.col("node").alias("callee")), "callee", "left_anti")
+        left = written(rest, "left")
+    if found is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    return nodes.join(found.withColumnRenamed("colour", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def forward_closure(edges: DataFrame, anchors: DataFrame, max_depth: int = 4, max_nodes: int = 256, max_edges: int = 512) -> DataFrame:
