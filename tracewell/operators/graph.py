@@ -364,7 +364,7 @@ def route_counts(reached: DataFrame, edges: DataFrame, ends: DataFrame) -> DataF
     rows = reached.select("anchor", "node", F.lit(False).alias("end")).unionByName(ends.select("anchor", "node", F.lit(True).alias("end")))
 
     def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, out, anchor, held = sent.value, [], None, []
+        own, out, anchor, number, held = sent.value, [], None, -1, []
         inside, ways, open_ = np.zeros(len(own.names), bool), np.zeros(len(own.names), object), np.zeros(len(own.names), np.int64)
 
         def close() -> None:
@@ -374,17 +374,17 @@ def route_counts(reached: DataFrame, edges: DataFrame, ends: DataFrame) -> DataF
             if lone:
                 out.append((anchor, str(int(any(e.any() for _, e in held))), 1, 1))
                 return
-            out.append((anchor, *_count_near(own, own.numbers(pa.array([anchor]))[0], known, last, inside, ways, open_)))
+            out.append((anchor, *_count_near(own, number, known, last, inside, ways, open_)))
 
         for batch in batches:
-            numbers, end = own.numbers(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            anchors, numbers, end = own.numbers(batch.column(0)), own.numbers(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             names = batch.column(0).to_pylist()
             cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a < b and names[a] != anchor:
                     if held:
                         close()
-                    anchor, held = names[a], []
+                    anchor, number, held = names[a], anchors[a], []
                 held.append((numbers[a:b], end[a:b]))
         if held:
             close()
