@@ -1,4 +1,4 @@
-"""Command line: scan, annotate, convert, configure, version."""
+"""Command line: scan, dependencies, annotate, convert, configure, version."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import tracewell
 from tracewell.failure import Failure, Settings, check_options, exit_code
 from tracewell.operators import detect
+from tracewell.plans import dependencies as dependency_plans
 from tracewell.plans import pipelines
 from tracewell.session import local_session
 from tracewell.sources import documents, rules, sinks
@@ -17,7 +18,7 @@ from tracewell.sources import documents, rules, sinks
 CONFIG = "~/.config/tracewell/settings.json"
 
 
-def _files(spark, target: str):
+def _files(spark, target: str | list[str]):
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return reader.load(target).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.decode("content", "utf-8").alias("text"))
 
@@ -34,6 +35,31 @@ def _scan(spark, a: argparse.Namespace) -> int:
     return exit_code(0 if assets.isEmpty() else 1, a.fail_on_findings)
 
 
+def _dependency_files(spark, dependencies):
+    """module, version, path, text of the files below the folders of dependencies; a file meets its folder among the folders above it."""
+    rows = dependencies.where("coalesce(dir, '') != ''").select("module", "version", F.regexp_replace("dir", "/+$", "").alias("dir")).distinct()
+    folders = sorted(r.dir for r in rows.select("dir").distinct().collect())  # one for each dependency
+    if not folders:
+        return spark.createDataFrame([], "module string, version string, path string, text string")
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    met = _files(spark, folders).withColumn("dir", F.explode(above)).join(rows, "dir")
+    return met.select("module", "version", F.expr("substring(path, length(dir) + 2)").alias("path"), "text")
+
+
+def _dependencies(spark, a: argparse.Namespace) -> int:
+    deps = spark.read.schema("module string, version string, dir string, artifact string").json(a.dependencies)
+    deps = deps.withColumn("ord", F.monotonically_increasing_id())
+    own = rules.read_rules(spark, a.rules)
+    line_rules = [detect.Rule(r.id, r.patterns[0], r.severity, tuple(r.languages), r.message) for r in own.collect() if r.patterns]
+    rules_hash = rules.rules_info(own.select("path", F.to_json(F.struct("*")).alias("content")), "local", a.rules).first()["checksum"]
+    files = _files(spark, a.target).select(F.expr(f"substring(path, {len(a.target.rstrip('/')) + 2})").alias("path"), "text")
+    found = dependency_plans.scan_with_dependencies(files, _dependency_files(spark, deps), deps, line_rules, a.languages.split(",") if a.languages else [], rules_hash)
+    sinks.write_lines(found["report"], a.output)
+    print(found["summary"].toJSON().first())
+    return exit_code(0 if found["report"].isEmpty() else 1, a.fail_on_findings)
+
+
 def _components(assets):
     none = F.lit(None).cast("string")
     rows = assets.groupBy(F.coalesce(F.try_element_at("metadata", F.lit("name")), F.get("rules", 0)["id"]).alias("name"))
@@ -71,6 +97,13 @@ def main(argv: list[str] | None = None) -> int:
     scan.add_argument("--format", default="json")
     scan.add_argument("--output", required=True)
     scan.add_argument("--fail-on-findings", action="store_true")
+    dependencies = sub.add_parser("dependencies", help="find assets in a project and its dependencies, and what leads to them")
+    dependencies.add_argument("target")
+    dependencies.add_argument("--dependencies", required=True, help="JSON lines of module, version, dir and artifact")
+    dependencies.add_argument("--rules", required=True)
+    dependencies.add_argument("--languages", default="")
+    dependencies.add_argument("--output", required=True)
+    dependencies.add_argument("--fail-on-findings", action="store_true")
     annotate = sub.add_parser("annotate", help="put fresh findings on a cached fragment")
     for name in ("report", "prior", "fragment"):
         annotate.add_argument(f"--{name}", required=True)
@@ -96,7 +129,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.command == "scan":
             check_options(a.target, a.format)
         spark = local_session()
-        return {"scan": _scan, "annotate": _annotate, "convert": _convert}[a.command](spark, a)
+        return {"scan": _scan, "dependencies": _dependencies, "annotate": _annotate, "convert": _convert}[a.command](spark, a)
     except Failure as e:
         print(e.payload, file=sys.stderr)
         return 2

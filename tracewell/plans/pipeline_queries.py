@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.operators import detect
-from tracewell.plans import pipelines
+from tracewell.plans import dependencies, pipelines
 from tracewell.plans.graph_queries import EDGES_SQL, edges
 from tracewell.plans.registry import query, read
 from tracewell.plans.text_queries import HITS_SQL, RULES, files, hits
@@ -72,3 +72,47 @@ def stitch_long_chains(spark, sf_dir):
     operations = part.where("pos = 0").select(F.concat(F.lit("x-"), "function").alias("finding_id"), "function", F.lit("p").alias("component"))
     found = pipelines.stitch(calls, operations, "p")["entries"].select("finding_id", "function", "depth", "is_root")
     return found
+
+
+def _project(spark, sf_dir):
+    """A file for each order that calls its customer's module; the modules' own files, some without a source folder."""
+    c, module = F.col("c_custkey").cast("string"), F.concat(F.lit("m"), "o_custkey")
+    text = F.concat(F.lit("import "), module, F.lit("\ndef f():\n    return "), module, F.lit(".run"), "o_custkey", F.lit("()\n"))
+    files = read(spark, sf_dir, "orders").select(F.concat(F.lit("app/o"), "o_orderkey", F.lit(".py")).alias("path"), text.alias("text"))
+    rows = read(spark, sf_dir, "customer").select(F.concat(F.lit("m"), c).alias("module"), F.concat(F.col("c_nationkey").cast("string"), F.lit(".0")).alias("version"), c.alias("c"), "c_nationkey")
+    body = F.concat(F.lit("def run"), "c", F.lit("():\n    return "), F.when(F.col("c_nationkey") % 3 == 0, "SHA()").otherwise("MD5()"), F.lit("\n"))
+    sources = rows.select("module", "version", F.concat("module", F.lit(".py")).alias("path"), body.alias("text"))
+    deps = rows.select("module", "version", F.when(F.col("c_nationkey") % 5 > 0, "/src").alias("dir"), F.lit(None).cast("string").alias("artifact"), F.lit(0).alias("ord"))
+    return files, sources, deps
+
+
+_MD5 = (detect.Rule("rules/md5", r"MD5\(", "error"),)
+
+
+@query(
+    "dependency_scan",
+    """SELECT 'm' || c_custkey || '@' || c_nationkey || '.0/m' || c_custkey || '.py' AS file_path, 2::BIGINT AS start_line, 'm' || c_custkey || '.run' || c_custkey || '#0' AS function,
+  CASE WHEN k IS NULL THEN 'unreachable' ELSE 'reachable' END AS reachability, CASE WHEN k IS NOT NULL THEN 2::BIGINT END AS frames
+FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders) ON k = c_custkey WHERE c_nationkey % 5 > 0 AND c_nationkey % 3 > 0""",
+)
+def dependency_scan(spark, sf_dir):
+    files, sources, deps = _project(spark, sf_dir)
+    out = dependencies.scan_with_dependencies(files, sources, deps, _MD5, ["python"], "h")
+    return out["report"].select("file_path", "start_line", "function", "reachability", "frames")
+
+
+@query(
+    "dependency_summary",
+    "SELECT count(*) FILTER (c_nationkey % 5 > 0) AS scanned, count(*) FILTER (c_nationkey % 5 = 0) AS skipped, 0::BIGINT AS failed, count(*) FILTER (c_nationkey % 5 > 0 AND c_nationkey % 3 > 0) AS with_findings FROM customer",
+)
+def dependency_summary(spark, sf_dir):
+    files, sources, deps = _project(spark, sf_dir)
+    return dependencies.scan_with_dependencies(files, sources, deps, _MD5, ["python"], "h")["summary"]
+
+
+@query("graph_build", "SELECT 'app.o' || o_orderkey || '.f#0' AS caller, 'm' || o_custkey || '.run' || o_custkey || '#0' AS callee, 'exact' AS kind FROM orders JOIN customer ON o_custkey = c_custkey")
+def graph_build(spark, sf_dir):
+    files, sources, _ = _project(spark, sf_dir)
+    component = F.concat_ws("@", "module", "version")
+    own = files.select(F.lit("").alias("component"), "path", "text").union(sources.select(component, F.concat(component, F.lit("/"), "path"), "text"))
+    return dependencies.build_graph(own)["edges"]

@@ -210,8 +210,35 @@ def store_cache(results: DataFrame, path: str) -> None:
 
 
 def upsert_jdbc(results: DataFrame, url: str, table: str, properties: dict[str, str]) -> None:
-    """Findings to a key-value table by JDBC: appended to a staging table that the database merges by key."""
-    results.select("cache_key", "schema_version", F.to_json(F.struct("*")).alias("document"), F.current_timestamp().alias("stored_at")).write.jdbc(url, f"{table}_staging", "append", properties)
+    """Findings to a key-value table by JDBC, one document for a key and schema version: a later one takes its place.
+
+    The rows go to a staging table from all executors; one statement of standard SQL
+    then merges them by key in the database, which the staging table leaves again.
+    """
+    spark, staging = results.sparkSession, f"{table}_staging"
+    rows = results.select("cache_key", "schema_version", F.to_json(F.struct("*")).alias("document"), F.current_timestamp().alias("stored_at"))
+    keys = "cache_key varchar(128), schema_version varchar(128)"  # other text types can't be compared in every database
+    rows.dropDuplicates(["cache_key", "schema_version"]).write.option("createTableColumnTypes", keys).jdbc(url, staging, "overwrite", properties)
+    jvm = spark._jvm
+    if driver := properties.get("driver"):
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(driver)
+    own = jvm.java.util.Properties()
+    for name, value in properties.items():
+        own.setProperty(name, value)
+    names = ("cache_key", "schema_version", "document", "stored_at")
+    quoted = [f'"{n}"' for n in names]
+    connection = jvm.java.sql.DriverManager.getConnection(url, own)
+    try:
+        statement = connection.createStatement()
+        statement.executeUpdate(
+            f"MERGE INTO {table} AS t USING {staging} AS s ON t.{quoted[0]} = s.{quoted[0]} AND t.{quoted[1]} = s.{quoted[1]} "
+            f"WHEN MATCHED THEN UPDATE SET {quoted[2]} = s.{quoted[2]}, {quoted[3]} = s.{quoted[3]} "
+            f"WHEN NOT MATCHED THEN INSERT ({', '.join(quoted)}) VALUES ({', '.join('s.' + q for q in quoted)})"
+        )
+        statement.executeUpdate(f"DROP TABLE {staging}")
+        statement.close()
+    finally:
+        connection.close()
 
 
 def extract_archives(archives: DataFrame, extensions: tuple[str, ...]) -> DataFrame:
