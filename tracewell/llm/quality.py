@@ -140,19 +140,26 @@ def perplexity(df: DataFrame, model: KneserNey, key: str = "doc_id", text: str =
         part = (answers if shards == 1 else answers.where(F.pmod(F.xxhash64("gram"), F.lit(shards)) == i)).toArrow().sort_by("gram")
         held.append(df.sparkSession.sparkContext.broadcast((part.column("gram").to_numpy().view(np.uint64), part.column("bits").to_numpy())))
 
-    def bits_of(keys: np.ndarray) -> np.ndarray:
-        own, place = np.unique(keys, return_inverse=True)
+    def answers_of(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted grams and their bits: a worker goes through the shards once for a batch of texts, and holds one at a time."""
         found = np.zeros(len(own))
         for shard in held:
             grams, bits = shard.value
             at, known = look_up(grams, own)
             found[known] = bits[at[known]]
-            if len(held) > 1:
-                del shard._value
-        return found[place]
+            del grams, bits, shard._value
+        return own, found
 
-    def score(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    def score(data: np.ndarray, offsets: np.ndarray, answers: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
         """Total bits and worst runs; a text by itself is worked through in parts, each after the last bytes of the one before."""
+
+        def bits_of(keys: np.ndarray) -> np.ndarray:
+            own, place = np.unique(keys, return_inverse=True)
+            at, known = look_up(answers[0], own)
+            bits = np.zeros(len(own))  # sums need more digits than the answers have
+            bits[known] = answers[1][at[known]]
+            return bits[place]
+
         if len(offsets) > 2:
             bits = bits_of(gram_keys(data, offsets, SIZE))
             sums = np.concatenate([np.zeros(1), np.cumsum(bits)])
@@ -170,13 +177,21 @@ def perplexity(df: DataFrame, model: KneserNey, key: str = "doc_id", text: str =
         return list(out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            data, offsets = text_bytes(batch.column(1))
-            total, *worst = score(data, offsets)
-            n = np.diff(offsets)
-            each = np.exp2(total / np.maximum(n, 1))
-            measured = [pa.array(x, pa.float64(), mask=n == 0) for x in (each, *worst)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(n, pa.int64()), *measured], [*own, "n_bytes", "perplexity", *WINDOWS])
+        for whole in batches:
+            if len(held) == 1:
+                answers = held[0].value
+            else:
+                own_grams = np.zeros(0, np.uint64)
+                for batch in slices([whole], 1):
+                    own_grams = np.union1d(own_grams, text_grams_of(batch.column(1))[0])
+                answers = answers_of(own_grams)
+            for batch in slices([whole], 1):
+                data, offsets = text_bytes(batch.column(1))
+                total, *worst = score(data, offsets, answers)
+                n = np.diff(offsets)
+                each = np.exp2(total / np.maximum(n, 1))
+                measured = [pa.array(x, pa.float64(), mask=n == 0) for x in (each, *worst)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(n, pa.int64()), *measured], [*own, "n_bytes", "perplexity", *WINDOWS])
 
     own = list(dict.fromkeys((key, lang, *carry)))
     rows = df.select(F.col(key).cast("long").alias(key), text, lang, *(c for c in own if c not in (key, text, lang)))
