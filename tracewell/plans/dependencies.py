@@ -25,13 +25,14 @@ def _without_component(files: DataFrame, rows: DataFrame, columns: Sequence[str]
     return own.withColumns(inner)
 
 
-def build_graph(files: DataFrame, contracts: DataFrame | None = None, hierarchy: DataFrame | None = None) -> dict[str, DataFrame]:
+def build_graph(files: DataFrame, contracts: DataFrame | None = None, hierarchy: DataFrame | None = None, signatures: DataFrame | None = None) -> dict[str, DataFrame]:
     """Files (component, path, text) to a call graph: parse, index, types, edges.
 
     The stages, each a table that is written once: ``functions``, one declaration for a
     key, with a return type from contracts where there is one; ``calls``; ``types``,
     what functions return, constructed, by contract or handed on from what they call,
-    joined over the hierarchy; ``edges`` caller → callee, exact or the only candidate;
+    joined over the hierarchy, or told by the ``signatures`` of compiled classes
+    (``classfiles.method_index``) where all of a name and arity agree; ``edges`` caller → callee, exact or the only candidate;
     ``suppressed``, calls that several functions answer to and that none is chosen for,
     with the ``candidates`` of their names; ``inherited``, methods of types by their ancestors.  Paths begin with the component.
     """
@@ -49,6 +50,10 @@ def build_graph(files: DataFrame, contracts: DataFrame | None = None, hierarchy:
     by_contract = expand.contract_types(functions.select("key", named.alias("method"), "arity", F.lit("").alias("return_type")), contracts)
     created = calls.where("ast_kind = 'object_creation'").select(F.col("caller").alias("owner"), F.regexp_extract("callee", r"\(([^()]+)\)", 1).alias("type"), F.lit("medium").alias("confidence"), F.lit("constructor").alias("origin"))
     told = by_contract.where("return_type is not null").select(F.col("key").alias("owner"), F.col("return_type").alias("type"), F.lit("high").alias("confidence"), F.lit("contract").alias("origin"))
+    if signatures is not None:
+        compiled = signatures.groupBy(F.concat_ws(".", "type", "method").alias("method"), "arity").agg(F.min("return_type").alias("type"), F.count_distinct("return_type").alias("n")).where("n = 1 and type != 'void'")
+        named_functions = functions.select(F.col("key").alias("owner"), named.alias("method"), "arity")
+        told = told.union(named_functions.join(compiled, ["method", "arity"]).select("owner", "type", F.lit("high"), F.lit("signature")))
     edges = written(expand.caller_index(calls, functions), "edges")
     types = infer.infer_return_types(told.union(created.where("type != ''")).distinct(), edges.select(F.col("caller").alias("owner"), "callee"), closure)
     refused, candidates = expand.ambiguous_calls(calls, functions)
