@@ -184,8 +184,23 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
     got = near_duplicates.near_duplicates(documents(spark, rows)).collect()
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == want
     monkeypatch.setattr(near_duplicates, "BLOCK_ROWS", 4)  # large buckets, block against block
-    got = near_duplicates.near_duplicates(documents(spark, rows)).collect()
-    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == want
+    for hot in (0, 20):  # no set is joined by broadcast, or only those of a twentieth of all rows
+        monkeypatch.setattr(near_duplicates, "HOT", hot)
+        got = near_duplicates.near_duplicates(documents(spark, rows)).collect()
+        assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == want
+
+
+def test_near_duplicates_of_hot_sets_and_null_ids(spark, monkeypatch):
+    hot = " ".join(f"w{i}" for i in range(40))
+    rows = [*((None, hot) for _ in range(300)), (7, hot), (3, hot + " end"), *((i, "") for i in range(100, 400)), *((i, f"text number {i} of its own words") for i in range(500, 900))]
+    for bound in (0, 5, 1000):
+        monkeypatch.setattr(near_duplicates, "HOT", bound)
+        got = near_duplicates.near_duplicates(documents(spark, rows)).collect()
+        assert len(got) == len(rows)
+        assert sum((r.doc_id, r.class_id, r.n_links, r.n_copies) == (None, 3, 1, 301) for r in got) == 300
+        assert {(r.doc_id, r.class_id, r.n_links, r.n_copies) for r in got if r.doc_id in (3, 7)} == {(3, 3, 1, 1), (7, 3, 1, 301)}
+        assert all(r.class_id == r.doc_id and r.first for r in got if r.doc_id and r.doc_id >= 100)
+        assert sum(r.first for r in got) == 701
 
 
 def test_near_duplicates_of_odd_rows(spark, odd):

@@ -17,6 +17,8 @@ from tracewell.llm.words import shingles, split_words
 BLOCK_ROWS, BLOCK_BYTES = 256, 8 << 20
 #: Up to so many members are compared pair by pair, more by one matrix product.
 FEW = 12
+#: Sets that hold a row in so many or more are joined by broadcast: there can't be more than HOT of them.
+HOT = 1000
 #: Stands for a null document id.
 NO_ID = -(1 << 63)
 
@@ -85,14 +87,15 @@ def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _shingle_sets(df: DataFrame, words: int) -> DataFrame:
-    """key, set_a, set_b and the sorted shingles of each row of (key, text)."""
+    """key, set_a, set_b and the sorted shingles of each row of (key, text); copies of one key in one slice are one row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             values, bounds = shingles(split_words(*text_bytes(batch.column(1))), words)
-            a, b = _set_keys(values, bounds)
-            sets = [values[bounds[i] : bounds[i + 1]].tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a), pa.array(b), pa.array(sets, pa.binary())], ["key", "set_a", "set_b", "shingles"])
+            keys = np.stack([batch.column(0).to_numpy(), *_set_keys(values, bounds)], axis=1)
+            once = np.sort(np.unique(keys, axis=0, return_index=True)[1])
+            sets = [values[bounds[i] : bounds[i + 1]].tobytes() for i in once]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, keys[once].T), pa.array(sets, pa.binary())], ["key", "set_a", "set_b", "shingles"])
 
     return map_batches(df, run, "key long, set_a long, set_b long, shingles binary")
 
@@ -253,7 +256,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     bands = choose_bands(threshold, recall, rows)
     sig = written(signatures(df, words, bands, rows, key, text, row), "signatures")
     texts = sig.where("n_shingles > 0").groupBy("set_a", "set_b").agg(
-        F.min("rid").alias("rep"), F.min("key").alias("key"), F.min(F.struct((F.col("key") == NO_ID).alias("odd"), "key", "rid")).alias("top"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")
+        F.min("rid").alias("rep"), F.min(F.struct((F.col("key") == NO_ID).alias("odd"), "key", "rid")).alias("top"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")
     )
     texts = written(texts, "texts")
     placed = texts.select("rep", "n_shingles", F.posexplode("bands").alias("band", "hash"))
@@ -267,7 +270,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
         .select("u.band", "u.hash", F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("total") * 8 / BLOCK_BYTES)).cast("long").alias("blocks"))
     )
     members = written(placed.join(units, ["band", "hash"]).select("band", "hash", "blocks", "rep"), "members")
-    involved = members.select("rep").distinct().join(texts, "rep").select("rep", "key", "set_a", "set_b", "bands")
+    involved = members.select("rep").distinct().join(texts, "rep").select("rep", "top.key", "set_a", "set_b", "bands")
     involved = written(involved, "involved")
     sets = _shingle_sets(bloom_semi(_keyed(df, key, text), "key", involved.select("key")), words)
     sets = sets.join(involved, ["key", "set_a", "set_b"]).dropDuplicates(["rep"]).select("rep", "shingles", "bands")
@@ -286,9 +289,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     grouped = grouped.where("n_copies > 1 or n_links is not null").withColumn("root", F.coalesce("root", "rep"))
     least = grouped.groupBy("root").agg(F.min("top").alias("least"))
     classes = grouped.join(least, "root").select("set_a", "set_b", F.col("least.key").alias("class_id"), F.col("least.rid").alias("first_rid"), "n_links", "n_copies")
-    salts = 8  # rows with one set may be a large part of all
-    salted = classes.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    out = sig.withColumn("salt", F.pmod("rid", F.lit(salts)).cast("int")).join(salted, ["set_a", "set_b", "salt"], "left")
+    classes = written(classes, "classes")
+    hot = F.broadcast(classes.where(F.col("n_copies") * HOT >= sig.count()))  # a set may hold a large part of all rows
+    own = sig.select("key", "rid", "set_a", "set_b", "n_shingles")
+    worded = own.where("n_shingles > 0")
+    rest = worded.join(hot, ["set_a", "set_b"], "left_anti").join(classes, ["set_a", "set_b"], "left")
+    out = worded.join(hot, ["set_a", "set_b"]).unionByName(rest).unionByName(own.where("n_shingles = 0"), allowMissingColumns=True)
     plain = F.col("n_shingles") > 0
     return out.select(
         F.nullif("key", F.lit(NO_ID)).alias(key),
