@@ -72,3 +72,15 @@ def test_table_of_one_threshold_text(spark):
     out = [r.doc_id for r in clean.where(quality._for_thresholds("doc_id")).select("doc_id").orderBy("doc_id").collect()]
     got = quality.classify(clean, labels.where(~F.col("doc_id").isin(out[1:]))).collect()
     assert np.mean([r.keep for r in got]) >= 0.9
+
+
+def test_quantiles_hang_on_no_order(spark):
+    from tracewell.llm.common import quantile
+
+    bits = spark.range(60_000).selectExpr("id", "pmod(id * 7919, 40009) / 10000.0 + rand(3) as bits")
+    bits = spark.createDataFrame(bits.toPandas())
+    for q in (0.005, 0.5, 0.995):
+        got = {bits.repartition(n).orderBy(F.rand(n)).agg(quantile("bits", q)).first()[0] for n in (1, 7, 16)}
+        want = sorted(r.bits for r in bits.collect())[round(q * 59_999)]
+        assert len(got) == 1 and abs(got.pop() - want) < 0.002
+    assert bits.limit(0).agg(quantile("bits", 0.5)).first()[0] is None

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import ddl, map_batches, slices, text_bytes, written
+from tracewell.llm.common import ddl, map_batches, quantile, slices, text_bytes, written
 from tracewell.llm.grams import add_counts, count_keys, gram_keys, look_up, text_grams
 
 #: Bytes of context at most.
@@ -204,14 +204,14 @@ def identify_known(df: DataFrame, model: Model, key: str = "doc_id", text: str =
     rows = df.where(held_out(F.col(key)) & F.col(lang).isNotNull()).select(F.col(lang).alias("own"), F.col(text).alias("text"), F.octet_length(text).alias("n"))
     right = identify(rows, model, "text", ("own", "n")).where("own = lang_pred").select("own", F.col("bits_per_byte").alias("bits"), F.sqrt(1 + SHORT / F.col("n")).alias("wide"))
     right = written(right, "held-out")
-    middle = F.percentile_approx("bits", 0.5, 10_000).alias("mid")
+    middle = quantile("bits", 0.5).alias("mid")
     total = right.agg(F.count("*").alias("n"), middle).first()
     each = written(right.groupBy("own").agg(F.count("*").alias("n"), middle), "middles")  # written, so that it is broadcast
-    away = F.percentile_approx((F.col("bits") - F.col("mid")) / F.col("wide"), HIGH, 10_000).alias("far")
-    far = right.withColumn("mid", F.lit(total["mid"]).cast("double")).agg(away).first()["far"]
+    away = ((F.col("bits") - F.col("mid")) / F.col("wide")).alias("away")
+    far = right.withColumn("mid", F.lit(total["mid"]).cast("double")).select(away).agg(quantile("away", HIGH).alias("far")).first()["far"]
     far = max(far, (total["n"] * far + POOL * PRIOR) / (total["n"] + POOL)) if total["n"] else None
     limits = {}
-    for own, n, mid, own_far in each.join(right.join(each, "own").groupBy("own").agg(away), "own").collect():
+    for own, n, mid, own_far in each.join(right.join(each, "own").select("own", away).groupBy("own").agg(quantile("away", HIGH).alias("far")), "own").collect():
         drawn = max(own_far, (n * own_far + POOL * far) / (n + POOL)) * (1 + 1 / n) ** 0.5
         limits[own] = (n * mid + POOL * max(mid, total["mid"])) / (n + POOL), REACH * drawn
     found = identify(df, model, text, tuple(dict.fromkeys((*carry, text))))

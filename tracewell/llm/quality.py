@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bloom_semi, ddl, map_batches, slices, text_bytes, written
+from tracewell.llm.common import bloom_semi, ddl, map_batches, quantile, slices, text_bytes, written
 from tracewell.llm.grams import add_counts, count_keys, gram_keys, long_text_grams, look_up
 
 #: Grams of bytes: the last byte and four bytes of context.
@@ -241,7 +241,7 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     known = known.select(lang, _for_thresholds(key).alias("left_out"), F.log2("perplexity").alias("mean"), *WINDOWS, F.sqrt(1 + SHORT / F.col("n_bytes")).alias("wide"))
     known = written(known, "known")
     measures = ["mean", *WINDOWS]
-    middles = [F.count("*").alias("n"), *(F.percentile_approx(m, 0.5, 10_000).alias(f"{m}_mid") for m in measures)]
+    middles = [F.count("*").alias("n"), *(quantile(m, 0.5).alias(f"{m}_mid") for m in measures)]
     whole = known.where("left_out").agg(*middles).first()
     if not whole["n"]:
         none = F.lit(None).cast("double")
@@ -252,14 +252,15 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
     def distances(middle: dict[str, Column]) -> list[Column]:
         away = {m: F.col(m) - middle[m] for m in measures} | {"mean": (F.col("mean") - middle["mean"]) / F.col("wide")}
-        ends = {"low": (away["mean"], LOW)} | {"high" if m == "mean" else m: (F.when(F.col("left_out"), away[m]), HIGH) for m in measures}
-        return [F.percentile_approx(x, q, 10_000).alias(f"{end}_own") for end, (x, q) in ends.items()]
+        high = {"high" if m == "mean" else m: F.when(F.col("left_out"), away[m]) for m in measures}
+        return [x.alias(end) for end, x in ({"low": away["mean"]} | high).items()]
 
-    overall = known.agg(*distances({m: F.lit(whole[f"{m}_mid"]) for m in measures})).first()
+    quantiles = [quantile(end, LOW if end == "low" else HIGH).alias(f"{end}_own") for end in PRIOR]
+    overall = known.select(*distances({m: F.lit(whole[f"{m}_mid"]) for m in measures})).agg(*quantiles).first()
     outer = {end: (overall[f"{end}_own"], (whole["n"] * overall[f"{end}_own"] + POOL * far) / (whole["n"] + POOL)) for end, far in PRIOR.items()}
     pooled = {end: min(pair) if end == "low" else max(pair) for end, pair in outer.items()}
     each = written(known.where(F.col("left_out") & F.col(lang).isNotNull()).groupBy(lang).agg(*middles), "middles")  # written, so that it is broadcast
-    each = each.join(known.join(each, lang).groupBy(lang).agg(*distances({m: F.col(f"{m}_mid") for m in measures})), lang)
+    each = each.join(known.join(each, lang).select(lang, *distances({m: F.col(f"{m}_mid") for m in measures})).groupBy(lang).agg(*quantiles), lang)
     # one more text of a language strays from the middle of its n by the root of 1 + 1 / n
     drawn = {end: (F.col(f"{end}_own"), (F.col("n") * F.col(f"{end}_own") + POOL * far) / (F.col("n") + POOL)) for end, far in pooled.items()}
     reach = {end: F.sqrt(1 + 1 / F.col("n")) * (F.least(*pair) if end == "low" else F.greatest(*pair)) for end, pair in drawn.items()}
