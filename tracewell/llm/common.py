@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -119,29 +120,24 @@ def bloom_semi(df: DataFrame, key: str, wanted: DataFrame, log2_bits: int = 23,
 
     A Bloom filter of 2**log2_bits bits, whatever the size of ``wanted``, is broadcast,
     so what is sent has a fixed bound; once it is full it lets more rows through, and
-    an exact join must follow in any case.
+    an exact join must follow in any case.  Spark tests the bits itself, as a join with
+    the filter's one row: rows would else go through Python workers before the ones of
+    the map that follows, two for each running task.
     """
     spark, bits = df.sparkSession, 1 << log2_bits
-    places = F.explode(F.array(*[F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(bits)) for i in range(hashes)]))
+
+    def places(i: int) -> Column:
+        return F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(bits))
+
     words = (
-        wanted.select(places.alias("p"))
+        wanted.select(F.explode(F.array(*map(places, range(hashes)))).alias("p"))
         .groupBy(F.shiftright("p", 6).alias("w"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
     )
     table = np.zeros(bits // 64, np.int64)
     found = words.toArrow()
     table[found.column("w").to_numpy()] = found.column("b").to_numpy()
-    held = spark.sparkContext.broadcast(table.tobytes())
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = np.frombuffer(held.value, np.int64)
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for i in range(hashes):
-                p = batch.column(batch.num_columns - hashes + i).to_numpy()
-                keep &= (bloom[p >> 6] >> (p & 63)) & 1 == 1
-            kept = batch.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays(kept.columns[:-hashes], names=kept.schema.names[:-hashes])
-
-    probed = df.select("*", *[F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(bits)).alias(f"__p{i}") for i in range(hashes)])
-    return map_batches(probed, test, df.schema)
+    row = pa.ListArray.from_arrays(pa.array([0, len(table)], pa.int32()), pa.array(table))
+    bloom = spark.createDataFrame(pa.table({"__bloom": row}))
+    tests = [F.get("__bloom", F.shiftright(places(i), 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), places(i).bitwiseAND(F.lit(63)).cast("int"))) != 0 for i in range(hashes)]
+    return df.join(F.broadcast(bloom), reduce(Column.__and__, tests), "left_semi")
