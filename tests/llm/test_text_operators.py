@@ -296,6 +296,28 @@ def test_chat_examples_spelled_out(spark):
     assert rows[4, 1].context.count("<|im_start|>") == 2 and len(rows) == 8
 
 
+@pytest.mark.parametrize("part_chars", [1, 60, chat.PART_CHARS])
+def test_chat_examples_hold_their_contexts(spark, part_chars):
+    df = spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string")
+    examples = chat.format_conversations(df, part_chars)
+    want, own = {}, {}
+    for conv, turn, role, text in sorted(CHAT, key=lambda r: (r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        own.setdefault(conv, []).append((f"{chat.START}{chat.escape_role(role or '')}\n{chat.escape(text or '')}{chat.END}", role))
+    for conv, turns in own.items():
+        ends = [i for i, (_, role) in enumerate(turns) if role == "assistant" or i == len(turns) - 1]
+        want |= {(conv, n): "".join(t for t, _ in turns[: i + 1]) for n, i in enumerate(ends)}
+    got = {}
+    for r in sorted(examples.collect(), key=lambda r: r.part):
+        spelled = got.setdefault((r.conv_id, r.example), [])
+        assert r.part == len(spelled) and r.start_char == sum(map(len, spelled))
+        spelled.append(r.text)
+    assert {k: "".join(v) for k, v in got.items()} == want
+    assert part_chars > 1 or max(map(len, got.values())) > 1
+    read = chat.read_back(examples).collect()
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in read} == brute_chat(CHAT)
+    assert {r.conv_id: r.formatted_chars for r in read} == {c: sum(len(v) for k, v in want.items() if k[0] == c) for c in own}
+
+
 def test_escapes_are_reversible():
     rng = random.Random(9)
     for _ in range(3000):
