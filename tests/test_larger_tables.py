@@ -21,7 +21,7 @@ def same(spark, folder, name, **tables):
     return got
 
 
-@pytest.mark.parametrize("name", ["dependency_closure"])
+@pytest.mark.parametrize("name", ["dependency_closure", "missing_fragments", "keep_set"])
 def test_closures_go_as_far_as_their_sql(spark, tmp_path, name):
     """Each part needs one other: 5 leads to a chain of far more than 60."""
     same(spark, tmp_path, name, part="SELECT i AS p_partkey, CAST(CASE WHEN i % 50 = 0 THEN 4 ELSE 20 + i % 10 END AS INTEGER) AS p_size FROM range(1009) r(i)")
