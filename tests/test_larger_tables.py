@@ -5,7 +5,7 @@ import pytest
 from test_queries import rows_of
 
 from tracewell.operators import graph
-from tracewell.plans import registry
+from tracewell.plans import pipelines, registry
 
 
 def same(spark, folder, name, **tables):
@@ -32,3 +32,11 @@ def test_closure_itself_has_no_end(spark):
     root = spark.createDataFrame([(0,)], "component long")
     assert graph.dependency_closure(deps, root).count() == 91
     assert graph.dependency_closure(deps, root, 60).count() == 61
+
+
+def test_findings_that_share_an_id_keep_their_own_facts(spark):
+    fresh = spark.createDataFrame([("a.c", 1, "00c0ffee", None), ("b.c", 2, "00c0ffee", None)], "file_path string, start_line long, finding_id string, purl string")
+    prior = spark.createDataFrame([("b.c", 2, "00c0ffee", "pkg:b")], "file_path string, start_line long, finding_id string, purl string")
+    functions = spark.createDataFrame([("a.c", 1, 9, "f")], "file_path string, start_line long, end_line long, key string")
+    got = {r.file_path: (r.purl, r.carried) for r in pipelines.annotate(fresh, prior, functions).collect()}
+    assert got == {"a.c": (None, False), "b.c": ("pkg:b", True)}

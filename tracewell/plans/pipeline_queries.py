@@ -24,7 +24,7 @@ SELECT path AS file_path, line AS start_line, finding_id, CASE WHEN line > 1 THE
 )
 def annotate_pipeline(spark, sf_dir):
     fresh = detect.to_assets(hits(spark, sf_dir)).select("file_path", "start_line", "finding_id", F.lit(None).cast("string").alias("purl"))
-    prior = fresh.where("start_line > 1").select("finding_id", F.lit("pkg:old").alias("purl"))
+    prior = fresh.where("start_line > 1").select("finding_id", "file_path", "start_line", F.lit("pkg:old").alias("purl"))
     block = F.floor((F.col("start_line") - 1) / 10)
     functions = fresh.select("file_path", (block * 10 + 1).alias("start_line"), (block * 10 + 10).alias("end_line"), F.concat("file_path", F.lit("#"), block).alias("key")).distinct()
     return pipelines.annotate(fresh, prior, functions).select("file_path", "start_line", "finding_id", "purl", "carried", "function")
