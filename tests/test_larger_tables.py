@@ -2,9 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import Row
 from test_queries import rows_of
 
-from tracewell.operators import graph
+from tracewell.operators import graph, resolve
 from tracewell.plans import pipelines, registry
 
 
@@ -40,3 +41,40 @@ def test_findings_that_share_an_id_keep_their_own_facts(spark):
     functions = spark.createDataFrame([("a.c", 1, 9, "f")], "file_path string, start_line long, end_line long, key string")
     got = {r.file_path: (r.purl, r.carried) for r in pipelines.annotate(fresh, prior, functions).collect()}
     assert got == {"a.c": (None, False), "b.c": ("pkg:b", True)}
+
+
+# Joins whose pairs grow with the product of two tables ----------------------
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+
+
+@pytest.fixture
+def few(monkeypatch):
+    """Blocks and tasks so small that some rows make several."""
+    for name, n in (("BLOCK", 2), ("GATHERED", 3), ("TASK_PAIRS", 5)):
+        monkeypatch.setattr(resolve, name, n)
+
+
+SITES = "caller string, method string, arity int, root string, owner string, package string, is_interface boolean"
+METHODS = "key string, method string, arity int, root string, owner string, package string, is_interface boolean"
+
+
+def _calls_and_methods(spark):
+    """Callers a and b have several sites, targets t0 and t1 several keys; a site comes twice."""
+    site = lambda c, m, i=True: (c, m, 1, "r", "x.T", "p", i)
+    calls = [site("a", "f"), site("a", "g"), site("a", "f"), site("b", "f"), site("b", "h"), *[site(f"c{i}", "f") for i in range(5)], (None, "f", 1, "r", "x.T", "p", True), ("d", None, 1, "r", "x.T", "p", True)]
+    methods = [(f"t{i}", m, 1, "r", "y.T", "p", False) for i in range(5) for m in (("f", "g") if i < 2 else ("f",))]
+    return spark.createDataFrame(calls, SITES), spark.createDataFrame(methods, METHODS)
+
+
+def _pairs(df):
+    return sorted(((r.caller, r.target) for r in df.collect()), key=repr)
+
+
+WANTED = sorted([(c, f"t{i}") for c in ("a", "b", "c0", "c1", "c2", "c3", "c4", None) for i in range(5)], key=repr)
+
+
+def test_interface_pairs_come_once(spark, few):
+    assert _pairs(resolve.expand_interface(*_calls_and_methods(spark))) == WANTED
