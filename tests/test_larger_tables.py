@@ -78,3 +78,8 @@ WANTED = sorted([(c, f"t{i}") for c in ("a", "b", "c0", "c1", "c2", "c3", "c4",
 
 def test_interface_pairs_come_once(spark, few):
     assert _pairs(resolve.expand_interface(*_calls_and_methods(spark))) == WANTED
+
+
+def test_abstract_pairs_come_once(spark, few):
+    calls, methods = _calls_and_methods(spark)
+    assert _pairs(resolve.expand_abstract(calls, methods, spark.createDataFrame([("x.T",)], "owner string"))) == WANTED
