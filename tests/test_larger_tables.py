@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Row
 from test_queries import rows_of
 
-from tracewell.operators import graph, resolve
+from tracewell.operators import expand, graph, resolve
 from tracewell.plans import pipelines, registry
 
 
@@ -83,3 +83,11 @@ def test_interface_pairs_come_once(spark, few):
 def test_abstract_pairs_come_once(spark, few):
     calls, methods = _calls_and_methods(spark)
     assert _pairs(resolve.expand_abstract(calls, methods, spark.createDataFrame([("x.T",)], "owner string"))) == WANTED
+
+
+def test_surface_of_a_callee_is_counted_once(spark):
+    edges = spark.createDataFrame([(f"c{i}", "r") for i in range(3)] * 2, "caller string, callee string")
+    methods = spark.createDataFrame([("r", "R", "m", 0), ("s0", "S0", "m", 0), ("s1", "S1", "m", 0)], "key string, owner string, method string, arity int")
+    got = expand.dispatch_surface(edges, methods, spark.createDataFrame([("R", "S0"), ("R", "S1")], "parent string, child string"))
+    assert not [x for x in plan(got) if "count(" in x and "caller" in x]
+    assert sorted(map(repr, got.select("caller", "target", "decision").toLocalIterator())) == sorted(repr(Row(caller=c, target=t, decision=d)) for c, t, d in [(f"c{i}", *x) for i in range(3) for x in ((None, "suppressed"), ("r", "direct"))])
