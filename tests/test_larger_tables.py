@@ -104,3 +104,10 @@ def test_fluent_calls_meet_the_best_only(spark):
         want[i] = [(f"k{k:02}", score(k), n + 1) for n, k in enumerate(sorted(range(40), key=lambda k: (-score(k), k))[:6])]
     found = {i: sorted(((r.target, r.score, r["rank"]) for r in got.where(f"call_id = {i}").collect()), key=lambda x: x[2]) for i in range(4)}
     assert found == want
+
+
+def test_overloads_keep_every_pair(spark, few):
+    calls, methods = _calls_and_methods(spark)
+    methods = methods.replace("y.T", "x.T", "owner")
+    want = calls.join(methods, ["package", "owner", "method", "arity"]).selectExpr("caller", "key AS target")
+    assert _pairs(resolve.expand_overloads(calls, methods)) == _pairs(want)
