@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import Row
 from test_queries import rows_of
 
-from tracewell.operators import expand, graph, resolve
+from tracewell.operators import expand, graph, infer, resolve
 from tracewell.plans import pipelines, registry
+from tracewell.storage import written
 
 
 def same(spark, folder, name, **tables):
@@ -111,3 +112,13 @@ def test_overloads_keep_every_pair(spark, few):
     methods = methods.replace("y.T", "x.T", "owner")
     want = calls.join(methods, ["package", "owner", "method", "arity"]).selectExpr("caller", "key AS target")
     assert _pairs(resolve.expand_overloads(calls, methods)) == _pairs(want)
+
+
+def test_pass_through_counts_targets_without_callers(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(infer, "written", lambda df, name: seen.extend(plan(df)) or written(df, name))
+    arguments = spark.createDataFrame([("a", "via", "A"), ("b", "via", "B"), ("a", "x", "A")], "caller string, callee string, arg_type string")
+    dispatch = spark.createDataFrame([("via", "A", "x"), ("via", "A", "x"), ("via", "B", "y"), ("via", "B", "z"), ("x", "A", "end")], "via string, owner string, target string")
+    edges = spark.createDataFrame([("a", "via"), ("b", "via")], "caller string, callee string")
+    assert sorted((r.caller, r.callee) for r in infer.pass_through(edges, arguments, dispatch).collect()) == [("a", "end"), ("a", "via"), ("a", "x"), ("b", "via")]
+    assert not [x for x in seen if "count(" in x and "caller" in x]

@@ -117,9 +117,10 @@ def pass_through(edges: DataFrame, arguments: DataFrame, dispatch: DataFrame) ->
     type picks exactly one candidate, caller → target is added.
     """
     out = written(edges.select("caller", "callee").distinct(), "edges")
+    alone = dispatch.groupBy(F.col("via").alias("callee"), F.col("owner").alias("arg_type")).agg(F.count_distinct("target").alias("n"), F.min("target").alias("target"))
+    alone = written(alone.where("n = 1").drop("n"), "dispatch")  # before the callers come in, of whom there are many more
     while True:  # each round adds edges between nodes that there are, so the rounds end
-        met = arguments.join(out, ["caller", "callee"]).join(dispatch, (F.col("callee") == F.col("via")) & (F.col("arg_type") == F.col("owner")))
-        one = met.groupBy("caller", "via", "arg_type").agg(F.count_distinct("target").alias("n"), F.min("target").alias("callee")).where("n = 1").select("caller", "callee")
+        one = arguments.join(alone, ["callee", "arg_type"]).join(out, ["caller", "callee"]).select("caller", F.col("target").alias("callee"))
         new = written(one.distinct().join(out, ["caller", "callee"], "left_anti"), "edges")
         if new.isEmpty():
             break
