@@ -122,3 +122,8 @@ def test_pass_through_counts_targets_without_callers(spark, monkeypatch):
     edges = spark.createDataFrame([("a", "via"), ("b", "via")], "caller string, callee string")
     assert sorted((r.caller, r.callee) for r in infer.pass_through(edges, arguments, dispatch).collect()) == [("a", "end"), ("a", "via"), ("a", "x"), ("b", "via")]
     assert not [x for x in seen if "count(" in x and "caller" in x]
+
+
+def test_subclass_pairs_come_once(spark, few):
+    calls, methods = _calls_and_methods(spark)
+    assert _pairs(resolve.expand_subclasses(calls, methods, spark.createDataFrame([("y.T", "x.T"), ("y.T", "x.T")], "owner string, base string"))) == WANTED
