@@ -146,3 +146,19 @@ def test_invocations_meet_the_calls_of_their_best_score_only(spark):
     want = [("line", "x.g#1$A", 3, 100), ("key", "x.g#1$A", 3, 80), ("key", "x.g#1$A", 4, 80), ("alias", "x.g#1$A", 3, 60), ("alias", "x.g#1$A", 4, 60), ("alias", "x.g#1$B", 3, 60), ("arity", "y.g#2", 9, 40)]
     want += [("name", "x.g#1$A", 3, 20), ("name", "x.g#1$A", 4, 20), ("name", "x.g#1$B", 3, 20), ("name", "y.g#1", 9, 20), ("name", "y.g#2", 9, 20), ("two", "y.g#1", 9, 80), ("null", "x.g#1$A", 3, 80), ("null", "x.g#1$A", 4, 80)]
     assert sorted((r.id, r.callee, r.line, r.score) for r in got.collect()) == sorted(want)
+
+
+def test_anchors_share_tasks_and_not_frames(spark, monkeypatch):
+    """Routes and, beyond the bound, counts: anchors one after the other, in batches smaller than one of them; c is on a cycle."""
+    edges = spark.createDataFrame([("r", "a"), ("r", "b"), ("a", "x"), ("b", "x"), ("b", "y"), ("c", "y"), ("d", "c"), ("c", "d"), ("s", "c")], "caller string, callee string")
+    reached = graph.reach(edges, spark.createDataFrame([("x",), ("y",), ("z",)], "anchor string"))
+    ends = graph.terminals(reached, edges)
+    for name, n in (("BATCH_PAIRS", 1), ("MOST_EDGES", 0)):
+        monkeypatch.setattr(graph, name, n)
+    routes, counts = graph.enumerate_routes(reached, edges, ends), graph.route_counts(reached, edges, ends)
+    assert not [x for x in plan(routes) + plan(counts) if "FlatMapGroupsInPandas" in x]
+    found = {}
+    for r in sorted(routes.collect(), key=lambda r: (r.anchor, r.route_no, r.pos)):
+        found.setdefault((r.anchor, r.route_no), []).append(r.node)
+    assert found == {("x", 0): ["r", "a", "x"], ("x", 1): ["r", "b", "x"], ("y", 0): ["r", "b", "y"], ("y", 1): ["s", "c", "y"], ("z", 0): ["z"]}
+    assert {r.anchor: (r.n_routes, r.n_components, r.n_nodes) for r in counts.collect()} == {"x": ("2", 4, 4), "y": ("2", 5, 6), "z": ("1", 1, 1)}
