@@ -1,10 +1,14 @@
 """What shows on larger tables, made small: queries on tables of their own against their SQL."""
 
+import time
+
 import duckdb
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 from test_queries import rows_of
 
+from tracewell.functions import text
 from tracewell.operators import expand, graph, infer, resolve
 from tracewell.plans import pipelines, registry
 from tracewell.storage import written
@@ -162,3 +166,13 @@ def test_anchors_share_tasks_and_not_frames(spark, monkeypatch):
         found.setdefault((r.anchor, r.route_no), []).append(r.node)
     assert found == {("x", 0): ["r", "a", "x"], ("x", 1): ["r", "b", "x"], ("y", 0): ["r", "b", "y"], ("y", 1): ["s", "c", "y"], ("z", 0): ["z"]}
     assert {r.anchor: (r.n_routes, r.n_components, r.n_nodes) for r in counts.collect()} == {"x": ("2", 4, 4), "y": ("2", 5, 6), "z": ("1", 1, 1)}
+
+
+def test_substitution_is_linear_in_the_names(spark):
+    """4,000 names: worked out anew for each of them they would take minutes."""
+    n = 4000
+    rows = spark.createDataFrame([(" ".join(f"$v{i}" for i in range(n)) + " $none", {f"v{i}": f'"{i}"' for i in range(0, n, 2)}), (None, {"a": "b"}), ("$a", None)], "t string, m map<string,string>")
+    began = time.monotonic()
+    got = [r[0] for r in rows.select(text.substitute("t", F.map_filter("m", lambda k, v: v.isNotNull()))).collect()]
+    assert got == [" ".join("" if i % 2 else str(i) for i in range(n)) + " ", None, ""]
+    assert time.monotonic() - began < 60

@@ -26,9 +26,10 @@ def substitute(template: str | Column, values: str | Column) -> Column:
     """
     t, v = _c(template), _c(values)
     names, between = F.regexp_extract_all(t, F.lit(METAVARIABLE), F.lit(0)), F.split(t, METAVARIABLE, -1)
-    value = lambda n: F.coalesce(F.try_element_at(v, n), F.try_element_at(v, F.substring(n, F.lit(2), F.length(n))))
-    filled = F.transform(names, lambda n: F.coalesce(F.regexp_replace(value(n), r'^"+|"+$', ""), F.lit("")))
-    return F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get(filled, i), F.lit("")))), "")
+    value = lambda m, n: F.coalesce(F.try_element_at(m, n), F.try_element_at(m, F.substring(n, F.lit(2), F.length(n))))
+    filled = lambda m: F.transform(names, lambda n: F.coalesce(F.regexp_replace(value(m, n), r'^"+|"+$', ""), F.lit("")))
+    once = F.transform(F.array(v), filled)[0]  # what stands inside a lambda is worked out for every element: here the values, for one
+    return F.array_join(F.zip_with(between, once, lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
 
 
 def metavariable_values(metavars: str | Column) -> Column:

@@ -122,7 +122,7 @@ def metavariables(spark, sf_dir):
     }
     found = F.create_map(*[x for k, v in known.items() for x in (F.lit(k), v)])
     template = F.lit("brand $BRAND [$T] [$TS] [$1] [$name] [$A] [$MISSING$GONE$2] [$T$TS$] 5$")
-    return read(spark, sf_dir, "part").select("p_partkey", text.substitute(template, text.metavariable_values(found)).alias("message"))
+    return spread(read(spark, sf_dir, "part")).select("p_partkey", text.substitute(template, text.metavariable_values(found)).alias("message"))
 
 
 NAMES = (
