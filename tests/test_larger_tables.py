@@ -11,6 +11,7 @@ from test_queries import rows_of
 from tracewell.functions import text
 from tracewell.operators import expand, graph, infer, resolve
 from tracewell.plans import pipelines, registry
+from tracewell.sources import documents
 from tracewell.storage import written
 
 
@@ -176,3 +177,16 @@ def test_substitution_is_linear_in_the_names(spark):
     got = [r[0] for r in rows.select(text.substitute("t", F.map_filter("m", lambda k, v: v.isNotNull()))).collect()]
     assert got == [" ".join("" if i % 2 else str(i) for i in range(n)) + " ", None, ""]
     assert time.monotonic() - began < 60
+
+
+def test_lines_of_a_tree_meet_no_other_lines(spark):
+    """Two trees, one of 30,000 lines (more than a batch) in order of no kind; numbers come twice, levels are left out."""
+    value = lambda depth, name: ("[INFO] " if name[-1] in "02468" else "") + "|  " * max(depth - 1, 0) + ("+- " if depth else "") + f"g:{name}:1"
+    lines = [("a", 0, 0, "top0"), ("a", 1, 1, "x1"), ("a", 1, 2, "same1"), ("a", 2, 2, "y2"), ("a", 3, 4, "gap3"), ("a", 4, 1, "x4"), ("a", 5, 2, "y5"), ("b", 6, 2, "none6"), (None, 7, 0, "lost7"), (None, 8, 1, "lost8")]
+    lines += [("c", i, 0 if i == 0 else 1 + (i % 3 > 1), f"c{i}") for i in range(30_000)]
+    rows = spark.createDataFrame([(t, n, value(d, c)) for t, n, d, c in reversed(lines)], "tree string, n long, value string")
+    got = documents.maven_tree(rows)
+    assert not [x for x in plan(got) if "Join" in x]
+    pairs = {(r.parent, r.child) for r in got.collect()}
+    want = {("top0", "x1"), ("x1", "y2"), ("top0", "x4"), ("x4", "y5")} | {(f"c{i - 1}", f"c{i}") if i % 3 > 1 else ("c0", f"c{i}") for i in range(1, 30_000)}
+    assert pairs == {(f"g:{a}:1", f"g:{b}:1") for a, b in want}

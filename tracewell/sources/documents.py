@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import tomllib
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,9 +97,27 @@ def maven_tree(lines: DataFrame) -> DataFrame:
     body = F.regexp_replace("value", r"^\[INFO\] ", "")
     rows = lines.select("tree", "n", F.regexp_extract(body, r"^((?:[|+\\ ][- ] )*)", 1).alias("prefix"), body.alias("body"))
     rows = rows.select("tree", "n", (F.length("prefix") / 3).cast("int").alias("depth"), F.expr("substring(body, length(prefix) + 1)").alias("coordinate")).where("coordinate rlike '^[^:]+:[^:]+:'")
-    up = rows.select("tree", F.col("n").alias("m"), (F.col("depth") + 1).alias("depth"), F.col("coordinate").alias("parent"))
-    met = rows.join(up, ["tree", "depth"]).where("m < n").groupBy("tree", "n", "coordinate").agg(F.max_by("parent", "m").alias("parent"))
-    return met.select("parent", F.col("coordinate").alias("child")).distinct()
+    rows = rows.where("tree is not null and n is not null")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, number, last, waiting = None, None, {}, []  # coordinates by depth, those of the line itself held back
+        for batch in batches:
+            pairs = []
+            for t, n, depth, coordinate in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if t != tree:
+                    tree, number, last, waiting = t, n, {}, []
+                elif n != number:
+                    last.update(waiting)
+                    number, waiting = n, []
+                if depth - 1 in last:
+                    pairs.append((last[depth - 1], coordinate))
+                waiting.append((depth, coordinate))
+            parents, children = zip(*dict.fromkeys(pairs), strict=True) if pairs else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(parents, pa.string()), pa.array(children, pa.string())], ["parent", "child"])
+
+    # A line is dealt out once, to the task that goes through its tree: lines never meet all others of a level.
+    lines = rows.select("tree", "n", "depth", "coordinate").repartition("tree").sortWithinPartitions("tree", "n", "depth", "coordinate")
+    return lines.mapInArrow(run, "parent string, child string").distinct()
 
 
 def gradle_dependencies(rows: DataFrame) -> DataFrame:
