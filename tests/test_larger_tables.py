@@ -190,3 +190,18 @@ def test_lines_of_a_tree_meet_no_other_lines(spark):
     pairs = {(r.parent, r.child) for r in got.collect()}
     want = {("top0", "x1"), ("x1", "y2"), ("top0", "x4"), ("x4", "y5")} | {(f"c{i - 1}", f"c{i}") if i % 3 > 1 else ("c0", f"c{i}") for i in range(1, 30_000)}
     assert pairs == {(f"g:{a}:1", f"g:{b}:1") for a, b in want}
+
+
+def test_variants_of_one_chain_are_not_ranked(spark):
+    """f has one chain of 6 choices, g two chains of 4: of 5 rows the chains take turns."""
+    chains = spark.createDataFrame([("f", 0, ["a", "b", "c"]), ("g", 0, ["a", "b"]), ("g", 1, ["b", "c"]), ("h", 7, ["z"])], "finding_id string, chain int, frames array<string>")
+    sites = spark.createDataFrame([("a", "b", 1), ("a", "b", 2), ("a", "b", 3), ("b", "c", 8), ("b", "c", 9)], "caller string, callee string, line long")
+    got = expand.call_site_variants(chains, sites, 5)
+    top = next(x for x in plan(got) if "Union" in x or "Window [" in x)
+    assert "Union" in top, "all variants go through the window"
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.finding_id, []).append((r.variant, r.chain, list(r.lines)))
+    assert sorted(found["f"]) == [(0, 0, [1, 8]), (1, 0, [1, 9]), (2, 0, [2, 8]), (3, 0, [2, 9]), (4, 0, [3, 8])]
+    assert sorted(found["g"]) == [(0, 0, [1]), (0, 1, [8]), (1, 0, [2]), (1, 1, [9]), (2, 0, [3])]
+    assert found["h"] == [(0, 7, [0])]
